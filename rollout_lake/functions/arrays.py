@@ -114,7 +114,11 @@ def find_subsequence(seq: Column, sub: Column) -> Column:
     starts = F.when((m > 0) & (n >= m), F.sequence(F.lit(1), n - m + 1)).otherwise(
         F.array().cast("array<int>")
     )
-    hits = F.filter(starts, lambda i: F.slice(seq, i, m) == sub)
+    pair = F.struct(seq.alias("seq"), sub.alias("sub"))
+    hits = let(
+        pair,
+        lambda p: F.filter(starts, lambda i: F.slice(p["seq"], i, F.size(p["sub"])) == p["sub"]),
+    )
     return (F.coalesce(F.get(hits, F.lit(0)), F.lit(0)) - 1).cast("bigint")
 
 
@@ -142,10 +146,29 @@ def multiply_masks(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x * y)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to a value that is evaluated once.
+
+    A lambda of an array function evaluates the outer expressions it mentions for every
+    element; a bound variable is computed only once per row.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _exp_sums(logits: Column, top: Column, finish) -> Column:
+    """Fold of sum exp(x - top) and sum x * exp(x - top)."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("t"))
+
+    def add(acc, x):
+        w = F.exp(x - top)
+        return F.struct((acc["s"] + w).alias("s"), (acc["t"] + w * x).alias("t"))
+
+    return F.aggregate(logits, zero, add, finish)
+
+
 def log_sum_exp(logits: Column) -> Column:
     """Max-shifted log of the sum of exponentials."""
-    top = F.array_max(logits)
-    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    return let(F.array_max(logits), lambda top: _exp_sums(logits, top, lambda acc: top + F.log(acc["s"])))
 
 
 def label_log_prob(logits: Column, label: Column) -> Column:
@@ -154,8 +177,28 @@ def label_log_prob(logits: Column, label: Column) -> Column:
 
 def logit_entropy(logits: Column) -> Column:
     """logsumexp minus the softmax-weighted mean logit."""
-    lse = log_sum_exp(logits)
-    return lse - F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - lse) * x)
+    return let(
+        F.array_max(logits),
+        lambda top: _exp_sums(logits, top, lambda acc: top + F.log(acc["s"]) - acc["t"] / acc["s"]),
+    )
+
+
+def join_streams(
+    prior: Column, ids: Column, log_probs: Column, info: Column, pad_id: int, to_left: bool = False
+) -> Column:
+    """Append a turn and its tool output to a token stream, then gather the padding.
+
+    ``prior`` is an array of (id, mask_id, logp). The tool output enters the mask stream
+    as padding and the log-prob stream as -1; one permutation moves all three.
+    """
+    pad = F.lit(pad_id).cast("bigint")
+
+    def token(i, m, lp):
+        return F.struct(i.cast("bigint").alias("id"), m.cast("bigint").alias("mask_id"), lp.cast("double").alias("logp"))
+
+    turn = F.zip_with(ids, log_probs, lambda i, lp: token(i, i, lp))
+    tool = F.transform(info, lambda i: token(i, pad, F.lit(-1.0)))
+    return move_padding_struct(F.concat(prior, turn, tool), "id", pad_id, to_left)
 
 
 CELLS_PER_BLOCK = 1 << 21

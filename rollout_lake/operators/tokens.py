@@ -98,3 +98,48 @@ def whitened(value: Column, stats: Column, keep_mean: bool = False) -> Column:
 def stats_scalar(stats: DataFrame) -> Column:
     """A one-row frame as a struct constant of the surrounding plan."""
     return stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias("s")).scalar()
+
+
+def longest(df: DataFrame, arr: str) -> Column:
+    """Size of the longest array as a scalar subquery."""
+    return df.agg(F.max(F.size(arr)).alias("n")).scalar()
+
+
+def cut_to_effective_length(df: DataFrame, mask: str, columns: Sequence[str], cut_left: bool = True) -> DataFrame:
+    """Trim all arrays to the largest number of valid tokens any row has."""
+    from ..functions import arrays as A
+
+    effective = df.agg(F.max(A.count_ones(F.col(mask))).alias("n")).scalar()
+    keep = A.keep_last if cut_left else A.keep_first
+    staged = df.withColumn("__n", effective)
+    return staged.withColumns({c: keep(F.col(c), F.col("__n")) for c in columns}).drop("__n")
+
+
+def fill_inactive(all_rows: DataFrame, results: DataFrame, key: str, ids: str, text: str, pad_id: int) -> DataFrame:
+    """Results of the active rows spread back over all rows; filler ids and empty text elsewhere."""
+    from ..functions import arrays as A
+
+    width = longest(results, ids)
+    joined = all_rows.select(key).join(results.select(key, ids, text), key, "left").withColumn("__w", width)
+    filler = A.repeat_to(F.lit(pad_id).cast(dict(results.select(F.explode(ids)).dtypes)["col"]), F.col("__w"))
+    return joined.withColumns({
+        ids: F.coalesce(F.col(ids), filler), text: F.coalesce(F.col(text), F.lit(""))
+    }).drop("__w")
+
+
+def drop_clipped_masks(df: DataFrame, mask: str, max_length: int) -> DataFrame:
+    """Zero the mask of responses that reached the limit; no rows when every one did."""
+    from ..functions import arrays as A
+
+    clipped = A.count_ones(F.col(mask)) >= max_length
+    everything = df.agg(F.bool_and(clipped).alias("b")).scalar()
+    zeros = F.transform(F.col(mask), lambda _: F.lit(0))
+    return df.where(~everything).withColumn(mask, F.when(clipped, zeros).otherwise(F.col(mask)))
+
+
+def coverage(df: DataFrame, loss_mask: str, response_mask: str) -> DataFrame:
+    """Mean trained length and the share of response tokens that are trained."""
+    from ..functions import arrays as A
+
+    trained, total = A.count_ones(F.col(loss_mask)), A.count_ones(F.col(response_mask))
+    return df.agg(F.avg(trained).alias("response_length"), (F.sum(trained) / F.sum(total)).alias("response_coverage"))

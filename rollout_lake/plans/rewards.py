@@ -95,13 +95,13 @@ def _(t: Tables):
 @query("g07_adaptive_kl_coefficient", f"""
 WITH s AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS step, avg(value) / 100 AS kl, count(*) AS n FROM events GROUP BY 1),
 f AS (SELECT step, n, kl, 1 + greatest(least(kl / 0.5 - 1, 0.2), -0.2) * n / 10000 AS m FROM s)
-SELECT step, {r6('kl')} AS kl, {r6('0.2 * exp(sum(ln(m)) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING))')} AS kl_coef FROM f""")
+SELECT step, {r6('kl', 9)} AS kl, {r6('0.2 * exp(sum(ln(m)) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING))')} AS kl_coef FROM f""")
 def _(t: Tables):
     steps = t.table("events").groupBy(F.expr(HOUR_SQL).alias("step")).agg(
         (F.avg("value") / 100).alias("kl"), F.count(F.lit(1)).alias("n")
     )
     out = G.adaptive_kl_coefficient(steps, "step", "kl", "n", 0.2, 0.5, 10000.0)
-    return out.select("step", F.round("kl", 6).alias("kl"), F.round("kl_coef", 6).alias("kl_coef"))
+    return out.select("step", F.round("kl", 9).alias("kl"), F.round("kl_coef", 6).alias("kl_coef"))
 
 
 @query("g07_fixed_kl_coefficient", "SELECT DISTINCT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS step, 1e-3 AS kl_coef FROM events")
