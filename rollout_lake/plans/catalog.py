@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, flagship, policy, rewards, sequences  # noqa: F401
+from . import answers, evaluation, flagship, policy, rewards, sequences  # noqa: F401
 from .registry import ORACLES, QUERIES, Tables
 
 

@@ -150,6 +150,35 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
         ],
         None,
     ),
+    # code solutions with their tests as JSON text, in the three layouts
+    "code_tasks": (
+        "customer",
+        [
+            "c_custkey AS sol_id",
+            "CASE WHEN c_custkey % 11 = 0 THEN '' ELSE concat('class Solution: pass  # ', c_name) END AS code",
+            "CASE c_custkey % 3 WHEN 0 THEN concat('[{\"testtype\":\"stdin\",\"input\":\"1\",\"output\":\"', CAST(c_custkey AS STRING), "
+            "'\"},{\"testtype\":\"functional\",\"input\":\"[1,2]', chr(92), chr(92), 'n 3\",\"output\":\"7\",\"metadata\":{\"func_name\":\"solve\"}}]') "
+            "WHEN 1 THEN '{\"functional\":\"assert f(1) == 2\"}' "
+            "ELSE concat('{\"inputs\":[\"1\",\"2\",\"3\"],\"outputs\":[\"', CAST(c_custkey AS STRING), '\",\"5\",\"6\"],\"fn_name\":\"go\"}') END AS truth",
+            "c_acctbal AS balance",
+            "c_mktsegment AS segment",
+        ],
+        None,
+    ),
+    # recorded runs: one row per solution, the tests are the slots 0 to 2
+    "code_runs": (
+        "customer",
+        [
+            "c_custkey AS sol_id",
+            "CASE WHEN c_custkey % 5 = 0 THEN 'wrong' ELSE concat(' ', CAST(c_custkey AS STRING), chr(10)) END AS out0",
+            "CASE WHEN c_custkey % 5 = 1 THEN 'wrong' WHEN c_custkey % 3 = 0 THEN concat('7', chr(10)) ELSE '5' END AS out1",
+            "CASE WHEN c_custkey % 5 = 2 THEN 'wrong' ELSE '6' END AS out2",
+            "CASE WHEN c_custkey % 7 = 0 THEN 'Error' ELSE '' END AS err0",
+            "CASE WHEN c_custkey % 7 = 1 THEN 'Error' ELSE '' END AS err1",
+            "CASE WHEN c_custkey % 7 = 2 THEN 'Error' ELSE '' END AS err2",
+        ],
+        None,
+    ),
 }
 
 # one row per token of a logged sequence, for the counterpart queries
