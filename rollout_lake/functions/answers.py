@@ -36,6 +36,7 @@ UNITS = (
     "loss", "yard", "pure", "year", "increase", "decrease", "d", "less", "Surface", "litre", "pi sq m", "s .", "metre",
     "meter", "inch",
 )
+ANY_UNIT = r"(^|\W)(" + "|".join(u + "s?" for u in dict.fromkeys(UNITS)) + r")($|\W)"
 STRICT_UNITS = (
     "degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot",
     "feet", "inch", "yard", "liter",
@@ -264,8 +265,11 @@ def drop_units(s: Column) -> Column:
 
         return F.when(F.contains(acc, u) | has(u, "."), let(acc, cut)).otherwise(acc)
 
-    once = F.aggregate(units, s, one)
-    return let(once, lambda t: F.aggregate(units, t, one))
+    def twice(t):
+        return let(F.aggregate(units, t, one), lambda x: F.aggregate(units, x, one))
+
+    # one scan for any unit spares the loop for most answers
+    return F.when(s.rlike(ANY_UNIT), let(s, twice)).otherwise(s)
 
 
 def normalise(s: Column, skip_unit: bool = False) -> Column:

@@ -49,8 +49,8 @@ _FRACS = f"""CASE WHEN list_bool_or(list_concat([false], list_transform(string_s
 ELSE {rx(r'\\frac([^{])[{]', r'\\frac{\1}{', s=rx(r'\\frac([^{])([^{])', r'\\frac{\1}{\2}'))} END"""
 _UNITS = "[" + ", ".join(q(u) for u in (*X.UNITS, *[u + "s" for u in X.UNITS])) + "]"
 _UNIT_PASS = (
-    f"list_reduce({_UNITS}, lambda acc, u: CASE WHEN regexp_replace(acc, '(^|\\W)' || u || '($|\\W)', '\\1\\2', 'g') <> '' "
-    f"THEN regexp_replace(acc, '(^|\\W)' || u || '($|\\W)', '\\1\\2', 'g') ELSE acc END, s)"
+    f"CASE WHEN regexp_matches(s, {q(X.ANY_UNIT)}) THEN list_reduce({_UNITS}, lambda acc, u: CASE WHEN contains(acc, u) OR contains(u, '.') THEN "
+    f"coalesce(nullif(regexp_replace(acc, '(^|\\W)' || u || '($|\\W)', '\\1\\2', 'g'), ''), acc) ELSE acc END, s) ELSE s END"
 )
 _WORDS = """CASE lower(s) WHEN 'twelve' THEN '12' WHEN 'three hundred' THEN '300' WHEN 'twenty one' THEN '21' WHEN 'two thousand five' THEN '2005' WHEN 'zero' THEN '0'
 ELSE CASE WHEN regexp_matches(s, '(^|\\s)million($|\\s)') THEN '1000000' ELSE s END END"""
