@@ -1,0 +1,431 @@
+"""Queries over data preparation, batch algebra and packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import arrays as A
+from ..functions import templates as P
+from ..operators import batch as C
+from ..operators import packing as K
+from ..operators import prep as B
+from ..operators.ordering import index_by_id
+from .answers import WS, normalise_sql
+from .registry import Tables, query, r6
+
+IDS = "list_transform(string_split({}, ' '), lambda w: CAST(length(w) AS BIGINT))"
+
+
+def _ids(c):
+    return F.transform(F.split(c, " "), lambda w: F.length(w).cast("bigint"))
+
+
+def _dig(c):
+    return F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+
+
+def _docs(t: Tables):
+    return t.table("documents")
+
+
+def _chat(t: Tables):
+    return B.prompt_to_chat(_docs(t).withColumnRenamed("text", "prompt"))
+
+
+@query("b01_rename_problem", "SELECT doc_id, md5(text) AS prompt FROM documents")
+def _(t: Tables):
+    return B.rename_problem(_docs(t).withColumnRenamed("text", "problem")).select("doc_id", F.md5("prompt").alias("prompt"))
+
+
+@query("b02_prompt_to_chat", "SELECT doc_id, 'user' AS role, md5(text) AS digest, 1 AS messages FROM documents UNION ALL SELECT -doc_id, 'user', md5(string_split(text, chr(10))[1]), 1 FROM documents")
+def _(t: Tables):
+    listed = B.prompt_to_chat(_docs(t).select((-F.col("doc_id")).alias("doc_id"), F.split("text", "\n").alias("prompt")))
+    both = _chat(t).select("doc_id", "prompt").unionByName(listed)
+    first = F.get("prompt", F.lit(0))
+    return both.select("doc_id", first["role"].alias("role"), F.md5(first["content"]).alias("digest"), F.size("prompt").alias("messages"))
+
+
+@query("b03_fill_defaults", "SELECT doc_id, 'math500' AS data_source, 'math' AS ability FROM documents")
+def _(t: Tables):
+    return B.fill_defaults(_docs(t).select("doc_id"), "owner/math500")
+
+
+@query("b04_add_extra_info", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS index, 'test' AS split FROM documents")
+def _(t: Tables):
+    return B.add_extra_info(_docs(t).select("doc_id"), "doc_id", "test").select("doc_id", "extra_info.index", "extra_info.split")
+
+
+@query("b05_truth_to_reward_model", "SELECT case_id, gold AS ground_truth, 'rule' AS style FROM @answers")
+def _(t: Tables):
+    a = B.truth_to_reward_model(t.view("answers").select("case_id", F.col("gold").alias("gt")))
+    return a.select("case_id", "reward_model.ground_truth", "reward_model.style")
+
+
+@query("b06_prefix_messages", "SELECT doc_id, md5(concat('Think first. ', text)) AS digest FROM documents")
+def _(t: Tables):
+    p = B.prefix_messages(_chat(t), "Think first. ")
+    return p.select("doc_id", F.md5(B.first_message(F.col("prompt"))).alias("digest"))
+
+
+@query("b07_drop_long_prompts", "SELECT doc_id, 'chars' AS rule FROM documents WHERE length(text) <= 700 UNION ALL SELECT doc_id, 'tokens' FROM documents WHERE len(list_filter(regexp_split_to_array(concat('<|im_start|>user', chr(10), text, '<|im_end|>', chr(10), '<|im_start|>assistant', chr(10)), '\\s+'), lambda w: w <> '')) <= 120")
+def _(t: Tables):
+    chars = B.drop_long_prompts(_chat(t), 700, rendered=False).select("doc_id", F.lit("chars").alias("rule"))
+    tokens = B.drop_long_prompts(_chat(t), 120).select("doc_id", F.lit("tokens").alias("rule"))
+    return chars.unionByName(tokens)
+
+
+@query("b08_sample_per_source", "SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5(concat(CAST(doc_id AS STRING), '-42')), doc_id) <= 20")
+def _(t: Tables):
+    return B.sample_per_source(_docs(t).select("source", "doc_id"), "source", ["doc_id"], 20)
+
+
+@query("b09_pull_index", "SELECT doc_id, CASE WHEN lang = 'en' THEN 0 ELSE n_chars END AS index FROM documents")
+def _(t: Tables):
+    info = F.struct(F.when(F.col("lang") != "en", F.col("n_chars")).alias("index"))
+    return B.pull_index(_docs(t).withColumn("extra_info", info)).select("doc_id", "index")
+
+
+@query("b10_render_chat", "SELECT conv_id, turn, md5(concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10), '<|im_start|>assistant', chr(10))) AS digest, md5(text) AS first FROM conversations")
+def _(t: Tables):
+    c = t.table("conversations").withColumn("prompt", F.array(F.struct("role", F.col("text").alias("content"))))
+    return c.select("conv_id", "turn", F.md5(B.render_chat(F.col("prompt"))).alias("digest"), F.md5(B.first_message(F.col("prompt"))).alias("first"))
+
+
+_EPOCH_SQL = """SELECT doc_id, epoch, position, CAST(floor(position / 96) AS BIGINT) AS batch_id FROM (
+SELECT doc_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY md5(concat(CAST(doc_id AS STRING), '-', CAST(epoch AS STRING), '-1')), doc_id) - 1 AS position FROM documents, (SELECT unnest([0, 1]) AS epoch))
+WHERE floor(position / 96) < floor((SELECT count(*) FROM documents) / 96)"""
+
+
+@query("b11_epoch_batches", _EPOCH_SQL)
+def _(t: Tables):
+    return B.epoch_batches(_docs(t).select("doc_id"), ["doc_id"], 96, epochs=2)
+
+
+@query("b11_sequential_batches", "SELECT doc_id, 0 AS epoch, position, CAST(floor(position / 96) AS BIGINT) AS batch_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents) WHERE floor(position / 96) < floor((SELECT count(*) FROM documents) / 96)")
+def _(t: Tables):
+    return B.epoch_batches(_docs(t).select("doc_id"), ["doc_id"], 96, shuffle=False)
+
+
+@query("b12_oversampled_batches", "SELECT batch_id, count(*) AS n FROM (SELECT CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 80) AS BIGINT) AS batch_id FROM documents) WHERE batch_id < floor((SELECT count(*) FROM documents) / 80) GROUP BY 1")
+def _(t: Tables):
+    size = B.oversampled_batch_size(32, 2.6, 8)
+    return B.epoch_batches(_docs(t).select("doc_id"), ["doc_id"], size, shuffle=False).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PAIR = "list_concat(p, {r}, [7])"
+
+
+def _padded(arr, pad, n):
+    return f"list_concat(({arr})[1:{n}], list_transform(range(0, greatest({n} - len({arr}), 0)), lambda x: {pad}))"
+
+
+@query("b13_preference_pairs", " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, md5(array_to_string({_padded(_PAIR.format(r=r), 'CAST(0 AS BIGINT)', 400)}, ',')) AS ids, CAST(least(len(p) + len({r}) + 1, 400) AS BIGINT) AS attended FROM (SELECT doc_id, {IDS.format('text')} AS p, {IDS.format('source')} AS c, {IDS.format('lang')} AS j FROM documents)"
+    for kind, r in (("chosen", "c"), ("rejected", "j"))))
+def _(t: Tables):
+    d = _docs(t).select("doc_id", _ids("text").alias("p"), _ids("source").alias("c"), _ids("lang").alias("j"))
+    pairs = B.preference_pairs(d, "p", "c", "j", 400, 7)
+    return pairs.select("doc_id", "kind", _dig("input_ids").alias("ids"), A.count_ones("attention_mask").alias("attended"))
+
+
+@query("b14_nested_field", "SELECT event_id, user_id AS a, value AS b FROM events")
+def _(t: Tables):
+    e = t.table("events").withColumn("rec", F.struct(F.struct(F.col("user_id").alias("u"), F.struct(F.col("value").alias("v")).alias("in")).alias("x")))
+    return e.select("event_id", B.nested_field("rec", ["x", "u"]).alias("a"), B.nested_field("rec", ["x", "in", "v"]).alias("b"))
+
+
+@query("b15_fine_tuning_rows", """SELECT doc_id, md5(array_to_string(list_concat(a[1:300], list_transform(range(0, greatest(300 - n, 0)), lambda x: CAST(0 AS BIGINT))), ',')) AS ids, CAST(least(n, 300) AS BIGINT) AS attended,
+md5(array_to_string(list_transform(range(0, 300), lambda i: CASE WHEN i < CASE WHEN np > 1 THEN least(np, 300) - 1 ELSE 0 END OR i = least(n, 300) - 1 OR i >= n THEN 0 ELSE 1 END), ',')) AS loss,
+md5(array_to_string(list_transform(range(0, 300), lambda i: least(i, least(n, 300) - 1)), ',')) AS positions FROM (
+SELECT *, len(a) AS n, len(p) AS np FROM (SELECT doc_id, p, list_concat(p, r, [7]) AS a FROM (SELECT doc_id, """ + IDS.format("text") + " AS r, " + IDS.format("concat(source, ' ', lang, ' ', source)") + " AS p FROM documents)))")
+def _(t: Tables):
+    d = _docs(t).select("doc_id", _ids(F.concat_ws(" ", "source", "lang", "source")).alias("p"), _ids("text").alias("r"))
+    s = B.fine_tuning_rows(d, "p", "r", 300, 7, truncation="right")
+    return s.select("doc_id", _dig("input_ids").alias("ids"), A.count_ones("attention_mask").alias("attended"), _dig("loss_mask").alias("loss"), _dig("position_ids").alias("positions"))
+
+
+_TAGGED = "concat('Plan.', chr(10), '<code> a = 1', chr(10), '<end_of_step>', chr(10), 'b = 2 ', '<end_of_code>', text, '<output> ', CAST({id} AS STRING), ' <end_of_output>', '<code>c<end_of_code>', '<answer> ', lang, chr(10), '<end_of_answer>')"
+
+
+@query("b16_rewrite_tags", "SELECT doc_id, md5(concat('Plan.', chr(10), '```python', chr(10), 'a = 1', chr(10), 'b = 2', chr(10), '```', text, 'Code execution result: ', CAST(doc_id AS STRING), '```python', chr(10), 'c', chr(10), '```', lang)) AS digest FROM documents")
+def _(t: Tables):
+    tagged = F.expr(_TAGGED.format(id="doc_id"))
+    return _docs(t).select("doc_id", F.md5(B.rewrite_tags(tagged)).alias("digest"))
+
+
+@query("b17_to_messages", "SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'assistant' ELSE 'user,assistant' END AS roles FROM conversations")
+def _(t: Tables):
+    q = F.when(F.col("role") != "system", F.col("text")).otherwise("")
+    m = t.table("conversations").withColumn("m", B.to_messages(q, F.col("text")))
+    return m.select("conv_id", "turn", F.array_join(F.col("m.role"), ",").alias("roles"))
+
+
+@query("b18_lower_columns", "SELECT r_regionkey, r_name FROM region JOIN nation ON n_regionkey = r_regionkey")
+def _(t: Tables):
+    up = t.table("region").select(F.col("r_regionkey").alias("R_RegionKey"), F.col("r_name").alias("R_NAME"))
+    low = B.lower_columns(up)
+    return t.table("nation").join(low, F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", "r_name")
+
+
+@query("b19_assemble_benchmark", "SELECT 'answers' AS type, count(*) AS n FROM @answers WHERE NOT contains(pred, ';') UNION ALL SELECT 'rest', count(*) FROM @answers UNION ALL SELECT o_orderstatus, count(*) FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1")
+def _(t: Tables):
+    a = t.view("answers").select("case_id", "pred")
+    union = B.union_tasks({"answers": B.single_answer(a, "pred"), "rest": a})
+    kept = B.keep_subjects(t.table("orders"), "o_orderstatus", ["O", "P"])
+    return union.select("type").unionByName(kept.select("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b20_ensure_index", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents")
+def _(t: Tables):
+    return B.ensure_index(_docs(t).select("doc_id"), "doc_id")
+
+
+_QA = "SELECT o_orderkey AS id, trim(concat(' Item ', o_orderpriority, ' ')) AS body, trim(concat('How much? ', CAST(o_custkey AS STRING))) AS question FROM orders"
+
+
+def _example(t: Tables):
+    return t.table("orders").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit(" Item "), "o_orderpriority", F.lit(" ")).alias("body"),
+        F.concat(F.lit("How much? "), F.col("o_custkey").cast("string")).alias("question"),
+        F.array(F.lit("1"), F.lit(" 2 "), F.col("o_orderstatus"), F.lit("none")).alias("choices"),
+        F.when(F.col("o_custkey") % 2 == 0, F.lit("Costs")).alias("table_title"), F.lit("a | b\n1 | 2").alias("table"),
+        F.concat(F.lit("A) 1 B) 2 C) "), "o_orderstatus", F.lit(" D) 4")).alias("options_text"),
+        F.array(F.lit("A)1"), F.concat(F.lit("B)"), "o_orderstatus")).alias("options_list"),
+        F.create_map(F.lit("A"), F.col("o_orderstatus"), F.lit("B"), F.lit("x")).alias("options_map"),
+    )
+
+
+@query("b21_question_text", f"""SELECT id, concat(body, ' ', question) AS asdiv, concat(body, '. ', question) AS svamp,
+concat('Read the following table ', CASE WHEN k % 2 = 0 THEN 'regarding "Costs" ' ELSE '' END, 'and answer a question:', chr(10), 'a | b', chr(10), '1 | 2', chr(10), question, ' Please select from the following options: [''1'', '' 2 '', ''', st, ''', ''none'']') AS tabmwp,
+concat(question, chr(10), 'Answer Choices: (A) 1 (B) 2 (C) ', st, ' (D) none') AS mmlu_stem, concat(question, chr(10), 'Answer Choices: (A) 1 (B) 2 (C) ', st, ' (D) 4') AS sat_math,
+concat(question, chr(10), 'Answer Choices: (A) 1 (B) ', st) AS aqua, concat(question, chr(10), '选项: (A) ', st, ' (B) x') AS gaokao_math_qa, concat(question, CASE st WHEN 'O' THEN ' (True or False)' WHEN 'F' THEN ' (Yes or No)' ELSE '' END) AS other
+FROM (SELECT q.*, o_custkey AS k, o_orderstatus AS st FROM ({_QA}) q JOIN orders ON o_orderkey = id)""")
+def _(t: Tables):
+    e = _example(t)
+
+    def q(name, **renamed):
+        view = e.withColumnsRenamed({v: k for k, v in renamed.items()})
+        return view.select("id", B.question_text(view, name).alias(name))
+
+    status = F.get("choices", F.lit(2))
+    truth = F.when(status == "O", "True").when(status == "F", "no").otherwise(status)
+    # every benchmark reads the columns it knows; the texts meet on the row id
+    parts = [
+        e.select("id", B.question_text(e, "asdiv").alias("asdiv"), B.question_text(e, "tabmwp").alias("tabmwp"),
+                 B.question_text(e, "mmlu_stem").alias("mmlu_stem"), B.question_text(e, "dataset", truth).alias("other")),
+        _svamp(e),
+        q("sat_math", options="options_text"), q("aqua", options="options_list"), q("gaokao_math_qa", options="options_map"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "id")
+    return out
+
+
+def _svamp(e):
+    view = e.select("id", F.col("body").alias("Body"), F.col("question").alias("Question"))
+    return view.select("id", B.question_text(view, "svamp").alias("svamp"))
+
+
+_GT_NORMAL = normalise_sql("SELECT case_id, string_split(a, '####')[2] AS s FROM (SELECT case_id, concat('work #### ', gold) AS a FROM @answers)")
+
+
+@query("b22_ground_truth", f"""SELECT g.case_id, 'work' AS gsm8k_cot, g.s AS gsm8k, substr('ABCD', CAST(problem_id % 4 + 1 AS INT), 1) AS mmlu_stem, replace(a.gold, '\\leq', '\\le') AS carp_en,
+CASE problem_id % 4 WHEN 0 THEN '0.75' WHEN 1 THEN '1234' WHEN 2 THEN '0.25' ELSE '17' END AS tabmwp FROM ({_GT_NORMAL}) g JOIN @answers a ON g.case_id = a.case_id""")
+def _(t: Tables):
+    k = F.col("problem_id") % 4
+    a = t.view("answers").select("case_id", "problem_id", "gold")
+    gsm = a.withColumn("answer", F.concat(F.lit("work #### "), "gold"))
+    g = B.ground_truth(gsm, "gsm8k")
+    mm = B.ground_truth(a.withColumn("answer", k), "mmlu_stem")["gt"]
+    carp = B.ground_truth(a.withColumns({"answer": F.col("gold"), "steps": F.lit("s")}), "carp_en")["gt"]
+    num = F.when(k == 0, "3/4").when(k == 1, "1,234").when(k == 2, "25%").otherwise("17")
+    tab = B.ground_truth(a.withColumns({"answer": num, "solution": F.lit("s"), "ans_type": F.lit("integer_number")}), "tabmwp")["gt"]
+    one = gsm.select("case_id", g["gt_cot"].alias("gsm8k_cot"), g["gt"].alias("gsm8k"))
+    two = a.withColumn("answer", k).select("case_id", mm.alias("mmlu_stem"))
+    three = a.withColumns({"answer": F.col("gold"), "steps": F.lit("s")}).select("case_id", carp.alias("carp_en"))
+    four = a.withColumns({"answer": num, "solution": F.lit("s"), "ans_type": F.lit("integer_number")}).select("case_id", tab.alias("tabmwp"))
+    return one.join(two, "case_id").join(three, "case_id").join(four, "case_id")
+
+
+def _demos(t: Tables):
+    placed = index_by_id(t.table("benchmark"), "item_id", out="position")
+    return placed.select(F.lit("gsm8k").alias("data_name"), "position", F.col("text").alias("question"), F.concat(F.lit("A"), F.col("item_id").cast("string")).alias("answer"))
+
+
+_D = "(SELECT string_agg(concat('Question: ', text, chr(10), 'Answer: ', 'A', CAST(item_id AS STRING)), chr(10) || chr(10) || chr(10) ORDER BY item_id) FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 2))"
+_D1 = "(SELECT string_agg(concat(text, chr(10), 'A', CAST(item_id AS STRING)), chr(10) || chr(10) ORDER BY item_id) FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 2))"
+
+
+@query("b23_few_shot_prompt", f"""SELECT doc_id, md5(trim(concat({_D}, chr(10), chr(10), chr(10), 'Question: ', text, chr(10), 'Answer: '), ' ')) AS cot,
+md5(trim(concat('<|im_start|>system', chr(10), 'Please reason step by step, and put your final answer within ', chr(92), 'boxed{{}}.<|im_end|>', chr(10), '<|im_start|>user', chr(10), {_D1}, chr(10), chr(10), text, '<|im_end|>', chr(10), '<|im_start|>assistant', chr(10)), ' ')) AS single_turn,
+md5(trim(concat('[INST] ', text, '[/INST]'), ' ')) AS no_demos FROM documents""")
+def _(t: Tables):
+    d, demos = _docs(t).select("doc_id", F.col("text").alias("question")), _demos(t)
+    d = B.few_shot_prompt(d, demos, "svamp", "cot", 2, out="a")
+    d = B.few_shot_prompt(d, demos, "gsm8k", P.SINGLE_TURN_TEMPLATE, 2, out="b")
+    d = B.few_shot_prompt(d, demos, "gsm8k", "mistral", 0, out="c")
+    return d.select("doc_id", F.md5("a").alias("cot"), F.md5("b").alias("single_turn"), F.md5("c").alias("no_demos"))
+
+
+@query("b24_repeat_samples", "SELECT doc_id, unnest(range(0, 4))::INTEGER AS sample_idx FROM documents")
+def _(t: Tables):
+    return B.repeat_samples(_docs(t).select("doc_id"), 4)
+
+
+@query("b25_group_id", "SELECT doc_id, sha256(concat('{\"doc_id\":', CAST(doc_id AS STRING), ',\"source\":\"', source, '\"}')) AS uid FROM documents")
+def _(t: Tables):
+    return B.group_id(_docs(t).select("doc_id", "source"), ["doc_id", "source"]).select("doc_id", "uid")
+
+
+# ---------------------------------------------------------------- batch algebra
+
+def _orders(t: Tables):
+    return t.table("orders")
+
+
+@query("c01_select_columns", "SELECT o_orderkey, o_custkey FROM orders")
+def _(t: Tables):
+    return C.select_columns(_orders(t), ["o_orderkey", "o_custkey"])
+
+
+@query("c02_pop_columns", "SELECT 'popped' AS part, count(*) AS n, CAST(count(o_totalprice) AS BIGINT) AS filled FROM orders UNION ALL SELECT 'rest', count(*), CAST(count(o_custkey) AS BIGINT) FROM orders")
+def _(t: Tables):
+    popped, rest = C.pop_columns(_orders(t), ["o_totalprice"], "o_orderkey")
+    a = popped.agg(F.lit("popped").alias("part"), F.count(F.lit(1)).alias("n"), F.count("o_totalprice").alias("filled"))
+    return a.unionByName(rest.agg(F.lit("rest").alias("part"), F.count(F.lit(1)).alias("n"), F.count("o_custkey").alias("filled")))
+
+
+@query("c03_rename_columns", "SELECT o_orderkey AS id, o_custkey AS prompt FROM orders")
+def _(t: Tables):
+    return C.rename_columns(_orders(t).select("o_orderkey", "o_custkey"), ["o_orderkey", "o_custkey"], ["id", "prompt"])
+
+
+@query("c04_union_aligned", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+def _(t: Tables):
+    left = _orders(t).select("o_orderkey", "o_custkey", "o_totalprice")
+    return C.union_aligned(left, _orders(t).select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
+
+
+@query("c05_concat_batches", "SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000")
+def _(t: Tables):
+    a = _orders(t).select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return C.concat_batches([a, a.where("o_totalprice > 100000")]).select("o_orderkey", "o_orderstatus")
+
+
+@query("c05_merge_meta", "SELECT l_linestatus AS key, 'same' AS \"values\" FROM lineitem GROUP BY 1")
+def _(t: Tables):
+    meta = t.table("lineitem").select(F.col("l_linestatus").alias("key"), F.lit("same").alias("value"))
+    return C.merge_meta(meta).select("key", F.array_join("values", ",").alias("values"))
+
+
+@query("c06_chunk_rows", "SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / ((SELECT count(*) FROM orders) / 5)) AS BIGINT) AS chunk FROM orders")
+def _(t: Tables):
+    return C.chunk_rows(_orders(t).select("o_orderkey"), "o_orderkey", 5)
+
+
+@query("c07_repeat_rows", "SELECT doc_id, c AS copy, i * 3 + c AS aabb, c * n + i AS abab FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n, unnest([0::BIGINT, 1, 2]) AS c FROM documents)")
+def _(t: Tables):
+    d = index_by_id(_docs(t).select("doc_id"), "doc_id")
+    tiled = C.repeat_rows(d, 3, "row_index", interleave=False, out="abab")
+    return tiled.select("doc_id", "copy", (F.col("row_index") * 3 + F.col("copy")).alias("aabb"), "abab")
+
+
+@query("c07_interleave_rows", "SELECT doc_id, i * 2 + c AS position FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, unnest([0::BIGINT, 1]) AS c FROM documents)")
+def _(t: Tables):
+    return C.repeat_rows(index_by_id(_docs(t).select("doc_id"), "doc_id"), 2, "row_index").select("doc_id", "position")
+
+
+@query("c08_repeat_with_suffix", "SELECT concat(CAST(doc_id AS STRING), '_', CAST(c AS STRING)) AS uid FROM (SELECT doc_id, unnest([0, 1, 2]) AS c FROM documents)")
+def _(t: Tables):
+    return C.repeat_with_suffix(_docs(t).select(F.col("doc_id").alias("uid")), 3, "uid").select("uid")
+
+
+@query("c09_reorder_rows", "SELECT doc_id, (SELECT max(doc_id) FROM documents) - doc_id AS new_pos, lang FROM documents")
+def _(t: Tables):
+    top = _docs(t).agg(F.max("doc_id").alias("m")).scalar()
+    order = _docs(t).select("doc_id").withColumn("new_pos", top - F.col("doc_id"))
+    return C.reorder_rows(_docs(t).select("doc_id", "lang"), order, "doc_id")
+
+
+@query("c10_slice_rows", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) WHERE i >= 10 AND i < n - 10 AND (i - 10) % 3 = 0")
+def _(t: Tables):
+    # the slice is the operator: start 10, stop ten rows before the end, step 3
+    d = index_by_id(_docs(t).select("doc_id"), "doc_id").withColumn("n", _docs(t).agg(F.count(F.lit(1)).alias("c")).scalar())
+    return C.take_rows(d, "row_index", 10, 2**62, 3).where(F.col("row_index") < F.col("n") - 10).select("doc_id")
+
+
+@query("c12_fold_and_unfold", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents")
+def _(t: Tables):
+    d = index_by_id(_docs(t).select("doc_id"), "doc_id")
+    return C.unfold_rows(C.fold_rows(d, "row_index", ["doc_id"], 5), 5).select("doc_id", F.col("row_index").cast("bigint").alias("row_index"))
+
+
+@query("c13_minibatches", _EPOCH_SQL.replace("/ 96", "/ 50").replace("'-1'", "'-9'"))
+def _(t: Tables):
+    return C.minibatches(_docs(t).select("doc_id"), ["doc_id"], 50, 2, 9)
+
+
+@query("c14_check_consistency", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS ragged_rows, CAST(0 AS BIGINT) AS null_seq_id, CAST(0 AS BIGINT) AS null_score FROM embeddings")
+def _(t: Tables):
+    return C.check_consistency(t.sequences(), ["e", "old_lp", "mask", "loss_mask"], ["seq_id", "score"])
+
+
+# ---------------------------------------------------------------- packing
+
+def _lengths(t: Tables):
+    return _docs(t).select("doc_id", F.size(F.split("text", " ")).cast("bigint").alias("len"))
+
+
+_LEN = "SELECT doc_id, len(string_split(text, ' ')) AS len, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents"
+
+
+@query("k01_balanced_partitions")
+def _(t: Tables):
+    return K.balance(_lengths(t), "doc_id", "len", 64, 4)
+
+
+@query("k01_balanced_partition_sizes", f"SELECT CAST(floor(i / 40) AS BIGINT) AS batch_id, p AS partition, CAST(10 AS BIGINT) AS n FROM ({_LEN}), (SELECT unnest([0::BIGINT, 1, 2, 3]) AS p) GROUP BY 1, 2")
+def _(t: Tables):
+    parts = K.balance(_lengths(t), "doc_id", "len", 40, 4, equal_size=True)
+    return parts.groupBy("batch_id", "partition").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k02_greedy_partitions")
+def _(t: Tables):
+    return K.balance(_lengths(t), "doc_id", "len", 64, 4, method=K.greedy_bins)
+
+
+@query("k03_micro_batches", f"SELECT CAST(floor(i / 64) AS BIGINT) AS batch_id, CAST(least(ceil(sum(len) / 6000), count(*)) AS BIGINT) AS bins, CAST(sum(len) AS BIGINT) AS tokens FROM ({_LEN}) GROUP BY 1")
+def _(t: Tables):
+    m = K.micro_batches(_lengths(t), "doc_id", "len", 64, 6000)
+    return m.groupBy("batch_id").agg(F.count_distinct("partition").alias("bins"), F.sum("length").alias("tokens"))
+
+
+@query("k04_inverse_order", f"SELECT n - 1 - i AS old_pos, i AS new_pos FROM (SELECT i, count(*) OVER () AS n FROM ({_LEN}))")
+def _(t: Tables):
+    d = index_by_id(_lengths(t), "doc_id", out="new_pos")
+    order = d.withColumn("n", d.agg(F.count(F.lit(1)).alias("c")).scalar()).select((F.col("n") - 1 - F.col("new_pos")).alias("new_pos"), F.col("new_pos").alias("old_pos"))
+    return K.inverse_order(order, "old_pos", "new_pos")
+
+
+@query("k05_imbalance_before", f"""SELECT batch_id, CAST(min(s) AS BIGINT) AS min, CAST(max(s) AS BIGINT) AS max, CAST(max(s) - min(s) AS BIGINT) AS minmax_diff, {r6('sum(s) / 4')} AS mean FROM (
+SELECT CAST(floor(i / 40) AS BIGINT) AS batch_id, floor((i % 40) / 10) AS sl, sum(len) AS s FROM ({_LEN}) GROUP BY 1, 2) GROUP BY 1""")
+def _(t: Tables):
+    parts = K.balance(_lengths(t), "doc_id", "len", 40, 4, equal_size=True)
+    return K.imbalance(parts, 40, 4).select("batch_id", "min", "max", "minmax_diff", F.round("mean", 6).alias("mean"))
+
+
+@query("k05_imbalance_after")
+def _(t: Tables):
+    return K.imbalance(K.balance(_lengths(t), "doc_id", "len", 40, 4, equal_size=True), 40, 4)
+
+
+@query("k06_balanced_order")
+def _(t: Tables):
+    return K.balanced_order(K.balance(_lengths(t), "doc_id", "len", 40, 4, equal_size=True), 40, 4)
+
+
+@query("k07_pack_samples")
+def _(t: Tables):
+    return K.pack_samples(_lengths(t), "doc_id", "len", 32768)
