@@ -68,15 +68,18 @@ def concat_batches(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def merge_meta(meta: DataFrame) -> DataFrame:
-    """One value per meta key; parts must agree, except on metrics, whose values are kept as a list."""
-    merged = meta.groupBy("key").agg(
-        F.count_distinct("value").alias("n"), F.min("value").alias("one"),
-        F.sort_array(F.collect_list(F.when(F.col("key") == METRICS_KEY, F.col("value")))).alias("all"),
+    """One row per meta key, on which all parts must agree; metrics keep a row per value.
+
+    Nothing is gathered into a list: agreement is a comparison of two partial aggregates.
+    """
+    metrics = meta.where(F.col("key") == METRICS_KEY).select("key", "value")
+    others = meta.where(F.col("key") != METRICS_KEY).groupBy("key").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi")
     )
-    value = F.when(F.col("key") == METRICS_KEY, F.col("all")).when(F.col("n") <= 1, F.array("one")).otherwise(
+    value = F.when(F.col("lo").eqNullSafe(F.col("hi")), F.col("lo")).otherwise(
         F.raise_error(F.concat(F.lit("parts disagree on meta key "), F.col("key")))
     )
-    return merged.select("key", value.alias("values"))
+    return others.select("key", value.alias("value")).unionByName(metrics)
 
 
 def _count(df: DataFrame) -> Column:

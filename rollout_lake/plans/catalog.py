@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, evaluation, flagship, policy, preparation, rewards, sequences, trajectories  # noqa: F401
+from . import answers, evaluation, flagship, policy, preparation, rewards, sequences, storage, trajectories  # noqa: F401
 from .registry import ORACLES, QUERIES, Tables
 
 

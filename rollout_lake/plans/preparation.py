@@ -313,10 +313,12 @@ def _(t: Tables):
     return C.concat_batches([a, a.where("o_totalprice > 100000")]).select("o_orderkey", "o_orderstatus")
 
 
-@query("c05_merge_meta", "SELECT l_linestatus AS key, 'same' AS \"values\" FROM lineitem GROUP BY 1")
+@query("c05_merge_meta", "SELECT l_linestatus AS key, 'same' AS value FROM lineitem GROUP BY 1 UNION ALL SELECT 'metrics', CAST(l_quantity AS STRING) FROM (SELECT CAST(l_quantity AS BIGINT) AS l_quantity FROM lineitem)")
 def _(t: Tables):
-    meta = t.table("lineitem").select(F.col("l_linestatus").alias("key"), F.lit("same").alias("value"))
-    return C.merge_meta(meta).select("key", F.array_join("values", ",").alias("values"))
+    line = t.table("lineitem")
+    meta = line.select(F.col("l_linestatus").alias("key"), F.lit("same").alias("value"))
+    metrics = line.select(F.lit("metrics").alias("key"), F.col("l_quantity").cast("bigint").cast("string").alias("value"))
+    return C.merge_meta(C.concat_batches([meta, metrics]))
 
 
 @query("c06_chunk_rows", "SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / ((SELECT count(*) FROM orders) / 5)) AS BIGINT) AS chunk FROM orders")
