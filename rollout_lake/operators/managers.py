@@ -25,7 +25,8 @@ def math_manager(df: DataFrame, response: str, truth: str) -> DataFrame:
 def math_exec_manager(df: DataFrame, response: str, truth: str, runs: DataFrame, keys: list[str]) -> DataFrame:
     """Grade the tail of the recorded output; half credit when the tool was not really used."""
     used = S.tool_use(df, runs, keys, response)
-    solution = F.coalesce(output_tail(F.col("stdout")), F.lit(""))
+    ran = F.when(F.col("use_code") == 1, output_tail(F.col("stdout")))
+    solution = F.coalesce(ran, F.lit(""))
     graded = F.when(X.math_equal(X.extract_answer(solution, "math"), F.col(truth)), 1.0).otherwise(0.0)
     scored = used.withColumn("score", tool_use_credit(graded, F.col("true_tool_use")))
     return scored.select(*df.columns, "use_code", "no_bug_code", "true_tool_use", "score")

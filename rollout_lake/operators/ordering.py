@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNKS = 4096
+CUTS = 256
 
 
 def shuffle_key(seed: int, *keys: str | Column) -> Column:
@@ -28,11 +30,17 @@ def digest_chunk(digest: Column) -> Column:
     return F.substring(digest, 1, 3)
 
 
-def range_chunk(df: DataFrame, col: str, chunks: int = CHUNKS) -> Column:
-    """Equal-width chunk number of a numeric order column, bounds found by one aggregate."""
-    bounds = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi")).alias("b")).scalar()
-    width = bounds["hi"] - bounds["lo"] + F.lit(1)
-    return F.floor((F.col(col) - bounds["lo"]) * F.lit(chunks) / width)
+def with_ordered_chunks(df: DataFrame, col: str, out: str = "__bucket", cuts: int = CUTS) -> DataFrame:
+    """Add an ordered chunk number of a numeric column, about equally many rows in each.
+
+    The borders come from one approximate pass and are constants of the plan, so a
+    repeated task puts a row into the same chunk. At most ``cuts`` numbers reach the
+    driver, and values that cluster do not fill one chunk.
+    """
+    borders = df.approxQuantile(col, [i / cuts for i in range(1, cuts)], 0.5 / cuts)
+    inner = sorted(set(borders)) or [0.0]
+    splits = [float("-inf"), *inner, float("inf")]
+    return Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
 
 
 def running_total(
@@ -84,7 +92,7 @@ def row_index(
 
 def index_by_id(df: DataFrame, id_col: str, out: str = "row_index") -> DataFrame:
     """Dense zero-based index of rows with a unique numeric id."""
-    return row_index(df, [id_col], range_chunk(df, id_col), out=out)
+    return row_index(with_ordered_chunks(df, id_col), [id_col], F.col("__bucket"), out=out).drop("__bucket")
 
 
 def seeded_index(

@@ -9,30 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import running_total
-
-CUTS = 256
-
-
-def _ordered_chunks(df: DataFrame, value: str) -> Bucketizer:
-    """Chunk borders from one approximate pass; at most ``CUTS`` numbers reach the driver."""
-    cuts = df.approxQuantile(value, [i / CUTS for i in range(1, CUTS)], 0.5 / CUTS)
-    inner = sorted(set(cuts)) or [0.0]
-    return Bucketizer(
-        splits=[float("-inf"), *inner, float("inf")], inputCol=value, outputCol="__bucket", handleInvalid="keep"
-    )
-
+from .ordering import running_total, with_ordered_chunks
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """One row with the linearly interpolated quantiles of the non-null values."""
     values = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias(value))
     counted = values.groupBy(value).agg(F.count(F.lit(1)).alias("__cnt"))
-    chunked = _ordered_chunks(values, value).transform(counted)
-    ranked = running_total(chunked, F.col("__cnt"), [value], F.col("__bucket"), out="__end")
+    ranked = running_total(with_ordered_chunks(counted, value), F.col("__cnt"), [value], F.col("__bucket"), out="__end")
     total = counted.agg(F.sum("__cnt").alias("n")).scalar()
     ranked = ranked.withColumns({"__start": F.col("__end") - F.col("__cnt"), "__n": total})
 

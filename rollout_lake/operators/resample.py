@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .groups import attach_group_stats
 from .ordering import seeded_index
 
+BROADCAST_GROUPS = 100_000
 MIN_STD = 1e-3
 """Groups whose reward deviation is below this carry no signal (fixed value)."""
 
@@ -127,4 +128,7 @@ def downsample_groups(rows: DataFrame, uid: str, batch_size: int, seed: int) ->
     ).otherwise(F.lit(True))
     ranked = seeded_index(ids, [uid], seed, out="__rank")
     chosen = ranked.where((F.col("__rank") < batch_size) & enough).select(uid)
+    if batch_size <= BROADCAST_GROUPS:
+        # the chosen ids are at most batch_size rows, and a hot group stays where it is
+        chosen = F.broadcast(chosen)
     return rows.join(chosen, uid, "left_semi").select(*cols)

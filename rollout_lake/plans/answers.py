@@ -149,12 +149,12 @@ def _(t: Tables):
     return t.view("responses").select("case_id", X.find_box(F.col("response")).alias("found"))
 
 
-def _ladder_sql(col: str = "response") -> str:
+def _ladder_sql(src: str = "SELECT case_id, response AS r FROM @responses") -> str:
     return f"""SELECT case_id, CASE WHEN contains(r, 'final answer is $') AND contains(r, '$. I hope') THEN trim(string_split(string_split(r, 'final answer is $')[2], '$. I hope')[1], {WS})
 WHEN contains(r, 'boxed') THEN {_FIND_BOX} WHEN contains(r, 'he answer is') THEN trim(string_split(r, 'he answer is')[-1], {WS})
 WHEN contains(r, 'final answer is') THEN trim(string_split(r, 'final answer is')[-1], {WS})
 ELSE coalesce(regexp_extract_all(replace(r, ',', ''), {q(X.NUMBER)})[-1], '') END AS s
-FROM (SELECT case_id, {col} AS r, string_split({col}, 'boxed')[-1] AS a FROM @responses)"""
+FROM (SELECT case_id, r, string_split(r, 'boxed')[-1] AS a FROM ({src}))"""
 
 
 _LADDER_TAIL = [rx(r"\n\s*"), rx(r"^:", flags=""), rx(r"\.$", flags=""), rx(r"/$", flags="")]
@@ -226,7 +226,8 @@ def _all_flat(pa: str, pb: str) -> str:
     return f"(len({pa}) = len({pb}) AND list_bool_and(list_transform(range(1, len({pa}) + 1), lambda i: coalesce({flat_sql(f'{pa}[i]', f'{pb}[i]')}, false))))"
 
 
-_MATH_EQUAL = f"""SELECT case_id, CASE WHEN flat THEN true WHEN num IS NOT NULL THEN false ELSE coalesce(p <> '' AND (tuple_hit OR matrix_hit OR coalesce(CASE WHEN NOT contains(r, '=') THEN ({flat_sql('pe', 'r')})
+def math_equal_sql(src: str) -> str:
+    return f"""SELECT case_id, CASE WHEN flat THEN true WHEN num IS NOT NULL THEN false ELSE coalesce(p <> '' AND (tuple_hit OR matrix_hit OR coalesce(CASE WHEN NOT contains(r, '=') THEN ({flat_sql('pe', 'r')})
 WHEN NOT contains(p, '=') THEN ({flat_sql('p', 're')}) END, false)), false) END AS equal FROM (
 SELECT *, {flat_sql('pred', 'gold')} AS flat, {numeric_sql('pred', 'gold')} AS num,
 CASE WHEN len(string_split(p, '=')) = 2 AND length(trim(string_split(p, '=')[1])) <= 2 THEN string_split(p, '=')[2] END AS pe,
@@ -234,10 +235,10 @@ CASE WHEN len(string_split(r, '=')) = 2 AND length(trim(string_split(r, '=')[1])
 regexp_matches(p, '^[(\\[].+[)\\]]') AND regexp_matches(r, '^[(\\[].+[)\\]]') AND {_all_flat("string_split(p[2:-2], ',')", "string_split(r[2:-2], ',')")} AS tuple_hit,
 starts_with(p, '\\begin{{pmatrix}}') AND starts_with(r, '\\begin{{pmatrix}}') AND {_all_flat("pc", "rc")} AS matrix_hit
 FROM (SELECT case_id, pred, gold, trim(pred) AS p, trim(gold) AS r, regexp_split_to_array(replace(replace(pred, '\\begin{{pmatrix}}', ''), '\\end{{pmatrix}}', ''), '&|\\\\\\\\') AS pc,
-regexp_split_to_array(replace(replace(gold, '\\begin{{pmatrix}}', ''), '\\end{{pmatrix}}', ''), '&|\\\\\\\\') AS rc FROM @answers))"""
+regexp_split_to_array(replace(replace(gold, '\\begin{{pmatrix}}', ''), '\\end{{pmatrix}}', ''), '&|\\\\\\\\') AS rc FROM ({src})))"""
 
 
-@query("f12_math_equal", _MATH_EQUAL)
+@query("f12_math_equal", math_equal_sql("SELECT case_id, pred, gold FROM @answers"))
 def _(t: Tables):
     return t.view("answers").select("case_id", X.math_equal(F.col("pred"), F.col("gold")).alias("equal"))
 
@@ -275,12 +276,68 @@ def _(t: Tables):
     return t.view("answers").select("case_id", F.array_join(X.split_tuple(F.col("pred")), "|").alias("parts"))
 
 
-@query("f15_grade_strict")
+def grade_sql(src: str) -> str:
+    """Strict grade over a select of case_id, g (may be null) and t."""
+    def light(c):
+        inner = f"regexp_extract(trim({c}, {WS}), '^\\\\text\\{{(.+?)\\}}$', 1)"
+        text = f"CASE WHEN {inner} <> '' THEN trim({inner}, {WS}) ELSE trim({c}, {WS}) END"
+        return f"SELECT case_id, coalesce(s, o) AS v FROM ({short_sql(f'SELECT case_id, {text} AS s, {text} AS o FROM ({src})')})"
+
+    def strict(c):
+        return strict_sql(f"SELECT case_id, {c} AS s FROM ({src})")
+
+    def parts(c):
+        return (f"CASE WHEN {c} = '' THEN [] WHEN regexp_matches({c}, '^[()\\[\\]].+[()\\[\\]]$') AND NOT regexp_matches({c}[2:-2], '[()\\[\\]]') "
+                f"THEN list_transform(string_split({c}[2:-2], ','), lambda x: trim(x, {WS})) ELSE [{c}] END")
+
+    def nocomma(c):
+        return rx(r"(\d),(\d\d\d)($|\D)", r"\1\2\3", s=c)
+
+    frac = q(X._FRACTION)
+    number = "TRY_CAST(trim({}) AS DOUBLE)"
+    whole = "coalesce(regexp_matches({0}, " + q(FLOAT) + ") AND abs(TRY_CAST(trim({0}) AS DOUBLE) - round(TRY_CAST(trim({0}) AS DOUBLE))) <= 1e-7, false)"
+    x, y = "ge[i]", "te[i]"
+    alike = f"({x} = {y} OR (regexp_matches({x}, {q(FLOAT)}) AND regexp_matches({y}, {q(FLOAT)}) AND {number.format(x)} = {number.format(y)}))"
+    element = f"CASE WHEN regexp_matches({x}, {frac}) AND regexp_matches({y}, {frac}) THEN {x} = {y} WHEN {whole.format(x)} <> {whole.format(y)} THEN false ELSE {alike} END"
+    return f"""SELECT case_id, CASE WHEN g IS NULL THEN false WHEN lg = lt THEN true WHEN sg = st THEN true WHEN sg = '' THEN false
+WHEN len(te) > 1 AND (left(sg, 1) <> left(st, 1) OR right(sg, 1) <> right(st, 1)) THEN false WHEN len(ge) <> len(te) THEN false
+ELSE coalesce(list_bool_and(list_transform(range(1, len(te) + 1), lambda i: {element})), true) END AS correct FROM (
+SELECT b.case_id, b.g, lg.v AS lg, lt.v AS lt, sg.s AS sg, st.s AS st, {parts(nocomma('sg.s'))} AS ge, {parts(nocomma('st.s'))} AS te
+FROM ({src}) b JOIN ({light('g')}) lg ON b.case_id = lg.case_id JOIN ({light('t')}) lt ON b.case_id = lt.case_id
+JOIN ({strict('g')}) sg ON b.case_id = sg.case_id JOIN ({strict('t')}) st ON b.case_id = st.case_id)"""
+
+
+@query("f15_grade_strict", grade_sql("SELECT case_id, pred AS g, gold AS t FROM @answers"))
 def _(t: Tables):
     return t.view("answers").select("case_id", X.grade_strict(F.col("pred"), F.col("gold")).alias("correct"))
 
 
-@query("f16_match_answer")
+def _match_sql() -> str:
+    src = "SELECT case_id, response AS s, false AS m FROM @responses"
+
+    def step(hit, expr):
+        nonlocal src
+        src = f"SELECT * REPLACE (CASE WHEN {hit} THEN trim({expr}, {WS}) ELSE s END AS s, (m OR {hit}) AS m) FROM ({src})"
+
+    def tail(mark):
+        return f"length(string_split(lower(s), {mark})[-1])"
+
+    def after(mark):
+        step(f"contains(lower(s), {q(mark)})", f"right(s, {tail(q(mark))})")
+
+    for mark in X.AFTER_MARKERS:
+        after(mark)
+    for mark in X.BEFORE_MARKERS:
+        step(f"contains(lower(s), {q(mark)})", f"left(s, length(s) - {tail(q(mark))} - {len(mark)})")
+    box = f"trim(regexp_extract_all(s, {q(BOXED)}, 1)[-1], {WS})"
+    step(f"coalesce({box}, '') <> ''", box)
+    src = f"SELECT * REPLACE (CASE WHEN contains(s, '. ') THEN trim(left(s, length(s) - length(string_split(s, '. ')[-1]) - 2), {WS}) ELSE s END AS s) FROM ({src})"
+    for mark in X.VERB_MARKERS:
+        after(mark)
+    return f"SELECT case_id, m AND regexp_matches(s, '\\d') AS matched, s AS answer FROM ({src})"
+
+
+@query("f16_match_answer", _match_sql())
 def _(t: Tables):
     m = t.view("responses").withColumn("m", X.match_answer(F.col("response")))
     return m.select("case_id", "m.matched", "m.answer")
@@ -298,7 +355,8 @@ def _(t: Tables):
         X.hash_score(r, truth, format_score=0.1).alias("score"))
 
 
-@query("f18_think_score")
+@query("f18_think_score", f"""SELECT g.case_id, {r6("9e-1 * CASE WHEN correct THEN 1 ELSE 0 END + 1e-1 * CASE WHEN regexp_full_match(response, '(?s)<think>.*</think>.*\\\\boxed[{].*[}].*') THEN 1 ELSE 0 END")} AS score
+FROM ({grade_sql(f"SELECT case_id, trim(regexp_extract_all(response, {q(BOXED)}, 1)[-1], {WS}) AS g, gold AS t FROM @responses")}) g JOIN @responses r ON g.case_id = r.case_id""")
 def _(t: Tables):
     return t.view("responses").select("case_id", F.round(X.think_score(F.col("response"), F.col("gold")), 6).alias("score"))
 
@@ -310,7 +368,13 @@ def _(t: Tables):
     return t.view("responses").select("case_id", F.md5(X.trim_transcript(whole)).alias("digest"))
 
 
-@query("f20_transcript_score")
+_TRIMMED = f"SELECT case_id, gold, response, CASE WHEN contains(response, '<|im_end|>') THEN trim(string_split(response, '<|im_end|>')[1], {WS}) ELSE response END AS r FROM @responses"
+_ANSWERED = f"SELECT a.case_id, a.s AS pred, r.gold FROM ({normalise_sql(chain(_ladder_sql(f'SELECT case_id, r FROM ({_TRIMMED})'), *_LADDER_TAIL))}) a JOIN @responses r ON a.case_id = r.case_id"
+TRANSCRIPT_SQL = f"""SELECT e.case_id, CASE WHEN equal THEN 1e0 ELSE 0e0 END AS score, CASE WHEN len(regexp_extract_all(right(r, 1500), {q(BOXED)})) > 0 THEN 1 ELSE 0 END AS is_boxed_ratio,
+CASE WHEN regexp_matches(response, '(?s)```(?:py|python)?\\n.*?\\n```\\nCode execution result:') THEN 1 ELSE 0 END AS valid_code FROM ({math_equal_sql(_ANSWERED)}) e JOIN ({_TRIMMED}) t ON e.case_id = t.case_id"""
+
+
+@query("f20_transcript_score", TRANSCRIPT_SQL)
 def _(t: Tables):
     s = t.view("responses").withColumn("s", S.transcript_score(F.col("response"), F.col("gold")))
     return s.select("case_id", "s.*")
@@ -391,7 +455,21 @@ def _(t: Tables):
     return t.view("rollouts").select("uid", "line", "part", "supp", "price", S.prefer_model_score(rm, F.col("score")).alias("score"))
 
 
-@query("f30_rough_match")
+_LOOSE = "replace(replace({}, ',', ''), '$', '')"
+
+
+def _rough_sql() -> str:
+    w = _LOOSE.format("w")
+    num = f"CASE WHEN ends_with({w}, '%') THEN CASE WHEN regexp_matches(rtrim({w}, '%'), {q(FLOAT)}) THEN CAST(rtrim({w}, '%') AS DOUBLE) / 100 END WHEN regexp_matches({w}, {q(FLOAT)}) THEN CAST({w} AS DOUBLE) END"
+    gold = f"CASE WHEN regexp_matches({_LOOSE.format('gold')}, {q(FLOAT)}) THEN CAST({_LOOSE.format('gold')} AS DOUBLE) END"
+    ops = "('+', '-', '*', '/', '^')"
+    ok = (f"NOT coalesce(i > 1 AND ws[i - 1] IN {ops}, false) AND NOT coalesce(ws[i + 1] IN {ops}, false) AND regexp_matches(w, '\\d') "
+          f"AND coalesce(abs({num} - a) < 1e-3, false) AND NOT contains(w[i:], '=')")
+    return f"""SELECT case_id, CASE WHEN len(list_filter(list_transform(ws, lambda w, i: {ok}), lambda x: x)) > 0 THEN 1 ELSE 0 END AS hit FROM (
+SELECT case_id, {gold} AS a, list_filter(regexp_split_to_array(coalesce(list_filter(string_split(response, chr(10)), lambda l: regexp_matches(l, '\\d'))[-1], string_split(response, chr(10))[1]), '\\s+'), lambda w: w <> '') AS ws FROM @responses)"""
+
+
+@query("f30_rough_match", _rough_sql())
 def _(t: Tables):
     return t.view("responses").select("case_id", X.rough_match(F.col("response"), F.col("gold")).alias("hit"))
 

@@ -28,6 +28,10 @@ def _docs(t: Tables):
     return t.table("documents")
 
 
+def _texts(t: Tables):
+    return t.spread(t.table("documents").select("doc_id", "text", "lang", "source"))
+
+
 def _chat(t: Tables):
     return B.prompt_to_chat(_docs(t).withColumnRenamed("text", "prompt"))
 
@@ -123,7 +127,7 @@ def _padded(arr, pad, n):
     f"SELECT doc_id, '{kind}' AS kind, md5(array_to_string({_padded(_PAIR.format(r=r), 'CAST(0 AS BIGINT)', 400)}, ',')) AS ids, CAST(least(len(p) + len({r}) + 1, 400) AS BIGINT) AS attended FROM (SELECT doc_id, {IDS.format('text')} AS p, {IDS.format('source')} AS c, {IDS.format('lang')} AS j FROM documents)"
     for kind, r in (("chosen", "c"), ("rejected", "j"))))
 def _(t: Tables):
-    d = _docs(t).select("doc_id", _ids("text").alias("p"), _ids("source").alias("c"), _ids("lang").alias("j"))
+    d = _texts(t).select("doc_id", _ids("text").alias("p"), _ids("source").alias("c"), _ids("lang").alias("j"))
     pairs = B.preference_pairs(d, "p", "c", "j", 400, 7)
     return pairs.select("doc_id", "kind", _dig("input_ids").alias("ids"), A.count_ones("attention_mask").alias("attended"))
 
@@ -139,7 +143,7 @@ md5(array_to_string(list_transform(range(0, 300), lambda i: CASE WHEN i < CASE W
 md5(array_to_string(list_transform(range(0, 300), lambda i: least(i, least(n, 300) - 1)), ',')) AS positions FROM (
 SELECT *, len(a) AS n, len(p) AS np FROM (SELECT doc_id, p, list_concat(p, r, [7]) AS a FROM (SELECT doc_id, """ + IDS.format("text") + " AS r, " + IDS.format("concat(source, ' ', lang, ' ', source)") + " AS p FROM documents)))")
 def _(t: Tables):
-    d = _docs(t).select("doc_id", _ids(F.concat_ws(" ", "source", "lang", "source")).alias("p"), _ids("text").alias("r"))
+    d = _texts(t).select("doc_id", _ids(F.concat_ws(" ", "source", "lang", "source")).alias("p"), _ids("text").alias("r"))
     s = B.fine_tuning_rows(d, "p", "r", 300, 7, truncation="right")
     return s.select("doc_id", _dig("input_ids").alias("ids"), A.count_ones("attention_mask").alias("attended"), _dig("loss_mask").alias("loss"), _dig("position_ids").alias("positions"))
 
@@ -150,7 +154,7 @@ _TAGGED = "concat('Plan.', chr(10), '<code> a = 1', chr(10), '<end_of_step>', ch
 @query("b16_rewrite_tags", "SELECT doc_id, md5(concat('Plan.', chr(10), '```python', chr(10), 'a = 1', chr(10), 'b = 2', chr(10), '```', text, 'Code execution result: ', CAST(doc_id AS STRING), '```python', chr(10), 'c', chr(10), '```', lang)) AS digest FROM documents")
 def _(t: Tables):
     tagged = F.expr(_TAGGED.format(id="doc_id"))
-    return _docs(t).select("doc_id", F.md5(B.rewrite_tags(tagged)).alias("digest"))
+    return _texts(t).select("doc_id", F.md5(B.rewrite_tags(tagged)).alias("digest"))
 
 
 @query("b17_to_messages", "SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'assistant' ELSE 'user,assistant' END AS roles FROM conversations")

@@ -19,9 +19,20 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows over all cores when the files give fewer partitions than there are.
+
+        For work that is heavy per row: a file with one row group is one task. Large
+        tables have enough splits and pass through unchanged.
+        """
+        wanted = self.spark.sparkContext.defaultParallelism
+        return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
     def view(self, name: str) -> DataFrame:
         source, exprs, where = views.VIEWS[name]
         base = self.view(source) if source in views.VIEWS else self.table(source)
+        if name in views.HEAVY:
+            base = self.spread(base)
         out = base.selectExpr(*exprs)
         return out.where(where) if where else out
 

@@ -20,7 +20,7 @@ def _ids(df, *keep):
 
 
 def _docs(t: Tables):
-    return _ids(t.table("documents"), "doc_id")
+    return _ids(t.spread(t.table("documents").select("doc_id", "text")), "doc_id")
 
 
 def _conv(t: Tables):

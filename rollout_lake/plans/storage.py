@@ -12,10 +12,10 @@ from ..operators import managers  # noqa: F401  fills the registries
 from ..session import scratch_path
 from ..sources import files as A
 from ..streaming import steps as L
-from .answers import _JUDGED_SQL, _runs
+from .answers import _JUDGED_SQL, _LADDER_TAIL, TRANSCRIPT_SQL, _ladder_sql, _runs, chain, math_equal_sql, normalise_sql
 from .registry import Tables, query, r6
 from .rewards import HOUR_SQL
-from .trajectories import _wrapped
+from .trajectories import _OBS_SQL, _wrapped
 
 
 def _doc_meta(t: Tables):
@@ -256,12 +256,17 @@ def _(t: Tables):
     return M.MANAGERS.get("code")(t.view("code_tasks"), "code", "truth", _runs(t), "sol_id").select("sol_id", "score")
 
 
-@query("m02_math_manager")
+@query("m02_math_manager", TRANSCRIPT_SQL)
 def _(t: Tables):
     return M.MANAGERS.get("math")(t.view("responses"), "response", "gold").select("case_id", "score", "is_boxed_ratio", "valid_code")
 
 
-@query("m02_math_exec_manager")
+_EXEC_SRC = f"SELECT traj_id * 1000 + turn AS case_id, CASE WHEN coded THEN right(stdout, 1000) ELSE '' END AS r FROM ({_OBS_SQL})"
+_EXEC_ANS = f"SELECT case_id, s AS pred, CAST(CAST(floor(case_id / 1000) AS BIGINT) AS STRING) AS gold FROM ({normalise_sql(chain(_ladder_sql(_EXEC_SRC), *_LADDER_TAIL))})"
+
+
+@query("m02_math_exec_manager", f"""SELECT traj_id, turn, CASE WHEN coded THEN 1 ELSE 0 END AS use_code, CASE WHEN coded AND stderr = '' THEN 1 ELSE 0 END AS true_tool_use,
+CASE WHEN NOT equal THEN 0e0 WHEN coded AND stderr = '' THEN 1e0 ELSE 0.5e0 END AS score FROM ({_OBS_SQL}) o JOIN ({math_equal_sql(_EXEC_ANS)}) e ON e.case_id = o.traj_id * 1000 + o.turn""")
 def _(t: Tables):
     turns = t.view("turns").withColumn("truth", F.col("traj_id").cast("string"))
     out = M.MANAGERS.get("math_exec")(turns, "text", "truth", t.view("exec_log"), ["traj_id", "turn"])

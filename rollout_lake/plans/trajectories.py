@@ -139,7 +139,7 @@ SELECT *, text || chr(10) || 'Code execution result:' || c1 || '```mid```' || 'c
 def _wrapped(t: Tables):
     c1 = F.expr(_C1)
     w = F.concat("text", F.lit("\nCode execution result:"), c1, F.lit("```mid```code execution RESULT: fine "), "lang")
-    return t.table("documents").select("doc_id", w.alias("w"))
+    return t.spread(t.table("documents").select("doc_id", "text", "lang")).select("doc_id", w.alias("w"))
 
 
 @query("e12_find_observations", f"SELECT doc_id, CAST(s1 AS INTEGER) AS \"start\", CAST(e1 AS INTEGER) AS \"end\", err1 AS has_error FROM ({_SPAN_SRC}) UNION ALL SELECT doc_id, CAST(s2 AS INTEGER), CAST(e2 AS INTEGER), err2 FROM ({_SPAN_SRC})")

@@ -181,6 +181,9 @@ VIEWS: dict[str, tuple[str, list[str], str | None]] = {
     ),
 }
 
+HEAVY = ("answers",)
+"""Views whose rows feed long text expressions."""
+
 # one row per token of a logged sequence, for the counterpart queries
 TOKENS_SQL = (
     "SELECT *, old_lp - 9e-1 * e + (seq_id * 7 + pos * 11) % 23 / 2e3 AS rollout_lp, "
