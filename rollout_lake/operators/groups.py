@@ -46,8 +46,9 @@ def _join_by_weight(
     """
     cols = df.columns
     names = [c for c in stats.columns if c not in keys and c != "__n"]
-    limit = stats.agg(F.sum("__n").alias("t")).scalar() / F.lit(hot_parts)
-    packed = F.struct(*[F.col(c) for c in names])
+    limit = df.agg(F.count(F.lit(1)).alias("t")).scalar() / F.lit(hot_parts)
+    # both sides keep the row count, so that they read one and the same exchange
+    packed = F.struct("__n", *[F.col(c) for c in names])
     hot = stats.where(F.col("__n") > limit).select(
         *[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], packed.alias("__hot")
     )

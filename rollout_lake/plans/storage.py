@@ -147,7 +147,9 @@ def _event_stream(t: Tables, files: int = 1):
         folder = scratch_path(t.spark, "events")
         t.table("events").repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(folder)
         raw = L.read_files(t.spark, folder, schema, files_per_batch=1)
-    return raw.withColumn("at", F.col("ts").cast("timestamp"))
+    # the zone-less event time as an instant, whatever the session's time zone
+    micros = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
+    return raw.withColumn("at", F.expr(f"timestamp_micros({micros})"))
 
 
 @query("l01_stream_scored_records", "SELECT event_id, user_id, CASE WHEN value > 20 THEN 1e0 ELSE 0e0 END AS score FROM events")
