@@ -100,22 +100,22 @@ max(CASE WHEN void_ok = 0 THEN 1 ELSE 0 END) AS void FROM ({weights_sql(level, g
 
 @query("h07_masked_fractions", "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{lv}' AS level, * FROM ({_fractions_sql(lv, g, r6('sum(outside) / (sum(n) + 1e-8)') + ' AS masked_fraction, ' + r6('avg(clipped)') + ' AS seq_masked_fraction')})"
-    for lv, g in (("token", False), ("sequence", True))) + ")")
+    for lv, g in (("token", False), ("sequence", False))) + ")")
 def _(t: Tables):
     parts = [
         H.masked_fractions(_weights(t, lv, g, "mask"), "loss_mask", lv).select(
             F.lit(lv).alias("level"), F.round("masked_fraction", 6).alias("masked_fraction"),
             F.round("seq_masked_fraction", 6).alias("seq_masked_fraction"))
-        for lv, g in (("token", False), ("sequence", True))
+        for lv, g in (("token", False), ("sequence", False))
     ]
     return parts[0].unionByName(parts[1])
 
 
-@query("h08_void_turn_shares", _fractions_sql("sequence", True, ", ".join([
+@query("h08_void_turn_shares", _fractions_sql("sequence", False, ", ".join([
     r6("coalesce(sum(void * clipped) / nullif(sum(clipped), 0), 0)") + " AS void_turn_in_masked_ratio",
     r6("coalesce(sum(void * clipped) / nullif(sum(void), 0), 0)") + " AS masked_in_void_turn_ratio"])))
 def _(t: Tables):
-    out = H.masked_fractions(_weights(t, "sequence", True, "mask"), "loss_mask", "sequence", "void_ok")
+    out = H.masked_fractions(_weights(t, "sequence", False, "mask"), "loss_mask", "sequence", "void_ok")
     return out.select(F.round("void_turn_in_masked_ratio", 6).alias("void_turn_in_masked_ratio"),
                       F.round("masked_in_void_turn_ratio", 6).alias("masked_in_void_turn_ratio"))
 
@@ -323,12 +323,15 @@ def _(t: Tables):
     return wide.unpivot([], list(O.LOSS_MODES), "mode", "loss").select("mode", F.round("loss", 6).alias("loss"))
 
 
+TIGHT_LOW, TIGHT_HIGH = 0.008, 0.01
+
+
 def _register_objective(name, level, geometric, mode):
-    sql = objective_sql(log_w_sql("new_lp", "old_lp", "loss_mask", level, geometric, floor=level == "sequence"), "loss_mask", mode, "old_lp - new_lp", CLIP_LOW, CLIP_HIGH, "1.15", extra=DUAL)
+    sql = objective_sql(log_w_sql("new_lp", "old_lp", "loss_mask", level, geometric, floor=level == "sequence"), "loss_mask", mode, "old_lp - new_lp", TIGHT_LOW, TIGHT_HIGH, "1.004", extra=DUAL)
 
     @query(name, sql)
     def _(t: Tables):
-        rep = O.level_objective(_tokens(t), "new_lp", "old_lp", "loss_mask", "adv", level, geometric, CLIP_LOW, CLIP_HIGH, 1.15, mode, 64, "turn_end")
+        rep = O.level_objective(_tokens(t), "new_lp", "old_lp", "loss_mask", "adv", level, geometric, TIGHT_LOW, TIGHT_HIGH, 1.004, mode, 64, "turn_end")
         return _rounded(rep, rep.columns, 6)
 
 
@@ -340,9 +343,9 @@ _register_objective("h20_cum_turn_objective", "cum-turn", True, "seq-mean-token-
 
 @query("h20_cum_turn_objective_weighted", objective_sql(
     f"SELECT a.*, w.weight FROM ({log_w_sql('new_lp', 'old_lp', 'loss_mask', 'cum-turn', True)}) a JOIN ({weights_sql('sequence', True, 'truncate')}) w ON a.seq_id = w.seq_id AND a.pos = w.pos",
-    "loss_mask", "token-mean", "old_lp - new_lp", CLIP_LOW, CLIP_HIGH, "1.15", weight="weight", extra=DUAL))
+    "loss_mask", "token-mean", "old_lp - new_lp", TIGHT_LOW, TIGHT_HIGH, "1.004", weight="weight", extra=DUAL))
 def _(t: Tables):
-    rep = O.level_objective(_weights(t, "sequence", True, "truncate"), "new_lp", "old_lp", "loss_mask", "adv", "cum-turn", True, CLIP_LOW, CLIP_HIGH, 1.15, turn_end="turn_end", weight="weight")
+    rep = O.level_objective(_weights(t, "sequence", True, "truncate"), "new_lp", "old_lp", "loss_mask", "adv", "cum-turn", True, TIGHT_LOW, TIGHT_HIGH, 1.004, turn_end="turn_end", weight="weight")
     return _rounded(rep, rep.columns, 6)
 
 

@@ -297,3 +297,20 @@ def _(t: Tables):
     _wrapped(t).createOrReplaceTempView("rollout_lake_transcripts")
     rows = t.spark.sql("SELECT doc_id, s.* FROM rollout_lake_transcripts, LATERAL observation_spans(w) s")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"), F.count_if("has_error").alias("errors"))
+
+
+@query("m05_group_function", "SELECT uid, line, part, supp, price, max(score) OVER w AS best, min(resp_len) OVER w AS shortest FROM @rollouts WINDOW w AS (PARTITION BY uid)")
+def _(t: Tables):
+    from ..operators.groups import attach_group_stats
+
+    out = attach_group_stats(t.view("rollouts"), ["uid"], [F.max("score").alias("best"), F.min("resp_len").alias("shortest")])
+    return out.select("uid", "line", "part", "supp", "price", "best", "shortest")
+
+
+@query("m06_masked_aggregates", f"""WITH s AS (SELECT sum(old_lp * mask) / (sum(mask) + 1e-8) AS mean, sum(mask) AS n FROM @tok)
+SELECT {r6('any_value(s.mean)')} AS mean, {r6('sum(mask * (old_lp - s.mean) * (old_lp - s.mean)) / (any_value(s.n) + 1e-8) * any_value(s.n) / (any_value(s.n) - 1)', 8)} AS var, CAST(any_value(s.n) AS BIGINT) AS count FROM @tok t, s""")
+def _(t: Tables):
+    from ..operators.tokens import explode_tokens, masked_stats
+
+    s = masked_stats(explode_tokens(t.sequences(), ["old_lp", "mask"], keep=()), "old_lp", "mask")
+    return s.select(F.round("mean", 6).alias("mean"), F.round("var", 8).alias("var"), "count")
