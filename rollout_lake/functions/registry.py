@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
+from .text import EMPTY_OBSERVATIONS, ERROR_WORDS, RESULT_LABEL
+
 RESULT = StructType([
     StructField("score", DoubleType()),
     StructField("is_filter", IntegerType()),
@@ -124,10 +127,6 @@ class ObservationSpans:
     """Spans of a transcript's observations, one row each, for lateral joins in SQL."""
 
     def eval(self, text: str):
-        import re
-
-        from .text import EMPTY_OBSERVATIONS, ERROR_WORDS, RESULT_LABEL
-
         if text is None:
             return
         label = re.compile(re.escape(RESULT_LABEL), re.IGNORECASE)

@@ -277,9 +277,11 @@ def _(t: Tables):
 
 @query("m03_coerce_results", "SELECT c_custkey, c_acctbal AS score, CASE c_custkey % 3 WHEN 1 THEN 1 ELSE 0 END AS extras FROM customer")
 def _(t: Tables):
+    coerce = M.coerce_result
+
     def shard(pdf):
         kinds = {0: lambda v: v, 1: lambda v: {"score": v, "extra_info": {"a": 1}}, 2: lambda v: (v, "note")}
-        got = [M.coerce_result(kinds[k % 3](v)) for k, v in zip(pdf["c_custkey"], pdf["c_acctbal"])]
+        got = [coerce(kinds[k % 3](v)) for k, v in zip(pdf["c_custkey"], pdf["c_acctbal"])]
         return pdf[["c_custkey"]].assign(score=[g["score"] for g in got], extras=[len(g["extra_info"]) for g in got])
 
     return M.map_shards(t.table("customer").select("c_custkey", "c_acctbal"), shard, "c_custkey bigint, score double, extras int")
