@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` applied to a value that is computed once, also where it stands in a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The maximal runs of other characters than blanks."""
     bare = F.btrim(whole(text), F.lit(BLANKS))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, NO_ID, ascii_lower, empty, join_hot, rows_each, whole, written
+from .common import BLANKS, NO_ID, ascii_lower, empty, join_hot, let, rows_each, whole, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
