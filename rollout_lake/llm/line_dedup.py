@@ -53,7 +53,7 @@ class CuckooFilter:
 
     @staticmethod
     def size_for(keys: int) -> int:
-        return max(4, 1 << int(np.ceil(np.log2(max(keys, 1) / (SLOTS * 0.8)))))
+        return max(4, 1 << max(0, int(np.ceil(np.log2(max(keys, 1) / (SLOTS * 0.8))))))
 
     def _places(self, h2: int) -> tuple[int, int]:
         mark = (h2 & 0xFFFF) or 1
