@@ -25,6 +25,9 @@ MASKS = ((0, 1, 4, 5, 6, 8), (0, 2, 4, 9, 10, 11))
 BROADCAST_SEEDS = 500_000
 """Test seeds of up to this many rows (about 90 MB) are broadcast; more are joined by shuffle."""
 
+REACH = max(WINDOW - 1 - m[-1] for m in MASKS)
+"""Tokens of a window that can lie before its seed."""
+
 SPLIT_TOKENS = r"[^\p{L}\p{N}]+"
 
 
@@ -59,7 +62,7 @@ def windows(benchmark: DataFrame) -> DataFrame:
     return cut.groupBy("w").agg(F.min("item_id").alias("item_id"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """``(doc_id, item_id, start, n_equal)``: token windows of the texts that overlap the test texts.
 
     For each window of a text with a match, the smallest of the items found there and the most equal tokens.
@@ -75,23 +78,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
         seeds = part if seeds is None else seeds.unionByName(part)
     seeds = written(seeds, "test-seeds")
-    if rows_each(seeds) <= BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
     h = docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), tokens(F.col("text")).alias("h")
-    ).where(F.size("h") >= LEAST)
-    starts = h.select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - LEAST)).alias("at"))
-    probes = starts.select("doc_id", "h", "at", F.explode(F.array(
-        *[_seed(F.col("h"), F.col("at"), mask, number) for number, mask in _masks(short)]
-    )).alias("seed"))
-    hits = probes.join(seeds, "seed").withColumn("start", F.col("at") - F.col("off")).where(
-        (F.col("start") >= 0) & (F.col("start") + F.size("w") <= F.size("h"))
-    )
-    same = F.size(F.filter(F.zip_with(
-        F.slice("h", F.col("start") + 1, F.size("w")), "w", lambda a, b: a == b
-    ), lambda x: x))
+    ).where(F.size("h") >= LEAST).withColumn("n", F.size("h"))
+    starts = h.select("doc_id", "h", "n", F.explode(F.sequence(F.lit(0), F.size("h") - LEAST)).alias("at"))
+    own = F.explode(F.array(*[_seed(F.col("h"), F.col("at"), mask, number) for number, mask in _masks(short)]))
+    if rows_each(seeds) <= broadcast_seeds:
+        probes = starts.select("doc_id", "n", "at", "h", F.lit(0).alias("from"), own.alias("seed"))
+        seeds = F.broadcast(seeds)
+    else:  # through the shuffle goes what can lie in a window around the seed, not the text
+        probes = starts.select("doc_id", "n", "at", "h", own.alias("seed")).select(
+            "doc_id", "n", "at", F.slice("h", F.greatest(F.col("at") - REACH, F.lit(0)) + 1, WINDOW + REACH).alias("h"),
+            F.greatest(F.col("at") - REACH, F.lit(0)).alias("from"), "seed",
+        )
+    start = F.col("at") - F.col("off")
+    hits = probes.join(seeds, "seed").where((start >= 0) & (start + F.size("w") <= F.col("n")))
+    same = sum((
+        F.coalesce(F.get("h", start - F.col("from") + i) == F.get("w", F.lit(i)), F.lit(False)).cast("int")
+        for i in range(WINDOW)
+    ), F.lit(0))
     least = F.when(F.size("w") < WINDOW, F.size("w")).otherwise(F.lit(-int(-SIMILARITY * WINDOW // 1)))
-    return hits.select("doc_id", "item_id", "start", same.alias("n_equal"), least.alias("least")).where(
+    return hits.select("doc_id", "item_id", start.alias("start"), same.alias("n_equal"), least.alias("least")).where(
         F.col("n_equal") >= F.col("least")
     ).groupBy("doc_id", "start").agg(F.min("item_id").alias("item_id"), F.max("n_equal").alias("n_equal"))
 
