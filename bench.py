@@ -8,7 +8,7 @@ import sys
 import time
 
 from rollout_lake.plans import catalog
-from rollout_lake.session import build_session
+from rollout_lake.session import local_session
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -52,7 +52,7 @@ def run(spark, name: str) -> float:
 
 
 def main() -> None:
-    spark = build_session("bench", CPUS)
+    spark = local_session("bench", CPUS)
     wanted = sys.argv[1:] or HEADLINE
     run(spark, "entry_grpo_with_rejection")  # start-up of the JVM and the code paths is not a query
     took = {name: round(run(spark, name), 3) for name in wanted}

@@ -218,7 +218,7 @@ def word_number(s: Column) -> Column:
         only_point = F.size(F.filter(ws, lambda x: x != "point")) == 0
         return F.when((F.size(ws) > 0) & once & ~only_point, value)
 
-    return F.when(s.rlike(r"^\d+$"), s).otherwise(F.coalesce(let(known, read), s))
+    return F.when(s.rlike(r"^\d+$"), F.regexp_replace(s, r"^0+(?=\d)", "")).otherwise(F.coalesce(let(known, read), s))
 
 
 def fix_fractions(s: Column, fail: Column | None = None) -> Column:
@@ -260,7 +260,7 @@ def drop_units(s: Column) -> Column:
     def one(acc, u):
         # a dot in a unit is a wildcard, so only dotless units can be skipped by a plain search
         def cut(t):
-            out = F.regexp_replace(t, F.concat(F.lit(r"(^|\W)"), u, F.lit(r"($|\W)")), F.lit("$1$2"))
+            out = F.regexp_replace(t, F.concat(F.lit(r"(?U)(^|\W)"), u, F.lit(r"($|\W)")), F.lit("$1$2"))
             return F.when(out != "", out).otherwise(t)
 
         return F.when(F.contains(acc, u) | has(u, "."), let(acc, cut)).otherwise(acc)
@@ -269,7 +269,7 @@ def drop_units(s: Column) -> Column:
         return let(F.aggregate(units, t, one), lambda x: F.aggregate(units, x, one))
 
     # one scan for any unit spares the loop for most answers
-    return F.when(s.rlike(ANY_UNIT), let(s, twice)).otherwise(s)
+    return F.when(s.rlike("(?U)" + ANY_UNIT), let(s, twice)).otherwise(s)
 
 
 def normalise(s: Column, skip_unit: bool = False) -> Column:
@@ -523,7 +523,7 @@ def choice_answer(text: Column) -> Column:
         clean = F.ltrim(F.btrim(rstrip(rstrip(F.btrim(body, F.lit("\n")), "."), "/"), F.lit(" ")), F.lit(":"))
 
         def letter(b):
-            found = F.regexp_extract_all(F.upper(b), F.lit(r"\b([A-E])\b"), F.lit(1))
+            found = F.regexp_extract_all(F.upper(b), F.lit(r"(?U)\b([A-E])\b"), F.lit(1))
             chosen = F.when(flagged, F.get(found, F.lit(0))).otherwise(F.try_element_at(found, F.lit(-1)))
             return F.coalesce(chosen, F.btrim(strip(b), F.lit(".")))
 
@@ -535,7 +535,7 @@ def choice_answer(text: Column) -> Column:
 def last_choice(text: Column) -> Column:
     """Last choice letter of a text, else the cleaned text (the comparer's shorter form)."""
     def pick(b):
-        letter = last_match(F.upper(b), r"\b([A-E])\b", 1)
+        letter = last_match(F.upper(b), r"(?U)\b([A-E])\b", 1)
         return F.coalesce(letter, F.btrim(strip(b), F.lit(".")))
 
     body = F.ltrim(F.btrim(rstrip(rstrip(F.btrim(text, F.lit("\n")), "."), "/"), F.lit(" ")), F.lit(":"))
@@ -574,7 +574,7 @@ def extract_answer(text: Column, data_name: str, use_last_number: bool = True) -
 
     steps = [ladder]
     if data_name in ("sat_math", "aqua") or "mmlu" in data_name:
-        steps.append(lambda t: F.coalesce(last_match(F.upper(t), r"\b([A-E])\b", 1), F.btrim(strip(t), F.lit("."))))
+        steps.append(lambda t: F.coalesce(last_match(F.upper(t), r"(?U)\b([A-E])\b", 1), F.btrim(strip(t), F.lit("."))))
     steps += [
         sub(r"\n\s*"), sub(r"\A:"), sub(r"\.\z"), sub(r"/\z"),
         lambda t: normalise(t, skip_unit=data_name in UNIT_EXCEPTIONS),

@@ -10,8 +10,9 @@ import heapq
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .ordering import index_by_id
 
@@ -78,12 +79,13 @@ def _assign(method, k: int | None, equal_size: bool, max_tokens: int | None):
         for p, items in enumerate(method(lengths, min(bins, len(lengths)), equal_size)):
             for i in items:
                 part[i] = p
-        return pdf.assign(partition=part)[["batch_id", "row_index", "length", "partition"]]
+        return pdf.assign(partition=part)
 
     return run
 
 
-SCHEMA = "batch_id bigint, row_index bigint, length bigint, partition bigint"
+def _with_partition(rows: DataFrame) -> StructType:
+    return StructType([*rows.schema.fields, StructField("partition", LongType())])
 
 
 def _batches(df: DataFrame, id_col: str, length: str, batch_size: int) -> DataFrame:
@@ -92,13 +94,15 @@ def _batches(df: DataFrame, id_col: str, length: str, batch_size: int) -> DataFr
 
 
 def balance(df: DataFrame, id_col: str, length: str, batch_size: int, k: int, equal_size: bool = False, method=largest_differencing) -> DataFrame:
-    """Partition number of every row of every batch of ``batch_size`` rows."""
-    return _batches(df, id_col, length, batch_size).groupBy("batch_id").applyInPandas(_assign(method, k, equal_size, None), SCHEMA)
+    """Id, batch, row index, length and partition number of every row of every batch of ``batch_size`` rows."""
+    rows = _batches(df, id_col, length, batch_size)
+    return rows.groupBy("batch_id").applyInPandas(_assign(method, k, equal_size, None), _with_partition(rows))
 
 
 def micro_batches(df: DataFrame, id_col: str, length: str, batch_size: int, max_tokens: int) -> DataFrame:
     """As many balanced micro-batches per batch as its tokens need under the budget."""
-    return _batches(df, id_col, length, batch_size).groupBy("batch_id").applyInPandas(_assign(largest_differencing, None, False, max_tokens), SCHEMA)
+    rows = _batches(df, id_col, length, batch_size)
+    return rows.groupBy("batch_id").applyInPandas(_assign(largest_differencing, None, False, max_tokens), _with_partition(rows))
 
 
 def inverse_order(order: DataFrame, old: str, new: str) -> DataFrame:
@@ -130,14 +134,15 @@ def imbalance(parts: DataFrame, batch_size: int, k: int) -> DataFrame:
     return before.join(after, "batch_id")
 
 
-def pack_samples(df: DataFrame, id_col: str, length: str, capacity: int, block_rows: int = 4096) -> DataFrame:
-    """Pack number of every sample so that no pack holds more than ``capacity`` tokens.
+def pack_samples(df: DataFrame, id_col: str, length: str, capacity: int, shard: Column) -> DataFrame:
+    """Id, shard, length and pack number of every sample; no pack holds more than ``capacity`` tokens.
 
-    Consecutive blocks of rows are packed independently, next sample into the open pack
-    while it fits. A sample longer than the capacity fails the query.
+    Samples are packed within the shards that the caller names, in order of the id: the next sample goes
+    into the open pack while it fits. A shard is one task's work, and its samples alone decide
+    its packs. A sample longer than the capacity fails the query.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_index", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(id_col, kind="stable").reset_index(drop=True)
         packs, used, pack = [], 0, 0
         for v in pdf["length"]:
             if v > capacity:
@@ -146,7 +151,7 @@ def pack_samples(df: DataFrame, id_col: str, length: str, capacity: int, block_r
                 pack, used = pack + 1, 0
             used += int(v)
             packs.append(pack)
-        return pdf.assign(partition=packs)[["batch_id", "row_index", "length", "partition"]]
+        return pdf.assign(partition=packs)
 
-    blocks = _batches(df, id_col, length, block_rows)
-    return blocks.groupBy("batch_id").applyInPandas(run, SCHEMA)
+    rows = df.select(id_col, shard.cast("bigint").alias("shard"), F.col(length).cast("bigint").alias("length"))
+    return rows.groupBy("shard").applyInPandas(run, _with_partition(rows))

@@ -53,7 +53,7 @@ _UNIT_PASS = (
     f"coalesce(nullif(regexp_replace(acc, '(^|\\W)' || u || '($|\\W)', '\\1\\2', 'g'), ''), acc) ELSE acc END, s) ELSE s END"
 )
 _WORDS = """CASE lower(s) WHEN 'twelve' THEN '12' WHEN 'three hundred' THEN '300' WHEN 'twenty one' THEN '21' WHEN 'two thousand five' THEN '2005' WHEN 'zero' THEN '0'
-ELSE CASE WHEN regexp_matches(s, '(^|\\s)million($|\\s)') THEN '1000000' ELSE s END END"""
+ELSE CASE WHEN regexp_matches(s, '(^|\\s)million($|\\s)') THEN '1000000' WHEN regexp_full_match(s, '[0-9]+') THEN regexp_replace(s, '^0+([0-9])', '\\1') ELSE s END END"""
 
 
 def normalise_sql(src: str, skip_unit: bool = False) -> str:

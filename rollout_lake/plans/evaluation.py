@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as J
-from ..operators.groups import keep_groups
 from ..operators.ordering import seeded_index
 from ..operators.tokens import explode_tokens
 from .registry import Tables, query, r6
@@ -13,19 +12,14 @@ from .registry import Tables, query, r6
 ROWC = ["uid", "line", "part", "supp", "price"]
 
 
-def _at_least(t: Tables, n: int, keys=("uid",)):
-    """Problems with enough samples for the metric."""
-    return keep_groups(t.view("rollouts"), list(keys), [F.count(F.lit(1)).alias("g_n")], F.col("g_n") >= n)
-
-
 def _pass_sql(k: int, c: str = "c", n: str = "n") -> str:
     terms = " * ".join(f"(({n} - {c} - {i}) / ({n} - {i}))" for i in range(k))
     return f"(CASE WHEN {c} = 0 THEN 0 ELSE 1 - {terms} END)"
 
 
-@query("j01_pass_at_k", f"SELECT {r6(f'avg({_pass_sql(4)})')} AS pass_at_4, {r6('sum(c) / sum(n)')} AS test_score, count(*) AS problems FROM (SELECT uid, count(*) AS n, sum(score) AS c FROM @rollouts GROUP BY 1 HAVING count(*) >= 4)")
+@query("j01_pass_at_k", f"SELECT {r6(f'avg({_pass_sql(4)})')} AS pass_at_4, {r6('sum(c) / sum(n)')} AS test_score, count(*) AS problems FROM (SELECT part, count(*) AS n, sum(score) AS c FROM @rollouts GROUP BY 1)")
 def _(t: Tables):
-    p = J.pass_at_k_by(_at_least(t, 4), "uid", "score", 4)
+    p = J.pass_at_k_by(t.view("rollouts"), "part", "score", 4)
     return p.select(F.round("pass_at_4", 6).alias("pass_at_4"), F.round("test_score", 6).alias("test_score"), "problems")
 
 
@@ -35,9 +29,9 @@ def _(t: Tables):
     return a.select("data_source", F.round("any_correct", 6).alias("any_correct"), "problems")
 
 
-@query("j03_score_per_source", f"SELECT data_source, {r6(f'avg({_pass_sql(2)})')} AS pass_at_2, {r6('sum(c) / sum(n)')} AS test_score, count(*) AS problems FROM (SELECT data_source, uid, count(*) AS n, sum(score) AS c FROM @rollouts GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1")
+@query("j03_score_per_source", f"SELECT data_source, {r6(f'avg({_pass_sql(2)})')} AS pass_at_2, {r6('sum(c) / sum(n)')} AS test_score, count(*) AS problems FROM (SELECT data_source, supp, count(*) AS n, sum(score) AS c FROM @rollouts GROUP BY 1, 2) GROUP BY 1")
 def _(t: Tables):
-    p = J.pass_at_k_by(_at_least(t, 2, ("data_source", "uid")), "uid", "score", 2, by=["data_source"])
+    p = J.pass_at_k_by(t.view("rollouts"), "supp", "score", 2, by=["data_source"])
     return p.select("data_source", F.round("pass_at_2", 6).alias("pass_at_2"), F.round("test_score", 6).alias("test_score"), "problems")
 
 

@@ -51,9 +51,16 @@ SELECT *, max(catastrophic) OVER (PARTITION BY seq_id) AS vetoed, CASE WHEN raw_
 SELECT *, {raw} AS raw_w, {bad} AS catastrophic FROM ({log_w_sql('old_lp', 'rollout_lp', mask, level, geometric)})))"""
 
 
-def _weights(t: Tables, level: str, geometric: bool, mode: str, veto: float | None = VETO, mask: str = "loss_mask"):
+def _pair(num: str, den: str, mask: str, level: str = "token") -> list[str]:
+    """The streams that a ratio at a level reads."""
+    return [num, den, mask, *(["turn_end"] if level == "cum-turn" else [])]
+
+
+def _weights(t: Tables, level: str, geometric: bool, mode: str, veto: float | None = VETO, mask: str = "loss_mask", more=()):
+    """Weights from the streams they need; without veto a token's weight needs no other token."""
+    streams = list(dict.fromkeys([*_pair("old_lp", "rollout_lp", mask, level), *more]))
     return H.rollout_weights(
-        _tokens(t), "old_lp", "rollout_lp", mask, level, mode, UPPER, LOWER, veto, geometric, "turn_end"
+        _tokens(t, streams, cluster=level != "token" or veto is not None), "old_lp", "rollout_lp", mask, level, mode, UPPER, LOWER, veto, geometric, "turn_end"
     )
 
 
@@ -62,7 +69,7 @@ def _register_level(name: str, level: str, geometric: bool):
 
     @query(name, sql)
     def _(t: Tables):
-        rated = H.log_ratio_at(_tokens(t), "old_lp", "rollout_lp", "loss_mask", level, geometric, "turn_end")
+        rated = H.log_ratio_at(_tokens(t, _pair("old_lp", "rollout_lp", "loss_mask", level), level != "token"), "old_lp", "rollout_lp", "loss_mask", level, geometric, "turn_end")
         return rated.where("loss_mask > 0").select("seq_id", "pos", F.round(H.safe_exp(F.col("log_w")), 6).alias("ratio"))
 
 
@@ -198,7 +205,7 @@ _MISMATCH_SELECT = "count(*) AS sequences, " + ", ".join(f"{r6(_MISMATCH_EXPR[c]
 
 
 def _perplexity(t: Tables):
-    return H.sequence_perplexity(_tokens(t, ["old_lp", "rollout_lp", "loss_mask"]), "old_lp", "rollout_lp", "loss_mask", keep=["score"])
+    return H.sequence_perplexity(_tokens(t, ["old_lp", "rollout_lp", "loss_mask"], cluster=False), "old_lp", "rollout_lp", "loss_mask", keep=["score"])
 
 
 def _rounded(df, cols, digits=8):
@@ -246,7 +253,7 @@ CLIP_LOW, CLIP_HIGH = 0.12, 0.14
 @query("h15_ratio_statistics", _ratio_stats_sql(log_w_sql("new_lp", "old_lp", "loss_mask", "token", False),
        f"exp(log_w) < 1 - {CLIP_LOW}", f"exp(log_w) > 1 + {CLIP_HIGH}", "loss_mask"))
 def _(t: Tables):
-    rated = H.log_ratio_at(_tokens(t, cluster=False), "new_lp", "old_lp", "loss_mask", "token")
+    rated = H.log_ratio_at(_tokens(t, _pair("new_lp", "old_lp", "loss_mask"), cluster=False), "new_lp", "old_lp", "loss_mask", "token")
     return _rounded(O.ratio_statistics(rated, "log_w", "loss_mask", "adv", CLIP_LOW, CLIP_HIGH), RATIO_COLS, 6)
 
 
@@ -256,7 +263,7 @@ _SCALED_CUM_SQL = f"SELECT *, sqrt(sum(loss_mask) OVER (PARTITION BY seq_id ORDE
 
 @query("h16_ratio_statistics_length_scaled", _ratio_stats_sql(_SCALED_CUM_SQL, "log_w < -0.05 * scale", "log_w > 0.05 * scale", "loss_mask"))
 def _(t: Tables):
-    rated = O.with_length_scale(_tokens(t), "new_lp", "old_lp", "loss_mask", "cum-token")
+    rated = O.with_length_scale(_tokens(t, _pair("new_lp", "old_lp", "loss_mask")), "new_lp", "old_lp", "loss_mask", "cum-token")
     bound = F.col("scale") * 0.05
     return _rounded(O.ratio_statistics(rated, "log_r", "loss_mask", "adv", bound, bound, log_bounds=True), RATIO_COLS, 6)
 
@@ -265,7 +272,7 @@ def _(t: Tables):
     f"SELECT * REPLACE (least(log_w, 10) AS log_w) FROM ({log_w_sql('new_lp', 'old_lp', 'mask', 'cum-turn', True)})",
     f"exp(log_w) < 1 - {CLIP_LOW}", f"exp(log_w) > 1 + {CLIP_HIGH}", "mask"))
 def _(t: Tables):
-    rated = H.log_ratio_at(_tokens(t), "new_lp", "old_lp", "mask", "cum-turn", True, "turn_end")
+    rated = H.log_ratio_at(_tokens(t, _pair("new_lp", "old_lp", "mask", "cum-turn")), "new_lp", "old_lp", "mask", "cum-turn", True, "turn_end")
     held = rated.withColumn("log_w", F.least("log_w", F.lit(10.0)))
     return _rounded(O.ratio_statistics(held, "log_w", "mask", "adv", CLIP_LOW, CLIP_HIGH), RATIO_COLS, 6)
 
@@ -304,13 +311,13 @@ BASE_COLS = ["pg_loss", "pg_clipfrac", "ppo_kl", "pg_clipfrac_lower"]
 
 @query("h18_clipped_objective", f"SELECT pg_loss, pg_clipfrac, ppo_kl, 0e0 AS pg_clipfrac_lower FROM ({objective_sql(log_w_sql('new_lp', 'old_lp', 'loss_mask', 'token', False), 'loss_mask', 'token-mean', '-lr', CLIP_LOW, CLIP_HIGH, '1.1', '-20', '20', masked=False)})")
 def _(t: Tables):
-    rep = O.clipped_objective(_tokens(t), "new_lp", "old_lp", "loss_mask", "adv", CLIP_LOW, CLIP_HIGH, 1.1)
+    rep = O.clipped_objective(_tokens(t, _pair("new_lp", "old_lp", "loss_mask")), "new_lp", "old_lp", "loss_mask", "adv", CLIP_LOW, CLIP_HIGH, 1.1)
     return _rounded(rep, BASE_COLS, 6)
 
 
 @query("h18_clipped_objective_weighted", f"SELECT pg_loss, pg_clipfrac, ppo_kl, 0e0 AS pg_clipfrac_lower FROM ({objective_sql('SELECT * REPLACE (new_lp - old_lp AS log_w) FROM (' + weights_sql('token', False, 'mask') + ')', 'loss_mask', 'token-mean', '-lr', CLIP_LOW, CLIP_HIGH, '1.1', '-20', '20', masked=False, weight='weight')})")
 def _(t: Tables):
-    rep = O.clipped_objective(_weights(t, "token", False, "mask"), "new_lp", "old_lp", "loss_mask", "adv", CLIP_LOW, CLIP_HIGH, 1.1, weight="weight")
+    rep = O.clipped_objective(_weights(t, "token", False, "mask", more=["new_lp"]), "new_lp", "old_lp", "loss_mask", "adv", CLIP_LOW, CLIP_HIGH, 1.1, weight="weight")
     return _rounded(rep, BASE_COLS, 6)
 
 
@@ -331,7 +338,7 @@ def _register_objective(name, level, geometric, mode):
 
     @query(name, sql)
     def _(t: Tables):
-        rep = O.level_objective(_tokens(t), "new_lp", "old_lp", "loss_mask", "adv", level, geometric, TIGHT_LOW, TIGHT_HIGH, 1.004, mode, 64, "turn_end")
+        rep = O.level_objective(_tokens(t, _pair("new_lp", "old_lp", "loss_mask", level)), "new_lp", "old_lp", "loss_mask", "adv", level, geometric, TIGHT_LOW, TIGHT_HIGH, 1.004, mode, 64, "turn_end")
         return _rounded(rep, rep.columns, 6)
 
 
@@ -345,7 +352,7 @@ _register_objective("h20_cum_turn_objective", "cum-turn", True, "seq-mean-token-
     f"SELECT a.*, w.weight FROM ({log_w_sql('new_lp', 'old_lp', 'loss_mask', 'cum-turn', True)}) a JOIN ({weights_sql('sequence', True, 'truncate')}) w ON a.seq_id = w.seq_id AND a.pos = w.pos",
     "loss_mask", "token-mean", "old_lp - new_lp", TIGHT_LOW, TIGHT_HIGH, "1.004", weight="weight", extra=DUAL))
 def _(t: Tables):
-    rep = O.level_objective(_weights(t, "sequence", True, "truncate"), "new_lp", "old_lp", "loss_mask", "adv", "cum-turn", True, TIGHT_LOW, TIGHT_HIGH, 1.004, turn_end="turn_end", weight="weight")
+    rep = O.level_objective(_weights(t, "sequence", True, "truncate", more=["new_lp", "turn_end"]), "new_lp", "old_lp", "loss_mask", "adv", "cum-turn", True, TIGHT_LOW, TIGHT_HIGH, 1.004, turn_end="turn_end", weight="weight")
     return _rounded(rep, rep.columns, 6)
 
 
@@ -355,7 +362,7 @@ def _(t: Tables):
 def _(t: Tables):
     out = None
     for lv, g in (("token", False), ("cum-token", True), ("sequence", True)):
-        rep = O.rollout_objective(_tokens(t), "new_lp", "rollout_lp", "loss_mask", "adv", lv, g, CLIP_LOW, CLIP_HIGH, 1.2)
+        rep = O.rollout_objective(_tokens(t, _pair("new_lp", "rollout_lp", "loss_mask", lv)), "new_lp", "rollout_lp", "loss_mask", "adv", lv, g, CLIP_LOW, CLIP_HIGH, 1.2)
         rep = _rounded(rep, rep.columns, 6).withColumn("level", F.lit(lv))
         out = rep if out is None else out.unionByName(rep)
     return out
@@ -367,27 +374,27 @@ def _(t: Tables):
 def _(t: Tables):
     parts = []
     for lv in ("sequence", "cum-token"):
-        rep = O.length_scaled_objective(_tokens(t), "new_lp", "old_lp", "loss_mask", "adv", lv, 0.03, 0.04, 0.2)
+        rep = O.length_scaled_objective(_tokens(t, _pair("new_lp", "old_lp", "loss_mask")), "new_lp", "old_lp", "loss_mask", "adv", lv, 0.03, 0.04, 0.2)
         parts.append(_rounded(rep, rep.columns, 6).withColumn("level", F.lit(lv)))
     return parts[0].unionByName(parts[1])
 
 
 @query("h23_sequence_mean_objective", objective_sql(log_w_sql("new_lp", "old_lp", "loss_mask", "sequence", True, floor=True), "loss_mask", "seq-mean-token-mean", "old_lp - new_lp", 0.01, 0.015, None, masked=False))
 def _(t: Tables):
-    rep = O.sequence_mean_objective(_tokens(t), "new_lp", "old_lp", "loss_mask", "adv", 0.01, 0.015)
+    rep = O.sequence_mean_objective(_tokens(t, _pair("new_lp", "old_lp", "loss_mask")), "new_lp", "old_lp", "loss_mask", "adv", 0.01, 0.015)
     return _rounded(rep, BASE_COLS, 6)
 
 
 @query("h24_running_mean_objective", objective_sql(log_w_sql("new_lp", "old_lp", "loss_mask", "cum-token", True), "loss_mask", "seq-mean-token-mean", "old_lp - new_lp", 0.03, 0.04, "1.1"))
 def _(t: Tables):
-    rep = O.running_mean_objective(_tokens(t), "new_lp", "old_lp", "loss_mask", "adv", 0.03, 0.04, 1.1)
+    rep = O.running_mean_objective(_tokens(t, _pair("new_lp", "old_lp", "loss_mask")), "new_lp", "old_lp", "loss_mask", "adv", 0.03, 0.04, 1.1)
     return _rounded(rep, BASE_COLS, 6)
 
 
 @query("h25_value_loss", f"""SELECT {r6('0.5 * sum(greatest(a, b) * mask) / (sum(mask) + 1e-8)')} AS vf_loss, {r6('sum(CASE WHEN b > a THEN mask ELSE 0 END) / (sum(mask) + 1e-8)')} AS vf_clipfrac FROM (
 SELECT mask, pow(new_lp - ref_lp, 2) AS a, pow(greatest(least(new_lp, old_lp + 0.1), old_lp - 0.1) - ref_lp, 2) AS b FROM @tok)""")
 def _(t: Tables):
-    v = O.value_loss(_tokens(t, cluster=False), "new_lp", "ref_lp", "old_lp", "mask", 0.1)
+    v = O.value_loss(_tokens(t, ["new_lp", "ref_lp", "old_lp", "mask"], cluster=False), "new_lp", "ref_lp", "old_lp", "mask", 0.1)
     return _rounded(v, v.columns, 6)
 
 
@@ -432,7 +439,7 @@ SELECT loss_mask, adv, greatest(-adv * exp(new_lp - old_lp), -adv * greatest(lea
 def _(t: Tables):
     from ..operators.advantage import kl_penalty
 
-    policy = O.clipped_objective(_tokens(t), "new_lp", "old_lp", "loss_mask", "adv", CLIP_LOW, CLIP_HIGH).select("pg_loss")
+    policy = O.clipped_objective(_tokens(t, _pair("new_lp", "old_lp", "loss_mask")), "new_lp", "old_lp", "loss_mask", "adv", CLIP_LOW, CLIP_HIGH).select("pg_loss")
     n = F.sum("mask0") + F.lit(1e-8)
     entropy = _logits(t).withColumn("h", A.logit_entropy(F.col("logits"))).agg((F.sum(F.col("h") * F.col("mask0")) / n).alias("h"))
     tok = _tokens(t, ["new_lp", "ref_lp", "loss_mask"], cluster=False)

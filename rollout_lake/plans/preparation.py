@@ -397,7 +397,16 @@ def _(t: Tables):
     return parts.groupBy("batch_id", "partition").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k02_greedy_partitions")
+@query("k02_greedy_partitions", f"""WITH RECURSIVE rows AS (
+  SELECT doc_id, i AS row_index, CAST(floor(i / 64) AS BIGINT) AS batch_id, i % 64 AS n, CAST(len AS BIGINT) AS length FROM ({_LEN})
+), dealt AS (
+  SELECT batch_id, CAST(-1 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS partition, [0::BIGINT, 0, 0, 0] AS loads FROM rows GROUP BY 1
+  UNION ALL
+  SELECT r.batch_id, r.n, CAST(d.slot AS BIGINT), list_transform(d.loads, lambda x, j: CASE WHEN j = d.slot + 1 THEN x + r.length ELSE x END)
+  FROM (SELECT batch_id, n, loads, list_position(loads, list_min(loads)) - 1 AS slot FROM dealt) d
+  JOIN rows r ON r.batch_id = d.batch_id AND r.n = d.n + 1
+)
+SELECT r.doc_id, r.batch_id, r.row_index, r.length, d.partition FROM rows r JOIN dealt d ON r.batch_id = d.batch_id AND r.n = d.n""")
 def _(t: Tables):
     return K.balance(_lengths(t), "doc_id", "len", 64, 4, method=K.greedy_bins)
 
@@ -432,6 +441,16 @@ def _(t: Tables):
     return K.balanced_order(K.balance(_lengths(t), "doc_id", "len", 40, 4, equal_size=True), 40, 4)
 
 
-@query("k07_pack_samples")
+@query("k07_pack_samples", """WITH RECURSIVE rows AS (
+  SELECT doc_id, CAST(floor(doc_id / 64) AS BIGINT) AS shard, CAST(len(string_split(text, ' ')) AS BIGINT) AS length,
+         row_number() OVER (PARTITION BY floor(doc_id / 64) ORDER BY doc_id) AS n FROM documents
+), packed AS (
+  SELECT shard, n, CAST(0 AS BIGINT) AS partition, length AS used FROM rows WHERE n = 1
+  UNION ALL
+  SELECT r.shard, r.n, CASE WHEN p.used + r.length > 32768 THEN p.partition + 1 ELSE p.partition END,
+         CASE WHEN p.used + r.length > 32768 THEN r.length ELSE p.used + r.length END
+  FROM packed p JOIN rows r ON r.shard = p.shard AND r.n = p.n + 1
+)
+SELECT r.doc_id, r.shard, r.length, p.partition FROM rows r JOIN packed p ON r.shard = p.shard AND r.n = p.n""")
 def _(t: Tables):
-    return K.pack_samples(_lengths(t), "doc_id", "len", 32768)
+    return K.pack_samples(_lengths(t), "doc_id", "len", 32768, F.floor(F.col("doc_id") / 64))

@@ -57,14 +57,14 @@ def _(t: Tables):
     return A.cached_dataset(t.spark, path, lambda: _doc_meta(t))
 
 
-@query("a07_generations", "SELECT conv_id, CAST(floor(turn / 4) AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS n, md5(string_agg(text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY 1, 2")
+@query("a07_generations", "SELECT conv_id, CAST(count(*) AS BIGINT) AS n, md5(string_agg(text, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
 def _(t: Tables):
     c = t.table("conversations")
-    g = A.generations(c.select("conv_id").distinct(), c, "conv_id", "turn", "text", per_row=4)
+    g = A.generations(c.select("conv_id").distinct(), c, "conv_id", "turn", "text")
     path = scratch_path(t.spark, "generations")
     g.write.parquet(path)
     back = t.spark.read.parquet(path)
-    return back.select("conv_id", "part", F.size("responses").cast("bigint").alias("n"), F.md5(F.array_join("responses", "|")).alias("digest"))
+    return back.select("conv_id", F.size("responses").cast("bigint").alias("n"), F.md5(F.array_join("responses", "|")).alias("digest"))
 
 
 @query("a08_append_records", "SELECT 'train' AS split, 1 AS step, count(*) AS n FROM orders UNION ALL SELECT 'train', 2, count(*) FROM orders UNION ALL SELECT 'val', 1, count(*) FROM customer")

@@ -8,19 +8,17 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "rollout_lake", cores: str | int = "*", **conf: str) -> SparkSession:
-    """A local session with the settings the library is tested under."""
+def build_session(app: str = "rollout_lake", **conf: str) -> SparkSession:
+    """A session with the settings the library relies on; master, memory and partitions are the cluster's.
+
+    Further settings are given with double underscores for dots.
+    """
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("ROLLOUT_LAKE_DRIVER_MEMORY", "8g"))
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -29,6 +27,14 @@ def build_session(app: str = "rollout_lake", cores: str | int = "*", **conf: str
     return spark
 
 
+def local_session(app: str, cores: str | int = "*") -> SparkSession:
+    """A single-process session for tests, benchmarks and tools."""
+    return build_session(
+        app, spark__master=f"local[{cores}]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false", spark__driver__memory=os.environ.get("ROLLOUT_LAKE_DRIVER_MEMORY", "8g"),
+    )
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the session's checkpoint folder.
 

@@ -47,18 +47,13 @@ def cached_dataset(spark: SparkSession, path: str, build: Callable[[], DataFrame
     return read_jsonl(spark, path, schema)
 
 
-def generations(
-    prompts: DataFrame, samples: DataFrame, key: str, order: str, text: str, per_row: int = 1024
-) -> DataFrame:
-    """Prompt rows with their responses as an array in sample order.
-
-    A prompt with more than ``per_row`` samples gets several rows, numbered by ``part``,
-    so that no group is larger than that; nothing is dropped. ``order`` is the number of
-    the sample within its prompt.
+def generations(prompts: DataFrame, samples: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """Prompt rows, one for each prompt, with their responses as an array in sample order.
+
+    ``order`` is the number of the sample within its prompt. A prompt's samples must fit into one row.
     """
-    part = F.floor(F.col(order) / per_row).alias("part")
     listed = F.sort_array(F.collect_list(F.struct(order, text)))
-    arrays = samples.groupBy(key, part).agg(F.transform(listed, lambda s: s[text]).alias("responses"))
+    arrays = samples.groupBy(key).agg(F.transform(listed, lambda s: s[text]).alias("responses"))
     return prompts.join(arrays, key, "left")
 
 
@@ -72,8 +67,9 @@ def next_step(spark: SparkSession, path: str, split: str) -> int:
     """Step to continue with: one after the last step written for the split, 1 for none."""
     if not path_exists(spark, path):
         return 1
-    written = spark.read.schema("split string, step int").json(path)
-    last = written.where(F.col("split") == split).agg(F.max("step").alias("s")).first()["s"]
+    # only the folders' names are read: a binary file's content is not, unless it is selected
+    folders = spark.read.format("binaryFile").load(path).select("split", "step")
+    last = folders.where(F.col("split") == split).agg(F.max("step").alias("s")).first()["s"]
     return 1 if last is None else last + 1
 
 

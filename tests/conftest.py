@@ -8,9 +8,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from rollout_lake.session import build_session
+    from rollout_lake.session import local_session
 
-    session = build_session("tests", 8)
+    session = local_session("tests", 8)
     yield session
 
 

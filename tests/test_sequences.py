@@ -108,11 +108,11 @@ def test_partitions_cover_every_row_and_balance(spark):
 
 def test_micro_batches_and_packs_hold_the_budget(spark):
     df = spark.range(1000).select("id", (F.col("id") * 7919 % 900 + 1).alias("len"))
-    packs = K.pack_samples(df, "id", "len", 1000).groupBy("batch_id", "partition").agg(F.sum("length").alias("s"), F.count("*").alias("n"))
+    packs = K.pack_samples(df, "id", "len", 1000, F.col("id") % 3).groupBy("shard", "partition").agg(F.sum("length").alias("s"), F.count("*").alias("n"))
     assert packs.agg(F.max("s")).first()[0] <= 1000
     assert packs.agg(F.sum("n")).first()[0] == 1000
     with pytest.raises(Exception, match="exceeds the capacity"):
-        K.pack_samples(df, "id", "len", 100).collect()
+        K.pack_samples(df, "id", "len", 100, F.lit(0)).collect()
     parts = K.balance(df, "id", "len", 100, 4, equal_size=True)
     order = K.balanced_order(parts, 100, 4)
     assert sorted(r["new_pos"] for r in order.collect()) == list(range(1000))

@@ -33,6 +33,7 @@ def check_pairs(spark, cases, fn):
 
 
 NORMALISE_CASES = [
+    ("007", "7"), ("0000", "0"), ("5中m", "5中m"), ("\u30005 m\u3000", "5"),
     (r"\frac12", r"\frac{1}{2}"), (r"\dfrac{1}{2}", r"\frac{1}{2}"), (r"\frac1{72}", r"\frac{1}{72}"), ("1/2", r"\frac{1}{2}"),
     (r"\sqrt3", r"\sqrt{3}"), ("x = 5", "5"), ("5.000", "5"), (r"50\%", "50"), ("$3.50", "3.50"), ("three hundred", "300"),
     ("twenty one", "21"), ("12 hours", "12"), (r"30^\circ", "30"), (".5", "0.5"), (r"\text{Tuesday}", "Tuesday"), ("5.", "5"),
@@ -185,3 +186,17 @@ ONLY_FINAL_ANSWER_CASES = [
 
 def test_only_final_answer(spark):
     check(spark, ONLY_FINAL_ANSWER_CASES, T.is_only_final_answer)
+
+
+def test_only_final_answer_and_loading(spark, tmp_path):
+    from rollout_lake.functions.registry import load_reward_function
+
+    cases = [("final_answer(1)", True), ('"doc"\nfinal_answer(x)', True), ("x = 1\nfinal_answer(x)", False), ("final_answer", False),
+             ("obj.final_answer(1)", False), ('"a"\n"b"\nfinal_answer(1)', False), ("", False), (None, False), ("(", False)]
+    check(spark, cases, T.is_only_final_answer)
+    source = tmp_path / "r.py"
+    source.write_text("BASE = 2\ndef reward(x):\n    return BASE * x\n")
+    assert load_reward_function(str(source), "reward")(3) == 6
+    for path, name in ((source, "other"), (tmp_path / "none.py", "reward")):
+        with pytest.raises(LookupError):
+            load_reward_function(str(path), name)
