@@ -3,7 +3,7 @@
 A plain window gathers its whole partition in a single task, so a key that holds a
 third of all rows decides the run time. The helpers below cut every group into
 chunks first, do the window work per chunk, and add the totals of the earlier
-chunks. The chunk totals are at most ``CHUNKS`` rows per group.
+chunks. There are a few chunk totals per group for each shuffle partition.
 """
 
 from __future__ import annotations
@@ -15,8 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CHUNKS = 4096
-CUTS = 256
+LEAST_CUTS = 64
+CHUNKS_PER_PARTITION = 4
+
+
+def chunk_count(df: DataFrame) -> int:
+    """A few chunks for each shuffle partition of the session, so that the work of a chunk stays a task's share."""
+    return max(LEAST_CUTS, CHUNKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def shuffle_key(seed: int, *keys: str | Column) -> Column:
@@ -25,18 +30,19 @@ def shuffle_key(seed: int, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws("-", *parts, F.lit(str(seed))))
 
 
-def digest_chunk(digest: Column) -> Column:
-    """The first three hex digits of a digest: 4096 evenly filled chunks, in digest order."""
-    return F.substring(digest, 1, 3)
+def digest_chunk(digest: Column, chunks: int = 4096) -> Column:
+    """The first hex digits of a digest, three or more: at least ``chunks`` evenly filled chunks, in digest order."""
+    return F.substring(digest, 1, max(3, -(-(chunks - 1).bit_length() // 4)))
 
 
-def with_ordered_chunks(df: DataFrame, col: str, out: str = "__bucket", cuts: int = CUTS) -> DataFrame:
+def with_ordered_chunks(df: DataFrame, col: str, out: str = "__bucket", cuts: int | None = None) -> DataFrame:
     """Add an ordered chunk number of a numeric column, about equally many rows in each.
 
     The borders come from one approximate pass and are constants of the plan, so a
     repeated task puts a row into the same chunk. At most ``cuts`` numbers reach the
     driver, and values that cluster do not fill one chunk.
     """
+    cuts = cuts or chunk_count(df)
     borders = df.approxQuantile(col, [i / cuts for i in range(1, cuts)], 0.5 / cuts)
     inner = sorted(set(borders)) or [0.0]
     splits = [float("-inf"), *inner, float("inf")]
@@ -101,5 +107,5 @@ def seeded_index(
     """Zero-based position in a seeded shuffle of the rows (within ``group_by``)."""
     cols = df.columns
     keyed = df.withColumn("__digest", shuffle_key(seed, *keys))
-    placed = row_index(keyed, ["__digest", *keys], digest_chunk(F.col("__digest")), group_by, out)
+    placed = row_index(keyed, ["__digest", *keys], digest_chunk(F.col("__digest"), chunk_count(df)), group_by, out)
     return placed.select(*cols, out)
