@@ -267,13 +267,12 @@ def drop_lines(docs: DataFrame, state: LineState) -> DataFrame:
         "__ld_id": _id(F.col("doc_id")), "__ld_text": F.xxhash64(whole(F.col("text"))), "text": whole(F.col("text")),
     })
     lines = F.split(F.col("text"), "\n")
-    n = F.size(lines)
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__ld_gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__ld_gone"))
     text = F.when(F.col("__ld_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+        let(lines, lambda cut: F.array_join(F.transform(stay, lambda i: F.get(cut, i)), "\n"))
     )
     out = keyed.join(gone, ["__ld_id", "__ld_text"], "left").withColumns({
-        "n_lines": n.cast("bigint"),
+        "n_lines": F.size(lines).cast("bigint"),
         "n_dropped": F.when(F.col("__ld_gone").isNull(), F.lit(0)).otherwise(F.size("__ld_gone")).cast("bigint"),
         "text": text,
     })
