@@ -7,36 +7,51 @@ dropped by an anti-join, and of equal ones the smallest id stays. What is left i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, written
 
 PART = 1024
-"""Turns that are ordered and rendered together; a longer conversation has several parts."""
+"""Turns rendered together; a longer conversation has several parts. Turns are ordered within cuts of so many numbers."""
 
 
-def rolled(turns: DataFrame) -> DataFrame:
-    """Per turn: ``id, pos, role, text`` and the hashes ``p1, p2`` of the conversation up to it.
-
-    The prefix hash is the exclusive or of the turns' hashes, each of which covers its position, role
-    and text, so it can be rolled within parts and carried over from part to part. Turns are
-    ordered by ``turn`` (nulls first), then role and text; positions count from 0 without gaps.
-    """
-    rows = turns.select(
+def _rows(turns: DataFrame) -> DataFrame:
+    """``id, turn, role, text`` without nulls in all but ``turn``, and the ``cut`` of its number."""
+    return turns.select(
         F.coalesce(F.col("conv_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.col("turn").cast("bigint").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("cut", F.floor(F.coalesce("turn", F.lit(NO_ID)) / PART))
+
+
+def _cuts(rows: DataFrame) -> DataFrame:
+    """``(id, cut, up, total)``: the turns before each cut and in the whole conversation."""
+    own = Window.partitionBy("id")
+    before = own.orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy("id", "cut").count().select(
+        "id", "cut", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("up"), F.sum("count").over(own).alias("total")
+    )
+
+
+def rolled(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Per turn: ``id, pos, total`` and the hashes ``p1, p2`` of the conversation up to it.
+
+    The prefix hash is the exclusive or of the turns' hashes, each of which covers its position, role
+    and text, so it can be rolled within cuts and carried over from cut to cut. Turns are
+    ordered by ``turn`` (nulls first), then role and text; positions count from 0 without gaps. Texts
+    are shuffled only where some conversation repeats a turn's number, else their hashes are.
+    """
+    tied = rows.groupBy("id", "turn").count().where("count > 1").limit(1).count() > 0
+    order = ["turn", "role", "text"] if tied else ["turn"]
+    narrow = rows.select(
+        "id", "cut", *order, F.xxhash64("role", "text").alias("t1"), F.xxhash64("text", "role").alias("t2")
+    )
+    within = Window.partitionBy("id", "cut").orderBy(*order)
+    hashed = narrow.withColumn("n", F.row_number().over(within) - 1).join(cuts, ["id", "cut"]).withColumn(
+        "pos", (F.col("n") + F.col("up")).cast("bigint")
+    ).select("id", "cut", "pos", "total", F.xxhash64("pos", "t1").alias("h1"), F.xxhash64("t2", "pos").alias("h2"))
     before = Window.partitionBy("id").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("id", "cut").count().withColumn("up", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    within = Window.partitionBy("id", "cut").orderBy("turn", "role", "text")
-    numbered = rows.withColumn("n", F.row_number().over(within) - 1).join(
-        counts.select("id", "cut", "up"), ["id", "cut"]
-    ).select("id", "cut", (F.col("n") + F.col("up")).cast("bigint").alias("pos"), "role", "text")
-    hashed = numbered.withColumns({
-        "h1": F.xxhash64("pos", "role", "text"), "h2": F.xxhash64("text", "role", "pos"),
-    })
     sums = hashed.groupBy("id", "cut").agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))
     carried = sums.select("id", "cut", *[
         F.coalesce(F.bit_xor(x).over(before), F.lit(0)).alias(c) for x, c in (("x1", "c1"), ("x2", "c2"))
@@ -45,18 +60,15 @@ def rolled(turns: DataFrame) -> DataFrame:
     return hashed.withColumns({"r1": F.bit_xor("h1").over(running), "r2": F.bit_xor("h2").over(running)}).join(
         carried, ["id", "cut"]
     ).select(
-        "id", "pos", "role", "text", F.col("r1").bitwiseXOR(F.col("c1")).alias("p1"),
-        F.col("r2").bitwiseXOR(F.col("c2")).alias("p2"),
+        "id", "pos", "total", F.col("r1").bitwiseXOR(F.col("c1")).alias("p1"), F.col("r2").bitwiseXOR(F.col("c2")).alias("p2"),
     )
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """``(id, n_turns, n_copies)`` of the conversations which no other one continues; equal ones once."""
-    rows = turns.select("id", "pos", "p1", "p2")
-    lasts = rows.groupBy("id").agg(F.max_by(F.struct("pos", "p1", "p2"), "pos").alias("z")).select("id", "z.*")
-    whole = lasts.groupBy("pos", "p1", "p2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_copies"))
-    ends = lasts.select("id", F.col("pos").alias("last"))
-    inner = rows.select("id", "pos", "p1", "p2").join(ends, "id").where("pos < last").select("pos", "p1", "p2").distinct()
+    is_last = F.col("pos") == F.col("total") - 1
+    whole = turns.where(is_last).groupBy("pos", "p1", "p2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_copies"))
+    inner = turns.where(~is_last).select("pos", "p1", "p2").distinct()
     return whole.join(inner, ["pos", "p1", "p2"], "left_anti").select(
         "id", (F.col("pos") + 1).alias("n_turns"), "n_copies"
     )
@@ -68,17 +80,33 @@ def render(turns: DataFrame) -> DataFrame:
     A turn is rendered as ``<|role|>``, a line break, its text, a line break; the texts of the parts in
     order are the conversation's. ``n_copies`` counts the logged conversations equal to it.
 
+    Texts are shuffled once, by conversation and cut; only parts that lie in several cuts, as where
+    turn numbers have gaps, are put together from their pieces.
+
     Null role or text: empty. Null conv_id: all such turns are one conversation, below all ids. Null
     turn: before the others. Turns with one number are ordered by role and text, repeats are turns of
     their own. Empty table: empty result. Further columns are not read.
     """
-    rows = written(rolled(turns), "turns")
-    kept = written(maximal(rows), "conversations")
+    rows = _rows(turns)
+    cuts = written(_cuts(rows), "cuts")
+    kept = maximal(written(rolled(rows, cuts), "turns"))
+    wanted = written(cuts.join(kept, "id").select("id", "cut", "up", "n_turns", "n_copies"), "conversations")
+    within = Window.partitionBy("id", "cut").orderBy("turn", "role", "text")
+    placed = rows.join(wanted, ["id", "cut"]).withColumn("pos", F.row_number().over(within) - 1 + F.col("up"))
     line = F.struct("pos", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n")).alias("t"))
-    parts = rows.join(kept.select("id"), "id", "left_semi").groupBy(
-        "id", F.floor(F.col("pos") / PART).alias("part")
-    ).agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    return parts.join(kept, "id").select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("conv_id"), "part", "n_turns", "n_copies",
-        F.array_join(F.transform("lines", lambda x: x["t"]), "").alias("text"),
+
+    def joined(column: str) -> Column:
+        return F.array_join(F.transform(F.sort_array(F.collect_list(column)), lambda x: x["t"]), "")
+
+    keys = ["id", "part", "n_turns", "n_copies"]
+    pieces = placed.withColumn("part", F.floor(F.col("pos") / PART)).withColumn("line", line).groupBy("cut", *keys).agg(
+        joined("line").alias("text"), F.count(F.lit(1)).alias("size"), F.min("pos").alias("start")
+    )
+    is_whole = F.col("size") == F.least(F.lit(PART), F.col("n_turns") - F.col("part") * PART)
+    whole = pieces.where(is_whole).select(*keys, "text")
+    split = pieces.where(~is_whole).withColumn("piece", F.struct("start", F.col("text").alias("t"))).groupBy(*keys).agg(
+        joined("piece").alias("text")
+    )
+    return whole.unionByName(split).select(
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("conv_id"), "part", "n_turns", "n_copies", "text"
     )
