@@ -10,11 +10,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +35,11 @@ CUT = "\ue000"
 MARKS = frozenset(".,:;!?\"()|*#$%&-")
 BETWEEN = regex.compile(r"(?<=\S)(?= \S)")
 
-KEPT_PIECES = 400_000
+KEPT_PIECES = 100_000
 """Encoded pieces of text a Python worker remembers; beyond, it begins anew, so its memory is bounded."""
 
-BATCH_CHARS = 1 << 24
-"""Pieces of about so many characters of text are encoded together."""
+BATCH_BYTES = 1 << 21
+"""Texts of about so many bytes are encoded together, and handed on before the next ones are taken up."""
 
 
 def default_vocabulary() -> str:
@@ -223,17 +224,13 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about ``BATCH_CHARS`` characters."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= BATCH_CHARS:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+def _slices(batch: pa.RecordBatch, place: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about ``limit`` bytes."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(place)), 0), np.int64)
+    run = (np.cumsum(sizes) - sizes) // limit
+    bounds = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
+    for start, end in zip(bounds, bounds[1:]):
+        yield batch.slice(start, end - start)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -258,21 +255,20 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for batch in batches:
+        for part in (part for batch in batches for part in _slices(batch, place)):
             counts, digests, decoded, ids = [], [], [], []
-            for texts in _groups([t or "" for t in batch.column(place).to_pylist()]):
-                for coded in bpe.encode_batch(texts):
-                    counts.append(len(coded))
-                    digests.append(hashlib.sha256(coded.tobytes()).hexdigest())
-                    decoded.append(hashlib.sha256(bpe.decode(coded).encode("utf-8", "surrogatepass")).hexdigest())
-                    if with_ids:
-                        ids.append(coded.astype(np.int32))
+            for coded in bpe.encode_batch([t or "" for t in part.column(place).to_pylist()]):
+                counts.append(len(coded))
+                digests.append(hashlib.sha256(coded.tobytes()).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decode(coded).encode("utf-8", "surrogatepass")).hexdigest())
+                if with_ids:
+                    ids.append(coded.astype(np.int32))
             out = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *[f.name for f in added]])
+            yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*part.schema.names, *[f.name for f in added]])
 
     return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
