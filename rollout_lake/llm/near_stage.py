@@ -1,13 +1,18 @@
-"""Near-duplicate removal for a pipeline: SimHash candidates, verified on shingles of five words.
+"""Near-duplicate removal for a pipeline: SimHash candidates first, then all others, verified on shingles of five words.
 
-A single fingerprint with a radius of three bits finds few of the pairs whose shingles agree to 0.8 only, so
-several fingerprints are taken, each of the distinct words with signs of its own. Pairs that the
+Several fingerprints are taken of each text, each of the distinct words with signs of its own. Pairs that the
 pigeonring links in any of them are candidates; they count if the Jaccard similarity of their
-word shingles is high enough. Of each group reachable over such pairs one document stays.
+word shingles is high enough. That joins most groups at little cost, but misses pairs.
+
+The exact part finds the rest. With the shingles of every text in one order, rare ones first, two texts that
+agree to 0.8 share one of the first shingles, at places that leave enough to share. Texts that
+share such a key and are not joined yet are compared. Of each group reachable over the pairs one document stays.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketches
-from .common import ascii_lower, whole, written
+from .common import ascii_lower, rows_each, whole, written
 from .components import component_roots
 from .simhash import links, majority
 
@@ -23,6 +28,16 @@ VIEWS = 4
 WIDTH = 5
 SIMILARITY = 0.8
 
+SAMPLE = 20_000
+"""Texts, about, whose shingles are counted to tell frequent ones. The count decides on the order only, not on results."""
+
+OFTEN = 8
+FREQUENT = 100_000
+"""Shingles in more than ``OFTEN`` texts of the sample, ``FREQUENT`` of them at most, come last in the order."""
+
+STARS = 2
+"""Rounds in which each key's texts are compared with one of them, before all that are still apart are compared."""
+
 
 def word_prints(text: str | None, views: int = VIEWS) -> list[int]:
     """Two hashes of the sequence of lower-cased words, then a fingerprint of the distinct words for each view."""
@@ -73,23 +88,108 @@ def candidates(nodes: DataFrame, views: int = VIEWS) -> DataFrame:
     return written(met.distinct(), "candidates")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int = WIDTH,
-             similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose sets of word shingles have a Jaccard similarity of at least ``similarity``."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def shingle_sets(nodes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``(node, s)``: the distinct shingle hashes of each node's text; of rows that repeat an id, of the least text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("node"), whole(F.col("text")).alias("text"))
-    sets = written(rows.join(needed, "node", "left_semi").select(
+    one = rows.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    return written(one.select(
         "node", F.array_distinct(sketches.shingle_hashes(ascii_lower(F.col("text")), width)).alias("s")
-    ).dropDuplicates(["node"]), "shingle-sets")
+    ), "shingle-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose sets of word shingles have a Jaccard similarity of at least ``similarity``."""
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = written(sets.join(needed, "node", "left_semi"), "pair-sets")
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b"
     ).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("both"))
-    return met.where((F.col("n") >= similarity * (F.col("both") - F.col("n"))) & (F.col("both") > 0)).select("a", "b")
+    return written(met.where(
+        (F.col("n") >= similarity * (F.col("both") - F.col("n"))) & (F.col("both") > 0)
+    ).select("a", "b"), "near-pairs")
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, ascending, and for each its rank by frequency, from 1."""
+    share = max(1, rows_each(sets) // SAMPLE)
+    counts = sets.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select(F.explode("s").alias("h")).groupBy("h").count()
+    top = [r["h"] for r in counts.where(F.col("count") > OFTEN).orderBy(F.desc("count"), "h").limit(FREQUENT).collect()]
+    hashes, ranks = np.array(top, np.int64), np.arange(len(top), 0, -1)
+    order = np.argsort(hashes)
+    return hashes[order], ranks[order]
+
+
+def prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(node, n, i, key)``: the first shingles of each set, of ``n`` in all, with their places from 0.
+
+    Two sets with a Jaccard similarity of ``similarity`` have one of them in common, as the one with more
+    shingles shares at least that part of its own.
+    """
+    hashes, ranks = _frequent(sets)
+
+    @F.pandas_udf("array<long>")
+    def first(shingles: pd.Series) -> pd.Series:
+        out = []
+        for s in shingles:
+            rank = np.zeros(len(s), np.int64)
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+                rank = np.where(hashes[at] == s, ranks[at], 0)
+            out.append(s[np.lexsort((s, rank))[:len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]])
+        return pd.Series(out, dtype=object)
+
+    own = sets.where(F.size("s") > 0).select("node", F.size("s").alias("n"), first("s").alias("x"))
+    return own.select("node", "n", F.posexplode("x").alias("i", "key"))
+
+
+def _rooted(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """The entries with the ``root`` of their node over the links so far."""
+    roots = written(component_roots(links), "roots-so-far")
+    return written(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-keys")
+
+
+def _apart(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes of different roots that share a key and whose sizes and places there allow the similarity."""
+    one = left.select("key", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "i", "root")])
+    two = right.select("key", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "i", "root")])
+    ln, rn = F.col("l_n"), F.col("r_n")
+    share = similarity / (1 + similarity)
+    return written(one.join(two, "key").where(
+        (F.col("l_root") != F.col("r_root"))
+        & (F.least(ln, rn) >= similarity * F.greatest(ln, rn) - 1e-6)
+        & (F.least(ln - F.col("l_i"), rn - F.col("r_i")) >= share * (ln + rn) - 1e-6)
+    ).select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct(), "apart")
+
+
+def all_links(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The verified links and as many more as join every two sets of at least ``similarity``, directly or by a path.
+
+    Texts of one key are first compared with one of them, so that large groups are joined without
+    comparing them pair by pair. Then each text outside the key's most frequent group is compared with all of
+    the key that are not of its own group; the first shared shingle of two near sets passes the test of places.
+    """
+    entries = written(prefixes(sets, similarity), "prefixes")
+    shared = entries.groupBy("key").count().where("count > 1").select("key")
+    entries = written(entries.join(shared, "key", "left_semi"), "shared-keys")
+    for step in range(STARS):
+        rooted = _rooted(entries, links)
+        order = F.struct(F.xxhash64(F.col("node"), F.lit(step)).alias("p"), "node", "n", "i", "root")
+        heads = rooted.groupBy("key").agg(F.min(order).alias("x")).select("key", "x.*")
+        links = links.unionByName(verified(_apart(rooted, heads, similarity), sets, similarity))
+    rooted = _rooted(entries, links)
+    groups = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(
+        F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("groups")
+    )
+    mixed = written(groups.where("groups > 1").select("key", "main"), "mixed-keys")
+    others = rooted.join(mixed, "key").where("root <> main")
+    return links.unionByName(verified(_apart(others, rooted.join(mixed, "key", "left_semi"), similarity), sets, similarity))
 
 
 def keep_one(docs: DataFrame, views: int = VIEWS, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, own columns, of the smallest id in each group of copies and near-duplicates.
 
+    Every pair of texts whose shingles agree to ``similarity`` is in one group; fingerprints only save comparisons.
+
     Texts with the same lower-cased words are copies. Null text counts as empty, and texts without
     words are copies of each other. Rows that repeat an id are one document, compared by one of their
     texts, and stay or go together. Rows without an id stay. Empty table: empty result.
@@ -98,7 +198,9 @@ def keep_one(docs: DataFrame, views: int = VIEWS, width: int = WIDTH, similarity
     firsts = written(
         each.groupBy("k1", "k2").agg(F.min(F.struct("node", "fps")).alias("x")).select("x.*"), "first-copies"
     )
-    roots = written(component_roots(verified(candidates(firsts, views), firsts, docs, width, similarity)), "near-roots")
+    sets = shingle_sets(firsts, docs, width)
+    links = all_links(verified(candidates(firsts, views), sets, similarity), sets, similarity)
+    roots = written(component_roots(links), "near-roots")
     lows = roots.groupBy("root").agg(F.min("node").alias("low"))
     near = roots.join(lows, "root").where("node <> low").select("node")
     stay = firsts.select("node").join(near, "node", "left_anti")

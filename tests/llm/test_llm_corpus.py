@@ -250,6 +250,40 @@ def test_near_stage(spark, docs, tricky, nothing):
     assert twice <= 0.1 * sum(map(len, near.values())) / 2
 
 
+def kept_by_brute_force(texts):
+    """The smallest id of each group of texts linked by shingles that agree to 0.8 or by the same words."""
+    sets = {i: shingles(t) for i, t in texts.items()}
+    low = {i: i for i in texts}
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i, j in combinations(sorted(texts), 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((root(i), root(j)))
+            low[b] = a
+    return {i for i in texts if root(i) == i}
+
+
+def test_near_stage_finds_every_contiguous_edit(spark):
+    rng = random.Random(11)
+    new = lambda n: [f"word{rng.randrange(20_000)}" for _ in range(n)]
+    texts = {}
+    for i in range(90):
+        base = new(rng.choice([5, 9, 40, 150, 600]))
+        k = round(len(base) * rng.uniform(0.08, 0.27))
+        texts[2 * i] = " ".join(base)
+        texts[2 * i + 1] = " ".join([base + new(k), new(k) + base, base[:len(base) - k]][i % 3])
+    passage = " ".join(new(60))
+    texts |= {1000 + i: f"{passage} {' '.join(new(rng.choice([8, 30])))}" for i in range(40)}
+    left = near_stage.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = kept_by_brute_force(texts)
+    assert 20 < len(texts) - len(want) and {r["doc_id"] for r in left} == want
+
+
 def test_pipeline(spark, sf, docs):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
