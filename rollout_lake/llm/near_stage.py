@@ -72,7 +72,8 @@ def candidates(nodes: DataFrame, views: int = VIEWS) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of nodes ``(node, fps)`` that meet in some view, each once.
 
     Nodes of one fingerprint are compared with the smallest of them, and the smallest ones of linked
-    fingerprints with each other, so no group is compared pair by pair.
+    fingerprints with each other, so no group is compared pair by pair. Near texts whose heads are not
+    near do not meet here; ``all_links`` finds them.
     """
     met = None
     for view in range(views):

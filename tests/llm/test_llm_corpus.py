@@ -284,6 +284,19 @@ def test_near_stage_finds_every_contiguous_edit(spark):
     assert 20 < len(texts) - len(want) and {r["doc_id"] for r in left} == want
 
 
+def test_near_stage_does_not_stop_at_the_head_of_a_fingerprint(spark):
+    rng = random.Random(12)
+    w = [f"word{i}" for i in range(200)]
+    other = rng.sample(w, 200)
+    texts = {1: other, 2: w, 3: w[20:] + w[:20]}
+    base = [f"star{i}" for i in range(200)]
+    for i, at in enumerate((10, 70, 130)):  # each near the base, none near another
+        texts[31 + i] = base[:at] + base[at + 20:at + 40] + base[at:at + 20] + base[at + 40:]
+    texts = {i: " ".join(x) for i, x in (texts | {34: base}).items()}
+    left = near_stage.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in left} == kept_by_brute_force(texts) == {1, 2, 31}
+
+
 def test_pipeline(spark, sf, docs):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
