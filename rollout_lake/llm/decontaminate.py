@@ -4,7 +4,7 @@ The unit of overlap is a window of 13 tokens. Fixed masks pick six of its tokens
 others; the picked tokens' hash joins test windows with training texts. The masks are such that at
 every pattern of two substitutions within a window, one of them avoids both. Around each hit all
 13 tokens are compared, and the window counts if at most two differ. Test texts of 8 to 12 tokens
-are looked for as a whole. All of it is column expressions and joins.
+are looked for as a whole and without substitutions. All of it is column expressions and joins.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from .common import NO_ID, let, rows_each, whole, written
 WINDOW = 13
 LEAST = 8
 SIMILARITY = 0.8
-"""A window of n tokens counts if at least ``ceil(0.8 n)`` of them are equal in place."""
+"""A window of ``WINDOW`` tokens counts if at least ``ceil(0.8 WINDOW)`` of them are equal in place, a shorter one if all are."""
 
 MASKS = ((0, 1, 4, 5, 6, 8), (0, 2, 4, 9, 10, 11))
 """Positions that each seed picks; with all their places in a window, two substitutions never hit every one."""
