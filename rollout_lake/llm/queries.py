@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup, quality, secret_scan, sharding, simhash, sketches, warc
+from . import bpe, chat, decontaminate, line_dedup, neighbours, quality, secret_scan, sharding, simhash, sketches, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,10 +126,16 @@ FROM p LEFT JOIN k ON p.d = k.d AND p.n >= 1000
 """
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = neighbours.build(vectors, 20)
+    return neighbours.nearest(index, vectors.where("vec_id % 20 = 0"), 20)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_fingerprints, op3_decontaminate, op4_secret_scan, op5_simhash, op6_sharding, op7_bpe,
-        op8_quality, op9_chat, op10_warc,
+        op8_quality, op9_chat, op10_warc, op11_neighbours,
     )
 }
 
