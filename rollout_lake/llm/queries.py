@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup, neighbours, quality, secret_scan, sharding, simhash, sketches, warc
+from . import (
+    alignment, bpe, chat, decontaminate, line_dedup, neighbours, quality, secret_scan, sharding, simhash, sketches, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,10 +134,14 @@ def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(index, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_fingerprints, op3_decontaminate, op4_secret_scan, op5_simhash, op6_sharding, op7_bpe,
-        op8_quality, op9_chat, op10_warc, op11_neighbours,
+        op8_quality, op9_chat, op10_warc, op11_neighbours, op12_alignment,
     )
 }
 
