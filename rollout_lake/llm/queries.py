@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    alignment, bpe, chat, decontaminate, line_dedup, neighbours, quality, secret_scan, sharding, simhash, sketches, warc,
+    alignment, bpe, chat, collocations, decontaminate, line_dedup, neighbours, quality, secret_scan, sharding, simhash, sketches, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,10 +138,14 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_fingerprints, op3_decontaminate, op4_secret_scan, op5_simhash, op6_sharding, op7_bpe,
-        op8_quality, op9_chat, op10_warc, op11_neighbours, op12_alignment,
+        op8_quality, op9_chat, op10_warc, op11_neighbours, op12_alignment, op13_collocations,
     )
 }
 
