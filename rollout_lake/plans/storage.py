@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as X
@@ -11,6 +12,7 @@ from ..functions import registry as M
 from ..operators import managers  # noqa: F401  fills the registries
 from ..session import scratch_path
 from ..sources import files as A
+from ..streaming import processors as P
 from ..streaming import steps as L
 from .answers import _JUDGED_SQL, _LADDER_TAIL, TRANSCRIPT_SQL, _ladder_sql, _runs, chain, math_equal_sql, normalise_sql
 from .registry import Tables, query, r6
@@ -147,9 +149,13 @@ def _event_stream(t: Tables, files: int = 1):
         folder = scratch_path(t.spark, "events")
         t.table("events").repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(folder)
         raw = L.read_files(t.spark, folder, schema, files_per_batch=1)
-    # the zone-less event time as an instant, whatever the session's time zone
+    return _at(raw)
+
+
+def _at(events):
+    """The zone-less event time as an instant, whatever the session's time zone."""
     micros = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"
-    return raw.withColumn("at", F.expr(f"timestamp_micros({micros})"))
+    return events.withColumn("at", F.expr(f"timestamp_micros({micros})"))
 
 
 @query("l01_stream_scored_records", "SELECT event_id, user_id, CASE WHEN value > 20 THEN 1e0 ELSE 0e0 END AS score FROM events")
@@ -178,24 +184,63 @@ def _(t: Tables):
     return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query("l03_complete_groups", "SELECT user_id AS uid, unnest(range(0, CAST(floor(count(*) / 8) AS BIGINT))) AS group_no, CAST(8 AS BIGINT) AS n FROM events GROUP BY user_id")
+LATE_SQL = "CAST(least(3, floor((epoch(ts) - (SELECT min(epoch(ts)) FROM events)) / 691200) + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT)"
+"""The delivery of four, each of eight days, that brings an event; one event in eleven comes a delivery late."""
+
+
+def _saved(df, name: str):
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _deliveries(events):
+    first = events.agg(F.min("at").alias("t")).first()["t"]
+    day = (F.unix_micros("at") - F.unix_micros(F.lit(first))) / 1e6 / 691200
+    return events.withColumn("delivery", F.least(F.lit(3), F.floor(day) + F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)))
+
+
+def _deliver(t: Tables, rows, base: str, job, numbers=range(4), mark: str | None = None, **sink) -> int:
+    """Run a streaming job over rows that come in deliveries, one start of the job after each; the state's rows at the end."""
+    plain = rows.drop("delivery")
+    left = 0
+    for number in numbers:
+        rows.where(F.col("delivery") == number).drop("delivery").write.mode("append").parquet(base + "/in")
+        if mark and number == max(numbers):
+            P.with_closing_mark(t.spark, base + "/in", plain, "at", mark)
+        left = L.run_to_end(job(L.read_files(t.spark, base + "/in", plain.schema)), base + "/checkpoint", **sink)
+    return left
+
+
+@query("l03_groups_with_deadline", f"""WITH e AS (SELECT event_id, ts, value, {LATE_SQL} AS delivery, user_id * 1000000 + (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 4 AS uid FROM events),
+g AS (SELECT *, min(epoch_ms(ts)) OVER (PARTITION BY uid) AS issued FROM e),
+w AS (SELECT delivery, coalesce(max(max(issued)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 43200000, 0) AS clock FROM g GROUP BY delivery),
+r AS (SELECT g.*, issued < clock AS late FROM g JOIN w USING (delivery)),
+k AS (SELECT uid, issued, count(*) AS n, sum(value) AS total FROM r WHERE NOT late GROUP BY uid, issued)
+SELECT 'late' AS kind, uid, CAST(1 AS BIGINT) AS n, {r6('value', 2)} AS total FROM r WHERE late
+UNION ALL SELECT CASE WHEN n = 4 THEN 'complete' ELSE 'timeout' END, uid, n, {r6('total', 2)} FROM k
+WHERE n = 4 OR issued < (SELECT max(issued) - 43200000 FROM r)""")
 def _(t: Tables):
     base = scratch_path(t.spark, "l03")
-    g = L.complete_groups(_event_stream(t, files=3), "user_id", "value", 8)
-    L.run_to_end(g, base + "/checkpoint", path=base + "/out")
-    return t.spark.read.parquet(base + "/out").select("uid", "group_no", "n")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    events = _deliveries(_at(t.table("events"))).withColumn("uid", F.col("user_id") * 1000000 + F.floor(seq / 4))
+    issued = events.groupBy("uid").agg(F.min("at").alias("issued"))
+    rows = _saved(events.join(issued, "uid").select("uid", "value", "issued", "at", "delivery"), "l03-rows")
+    _deliver(t, rows, base, lambda s: P.groups_with_deadline(s, "uid", "value", "issued", 4, "12 hours"), path=base + "/out")
+    return t.spark.read.parquet(base + "/out").withColumn("total", F.round("total", 2))
 
 
-@query("l04_session_trajectories", """SELECT user_id, count(*) AS turns, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS use_code, min(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) AS no_void FROM (
+@query("l04_session_trajectories", """SELECT user_id, count(*) AS turns, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS use_code, min(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) AS no_void, CAST(0 AS BIGINT) AS state_rows FROM (
 SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
 SELECT *, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)) GROUP BY user_id, s""")
 def _(t: Tables):
     base = scratch_path(t.spark, "l04")
-    flagged = _event_stream(t).withColumns({
-        "use_code": (F.col("event_type") == "click").cast("bigint"), "no_void": F.when(F.col("event_type") == "error", 0).otherwise(1)})
-    s = L.session_trajectories(flagged, "at", "user_id", "30 minutes")
-    L.run_to_end(s, base + "/checkpoint", mode="complete", each=L.upsert_batches(base + "/out"))
-    return L.latest(t.spark, base + "/out", ["user_id", "start"]).select("user_id", "turns", "use_code", "no_void")
+    flagged = _deliveries(_at(t.table("events"))).select(
+        "user_id", "at", (F.col("event_type") == "click").cast("bigint").alias("use_code"),
+        F.when(F.col("event_type") == "error", 0).otherwise(1).alias("no_void"), "delivery")
+    left = _deliver(t, flagged, base, lambda s: L.session_trajectories(s, "at", "user_id", "30 minutes", "9 days"),
+                    mark="10 DAYS", path=base + "/out")
+    return t.spark.read.parquet(base + "/out").select("user_id", "turns", "use_code", "no_void", F.lit(left).cast("bigint").alias("state_rows"))
 
 
 @query("l05_resume", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -212,32 +257,31 @@ def _(t: Tables):
     return t.spark.read.parquet(base + "/out").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"))
 
 
-@query("l06_adaptive_coefficient_stream", f"""WITH s AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS step, avg(value) / 100 AS kl, count(*) AS n FROM events GROUP BY 1)
-SELECT step, {r6('0.2 * exp(sum(ln(1 + greatest(least(kl / 0.5 - 1, 0.2), -0.2) * n / 10000)) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING))')} AS kl_coef FROM s""")
+@query("l06_adaptive_coefficient_stream", f"""WITH s AS (SELECT event_type AS run, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS step, avg(value) / 100 AS kl, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT run, step, n, {r6('kl')} AS kl, {r6('0.2 * exp(sum(ln(1 + greatest(least(kl / 0.5 - 1, 0.2), -0.2) * n / 10000)) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING))')} AS kl_coef FROM s""")
 def _(t: Tables):
     base = scratch_path(t.spark, "l06")
-    stepped = t.table("events").select(F.expr(HOUR_SQL).alias("step"), (F.col("value") / 100).alias("kl"))
-    cut = stepped.agg(F.floor((F.min("step") + F.max("step")) / 2).alias("c")).first()["c"]
-    for part, cond in ((0, F.col("step") <= cut), (1, F.col("step") > cut)):
-        stepped.where(cond).write.parquet(f"{base}/in{part}")
-    each = L.adaptive_coefficient_batches(base + "/state", base + "/out", 0.2, 0.5, 10000.0)
-    for part in (0, 1):
-        each(t.spark.read.parquet(f"{base}/in{part}"), part)
-    return t.spark.read.parquet(base + "/out").select("step", F.round("kl_coef", 6).alias("kl_coef"))
+    rows = _deliveries(_at(t.table("events"))).select(
+        F.col("event_type").alias("run"), F.expr(HOUR_SQL).alias("step"), (F.col("value") / 100).alias("kl"), "at", "delivery")
+    ends = (F.col("step") + 1) * 3600000
+    _deliver(t, rows, base, lambda s: P.ordered_coefficients(s, "run", "step", "kl", "at", ends, "9 days", 0.2, 0.5, 10000.0),
+             mark="10 DAYS", path=base + "/out")
+    out = t.spark.read.parquet(base + "/out")
+    return out.select("run", "step", "n", F.round("kl", 6).alias("kl"), F.round("kl_coef", 6).alias("kl_coef"))
 
 
-@query("l07_full_batches", "SELECT CAST(floor(count(*) / 4) * 4 AS BIGINT) AS groups, CAST(4 AS BIGINT) AS per_batch FROM (SELECT DISTINCT user_id FROM events)")
+@query("l07_full_batches", """WITH g AS (SELECT user_id, user_id % 3 AS delivery FROM events GROUP BY user_id),
+p AS (SELECT *, row_number() OVER (ORDER BY delivery, md5(concat(CAST(user_id AS STRING), '-5')), user_id) - 1 AS pos FROM g),
+c AS (SELECT delivery AS batch, sum(count(*)) OVER (ORDER BY delivery) // 4 * 4 AS upto FROM g GROUP BY delivery),
+b AS (SELECT batch, upto, coalesce(lag(upto) OVER (ORDER BY batch), 0) AS since FROM c)
+SELECT user_id, CAST(batch AS INTEGER) AS batch, CAST((pos - since) // 4 AS BIGINT) AS slot FROM p JOIN b ON pos >= since AND pos < upto""")
 def _(t: Tables):
     base = scratch_path(t.spark, "l07")
     groups = t.table("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("score"))
-    groups.repartition(3, "user_id").write.parquet(base + "/in")
-    stream = L.read_files(t.spark, base + "/in", groups.schema, files_per_batch=1)
-    L.run_to_end(stream, base + "/checkpoint", each=L.full_batches(base + "/carry", base + "/out", "user_id", 4, 5))
-    per = t.spark.read.parquet(base + "/out").groupBy("batch", "slot").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.sum("n").alias("groups"), F.max("n").alias("per_batch"))
-
+    rows = _saved(groups.withColumn("delivery", F.col("user_id") % 3), "l07-groups")
+    _deliver(t, rows, base, lambda s: s, range(3), each=L.full_batches(base + "/carry", base + "/out", "user_id", 4, 5))
+    return t.spark.read.parquet(base + "/out").select("user_id", "batch", "slot")
 
-# ---------------------------------------------------------------- functions
 
 @query("m01_user_reward_function", "SELECT case_id, CASE WHEN contains(response, 'boxed') THEN 1e0 ELSE 0e0 END AS score, CASE WHEN case_id % 9 = 0 THEN 1 ELSE 0 END AS is_filter FROM @responses".replace("CASE WHEN contains", "CASE WHEN case_id % 9 = 0 THEN 0e0 WHEN contains"))
 def _(t: Tables):

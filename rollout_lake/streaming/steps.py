@@ -7,15 +7,13 @@ with a processing-time trigger.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.advantage import adaptive_kl_coefficient
 from ..operators.ordering import seeded_index
+from .processors import ROCKSDB
 
 
 def read_files(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -26,11 +24,20 @@ def read_files(spark: SparkSession, folder: str, schema, pattern: str = "*.parqu
     return reader.parquet(folder)
 
 
-def run_to_end(stream: DataFrame, checkpoint: str, mode: str = "append", path: str | None = None, each: Callable | None = None) -> None:
-    """Drain a stream into parquet files, or hand each micro-batch to ``each``."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = writer.foreachBatch(each).start() if each else writer.format("parquet").option("path", path).start()
+def run_to_end(stream: DataFrame, checkpoint: str, mode: str = "append", path: str | None = None, each: Callable | None = None) -> int:
+    """Drain a stream into parquet files, or hand each micro-batch to ``each``; the rows of state left at the end."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark = stream.sparkSession
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)  # the timers of keyed processors need it
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        query = writer.foreachBatch(each).start() if each else writer.format("parquet").option("path", path).start()
+    finally:
+        spark.conf.set(provider, before)
     query.awaitTermination()
+    last = query.lastProgress
+    return sum(s["numRowsTotal"] for s in last["stateOperators"]) if last else 0
 
 
 def score_records(stream: DataFrame, score, out_columns: list[str]) -> DataFrame:
@@ -65,45 +72,14 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return picked.select(*keys, *[F.col("r")[c].alias(c) for c in rest])
 
 
-GROUP_OUTPUT = "uid bigint, group_no bigint, n bigint, score_sum double"
-GROUP_STATE = "seen bigint, groups bigint, score_sum double"
-
-
-def complete_groups(stream: DataFrame, uid: str, score: str, samples: int, timeout_ms: int = 0) -> DataFrame:
-    """One row whenever ``samples`` responses of a prompt are in.
+def session_trajectories(stream: DataFrame, time: str, key: str, gap: str, delay: str = "10 minutes") -> DataFrame:
+    """Turns of a key that follow each other within ``gap`` make one trajectory.
 
-    The state of a key is three numbers, whatever the number of its rows. With a timeout,
-    a group that stays incomplete is emitted with the rows it has.
+    In append mode a trajectory is written once, when the watermark has passed its end, and leaves the state. Rows without a
+    key are marks of time only.
     """
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, groups, total = state.get if state.exists else (0, 0, 0.0)
-        out = []
-        if state.hasTimedOut:
-            if seen:
-                out.append((key[0], groups, seen, total))
-            state.remove()
-        else:
-            for pdf in batches:
-                for value in pdf["score"]:
-                    seen, total = seen + 1, total + float(value)
-                    if seen == samples:
-                        out.append((key[0], groups, seen, total))
-                        seen, groups, total = 0, groups + 1, 0.0
-            state.update((seen, groups, total))
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=["uid", "group_no", "n", "score_sum"])
-
-    wait = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return stream.select(F.col(uid).cast("bigint").alias("uid"), F.col(score).cast("double").alias("score")).groupBy(
-        "uid"
-    ).applyInPandasWithState(step, GROUP_OUTPUT, GROUP_STATE, "append", wait)
-
-
-def session_trajectories(stream: DataFrame, time: str, key: str, gap: str, delay: str = "10 minutes") -> DataFrame:
-    """Turns of a key that follow each other within ``gap`` make one trajectory."""
     w = F.session_window(time, gap)
-    return stream.withWatermark(time, delay).groupBy(w, key).agg(
+    return stream.withWatermark(time, delay).where(F.col(key).isNotNull() | F.col(time).isNull()).groupBy(w, key).agg(
         F.count(F.lit(1)).alias("turns"), F.sum("use_code").alias("use_code"),
         F.min("no_void").alias("no_void"),
     ).select(key, F.col("session_window.start").alias("start"), "turns", "use_code", "no_void")
@@ -114,27 +90,6 @@ def not_yet_written(rows: DataFrame, written: DataFrame, keys: list[str]) -> Dat
     return rows.join(written.select(*keys).distinct(), keys, "left_anti")
 
 
-def adaptive_coefficient_batches(state_path: str, out_path: str, init: float, target: float, horizon: float) -> Callable[[DataFrame, int], None]:
-    """Carry the adaptive KL coefficient across micro-batches through a one-row state table.
-
-    The state written by batch b-1 is what batch b starts from, so a repeated batch
-    gives the same values. Batches must arrive in step order.
-    """
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        start = init
-        if number > 0:
-            start = spark.read.parquet(f"{state_path}/{number - 1}").first()["kl_coef"]
-        steps = batch.groupBy("step").agg(F.avg("kl").alias("kl"), F.count(F.lit(1)).alias("n"))
-        out = adaptive_kl_coefficient(steps, "step", "kl", "n", start, target, horizon)
-        out.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        done = spark.read.schema(out.schema).parquet(f"{out_path}/batch={number}")
-        end = done.agg(F.coalesce(F.max_by("kl_coef", "step"), F.lit(start)).alias("kl_coef"))
-        end.write.mode("overwrite").parquet(f"{state_path}/{number}")
-
-    return each
-
-
 def full_batches(carry_path: str, out_path: str, uid: str, batch_size: int, seed: int) -> Callable[[DataFrame, int], None]:
     """Emit whole batches of prompt groups; groups beyond the last full batch wait for the next one.
 
