@@ -108,18 +108,41 @@ def move_padding_struct(rows: Column, field: str, pad_id: int, to_left: bool = T
     return F.concat(pads, real) if to_left else F.concat(real, pads)
 
 
+ROLL_PRIME, ROLL_BASE = 2**31 - 1, 1_000_003
+
+
 def find_subsequence(seq: Column, sub: Column) -> Column:
-    """Zero-based index of the first occurrence of ``sub``; -1 when absent or empty."""
-    n, m = F.size(seq), F.size(sub)
-    starts = F.when((m > 0) & (n >= m), F.sequence(F.lit(1), n - m + 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    pair = F.struct(seq.alias("seq"), sub.alias("sub"))
-    hits = let(
-        pair,
-        lambda p: F.filter(starts, lambda i: F.slice(p["seq"], i, F.size(p["sub"])) == p["sub"]),
+    """Zero-based index of the first occurrence of ``sub``; -1 when absent or empty.
+
+    One pass with a rolling hash of the last elements; arrays are only compared where the hashes are equal.
+    """
+    def code(x):
+        return F.pmod(F.xxhash64(x.cast("string")), F.lit(ROLL_PRIME))
+
+    def rolled(h, x):
+        return F.pmod(h * F.lit(ROLL_BASE) + x, F.lit(ROLL_PRIME))
+
+    def search(p):
+        m = F.size(p["sub"])
+
+        def step(s, i):
+            gone = F.when(i >= m, F.get(p["codes"], i - m) * p["power"]).otherwise(F.lit(0).cast("bigint"))
+            h = F.pmod(s["h"] * F.lit(ROLL_BASE) + F.get(p["codes"], i) - F.pmod(gone, F.lit(ROLL_PRIME)), F.lit(ROLL_PRIME))
+            return let(h, lambda now: F.struct(now.alias("h"), F.when(s["at"] >= 0, s["at"]).when(
+                (i >= m - 1) & (now == p["wanted"]) & (F.slice(p["seq"], i - m + 2, m) == p["sub"]), i - m + 1
+            ).otherwise(F.lit(-1)).alias("at")))
+
+        start = F.struct(F.lit(0).cast("bigint").alias("h"), F.lit(-1).alias("at"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(p["seq"]) - 1), start, step)["at"]
+
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    staged = F.struct(
+        seq.alias("seq"), sub.alias("sub"), F.transform(seq, code).alias("codes"),
+        F.aggregate(F.transform(sub, code), zero, rolled).alias("wanted"),
+        F.aggregate(sub, one, lambda h, _: rolled(h, zero)).alias("power"),
     )
-    return (F.coalesce(F.get(hits, F.lit(0)), F.lit(0)) - 1).cast("bigint")
+    found = F.when((F.size(sub) > 0) & (F.size(seq) >= F.size(sub)), let(staged, search))
+    return F.coalesce(found, F.lit(-1)).cast("bigint")
 
 
 def extend_positions(positions: Column, n: Column) -> Column:

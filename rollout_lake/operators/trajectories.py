@@ -14,10 +14,18 @@ from .ordering import running_total
 TURNS_PER_CHUNK = 256
 
 
-def classify_turns(turns: DataFrame, runs: DataFrame, keys: Sequence[str], text: str, active: str, stop_on_void: bool = True) -> DataFrame:
+NO_TOOL_PROMPT = "\n"
+"""What the agent sees after a turn with neither an answer nor code (fixed value)."""
+
+
+def classify_turns(
+    turns: DataFrame, runs: DataFrame, keys: Sequence[str], text: str, active: str, stop_on_void: bool = True,
+    no_tool_prompt: str = NO_TOOL_PROMPT,
+) -> DataFrame:
     """Classify every turn and join the recorded run of its code.
 
-    A boxed answer in the run's output ends the trajectory as well.
+    A boxed answer in the run's output ends the trajectory as well. A void turn's observation is the prompt to
+    use a tool; answers and inactive turns have none.
     """
     staged = turns.withColumn("__c", T.classify_turn(F.col(text), F.col(active), stop_on_void))
     flat = staged.select(*turns.columns, "__c.*")
@@ -28,7 +36,8 @@ def classify_turns(turns: DataFrame, runs: DataFrame, keys: Sequence[str], text:
     return joined.withColumn("__f", flags).withColumns({
         "valid_code": F.when(used, F.coalesce(F.col("__f.valid_code"), F.lit(0))).otherwise(0),
         "done": F.col("done") | (used & F.coalesce(F.col("__f.answered"), F.lit(False))),
-        "observation": F.when(used, T.observation(F.col("success"), F.col("stdout"), F.col("stderr"))),
+        "observation": F.when(used, T.observation(F.col("success"), F.col("stdout"), F.col("stderr"))).when(
+            F.col("is_void"), F.lit(no_tool_prompt)),
     }).drop("__f")
 
 

@@ -311,10 +311,10 @@ def _(t: Tables):
     return C.union_aligned(left, _orders(t).select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
 
 
-@query("c05_concat_batches", "SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000")
+@query("c05_concat_batches", "SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT l_orderkey, l_linestatus FROM lineitem")
 def _(t: Tables):
-    a = _orders(t).select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return C.concat_batches([a, a.where("o_totalprice > 100000")]).select("o_orderkey", "o_orderstatus")
+    lines = t.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("o_orderstatus"))
+    return C.concat_batches([_orders(t).select("o_orderkey", "o_orderstatus"), lines])
 
 
 @query("c05_merge_meta", "SELECT l_linestatus AS key, 'same' AS value FROM lineitem GROUP BY 1 UNION ALL SELECT 'metrics', CAST(l_quantity AS STRING) FROM (SELECT CAST(l_quantity AS BIGINT) AS l_quantity FROM lineitem)")

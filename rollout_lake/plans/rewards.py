@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import advantage as G
 from ..operators import resample as I
+from ..operators import scans as N
+from ..operators.groups import lookup_join
 from ..operators.tokens import explode_tokens
 from .registry import Tables, query, r6
 
@@ -152,20 +154,45 @@ JOIN (SELECT seq_id, pos, e - new_lp * 0.25 AS r FROM @tok) b ON a.seq_id = b.se
 GROUP BY 1, 2, 3"""
 
 
-@query("g10_reinforce_plus_plus", f"""
+_G10_SQL = f"""
 WITH r AS ({_RET_SQL}), s AS (SELECT sum(ret * mask) / (sum(mask) + 1e-8) AS mu, sum(mask) AS n FROM r),
 v AS (SELECT sum(mask * (ret - mu) * (ret - mu)) / (any_value(n) + 1e-8) * any_value(n) / (any_value(n) - 1) AS var FROM r, s)
-SELECT seq_id, pos, {r6('ret')} AS returns, {r6('(ret - mu) / sqrt(var + 1e-8) * mask')} AS advantages FROM r, s, v""")
+SELECT seq_id, pos, {r6('ret')} AS returns, {r6('(ret - mu) / sqrt(var + 1e-8) * mask')} AS advantages FROM r, s, v"""
+
+
+def _scan_tokens(t: Tables):
+    return explode_tokens(_token_rewards(t), ["rewards", "e", "mask"], keep=("seq_id", "uid"))
+
+
+def _advantages(out):
+    return out.select("seq_id", "pos", F.round("returns", 6).alias("returns"), F.round("advantages", 6).alias("advantages"))
+
+
+@query("g10_discounted_returns_scan", _G10_SQL)
+def _(t: Tables):
+    return _advantages(N.discounted_returns(_scan_tokens(t), "rewards", "mask", 0.9, chunk=16))
+
+
+@query("g10_reinforce_plus_plus", _G10_SQL)
 def _(t: Tables):
     out = G.compute_advantage(_token_rewards(t), "reinforce_plus_plus", rewards="rewards", mask="mask", gamma=0.9)
     return _long(out, ["returns", "advantages"]).select(
         "seq_id", "pos", F.round("returns", 6).alias("returns"), F.round("advantages", 6).alias("advantages"))
 
 
-@query("g11_remax", f"""
+_G11_SQL = f"""
 WITH b AS (SELECT CAST(label AS BIGINT) AS uid, avg(CAST(embedding[1] AS DOUBLE)) AS baseline FROM embeddings GROUP BY 1),
 r AS (SELECT *, sum((e - new_lp * 0.25) * mask) OVER (PARTITION BY seq_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) AS ret FROM @tok)
-SELECT seq_id, pos, {r6('ret')} AS returns, {r6('ret - baseline * mask')} AS advantages FROM r JOIN b ON r.uid = b.uid""")
+SELECT seq_id, pos, {r6('ret')} AS returns, {r6('ret - baseline * mask')} AS advantages FROM r JOIN b ON r.uid = b.uid"""
+
+
+@query("g11_baseline_returns_scan", _G11_SQL)
+def _(t: Tables):
+    baselines = t.sequences().groupBy("uid").agg(F.avg(F.get("e", F.lit(0))).alias("baseline"))
+    return _advantages(N.baseline_returns(lookup_join(_scan_tokens(t), baselines, ["uid"]), "rewards", "mask", "baseline", chunk=16))
+
+
+@query("g11_remax", _G11_SQL)
 def _(t: Tables):
     seqs = _token_rewards(t)
     baselines = t.sequences().groupBy("uid").agg(F.avg(F.get("e", F.lit(0))).alias("baseline"))
@@ -174,12 +201,20 @@ def _(t: Tables):
         "seq_id", "pos", F.round("returns", 6).alias("returns"), F.round("advantages", 6).alias("advantages"))
 
 
-@query("g12_gae", f"""
+_G12_SQL = f"""
 WITH d AS (SELECT *, (e - new_lp * 0.25) + 0.98 * coalesce(lead(e) OVER (PARTITION BY seq_id ORDER BY pos), 0) - e AS delta FROM @tok),
 a AS (SELECT x.seq_id, x.pos, x.mask, x.e, sum(pow(0.98 * 0.9, y.pos - x.pos) * y.delta) AS adv FROM d x JOIN d y ON x.seq_id = y.seq_id AND y.pos >= x.pos GROUP BY 1, 2, 3, 4),
 s AS (SELECT sum(adv * mask) / (sum(mask) + 1e-8) AS mu, sum(mask) AS n FROM a),
 v AS (SELECT sum(mask * (adv - mu) * (adv - mu)) / (any_value(n) + 1e-8) * any_value(n) / (any_value(n) - 1) AS var FROM a, s)
-SELECT seq_id, pos, {r6('adv + e')} AS returns, {r6('(adv - mu) / sqrt(var + 1e-8)')} AS advantages FROM a, s, v""")
+SELECT seq_id, pos, {r6('adv + e')} AS returns, {r6('(adv - mu) / sqrt(var + 1e-8)')} AS advantages FROM a, s, v"""
+
+
+@query("g12_gae_scan", _G12_SQL)
+def _(t: Tables):
+    return _advantages(N.gae_tokens(_scan_tokens(t), "rewards", "e", "mask", 0.98, 0.9, chunk=16))
+
+
+@query("g12_gae", _G12_SQL)
 def _(t: Tables):
     out = G.compute_advantage(_token_rewards(t), "gae", rewards="rewards", values="e", mask="mask", gamma=0.98, lam=0.9)
     return _long(out, ["returns", "advantages"]).select(
@@ -190,12 +225,10 @@ def _(t: Tables):
 SELECT estimator, data_source, count(*) AS n, {r6('sum(abs(adv))', 3)} AS total FROM (
 SELECT 'grpo' AS estimator, data_source, (soft - CASE WHEN n = 1 THEN 0 ELSE m END) / (CASE WHEN n = 1 THEN 1 ELSE s END + 1e-6) AS adv FROM
 (SELECT *, count(*) OVER w AS n, avg(soft) OVER w AS m, stddev_samp(soft) OVER w AS s FROM @rollouts WINDOW w AS (PARTITION BY uid))
-WHERE s IS NULL OR s > 1e-3
 UNION ALL SELECT 'rloo', data_source, CASE WHEN n > 1 THEN soft * n / (n - 1) - m * n / (n - 1) ELSE soft END FROM
-(SELECT *, count(*) OVER w AS n, avg(soft) OVER w AS m, stddev_samp(soft) OVER w AS s FROM @rollouts WINDOW w AS (PARTITION BY uid))
-WHERE s IS NULL OR s > 1e-3) GROUP BY 1, 2""")
+(SELECT *, count(*) OVER w AS n, avg(soft) OVER w AS m, stddev_samp(soft) OVER w AS s FROM @rollouts WINDOW w AS (PARTITION BY uid))) GROUP BY 1, 2""")
 def _(t: Tables):
-    rows = I.keep_valid(t.view("rollouts"), "uid", "soft", "resp_len", 10**9)
+    rows = t.view("rollouts")
     parts = [
         G.compute_advantage(rows, name, score="soft").select(F.lit(name).alias("estimator"), "data_source", "advantage")
         for name in ("grpo", "rloo")

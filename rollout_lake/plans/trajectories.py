@@ -47,7 +47,7 @@ def _classified(t: Tables):
 _OBS_SQL = f"""SELECT c.*, e.success, e.stdout, e.stderr, CASE WHEN use_code = 1 AND stderr = '' AND stdout <> '' THEN 1 ELSE 0 END AS valid_code,
 done0 OR (use_code = 1 AND contains(stdout, chr(92) || 'boxed' || chr(123))) AS done,
 CASE WHEN use_code = 1 THEN chr(10) || 'Code execution result: ' || CASE WHEN stderr <> '' THEN {_cut_mid("string_split(stderr, chr(10))[-1]", 512)}
-WHEN stdout <> '' THEN {_cut_mid("stdout", 512)} WHEN NOT success THEN 'interpreter timeout' ELSE '' END || chr(10) END AS observation
+WHEN stdout <> '' THEN {_cut_mid("stdout", 512)} WHEN NOT success THEN 'interpreter timeout' ELSE '' END || chr(10) WHEN is_void THEN chr(10) END AS observation
 FROM ({_CLASS_SQL}) c JOIN @exec_log e ON c.traj_id = e.traj_id AND c.turn = e.turn"""
 
 
