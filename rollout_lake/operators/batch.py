@@ -59,6 +59,36 @@ def union_aligned(left: DataFrame, right: DataFrame, row_id: str) -> DataFrame:
     return joined.withColumn(row_id, checked).select(*left.columns, *extra)
 
 
+def _keyed_sums(row_id: str, column: str) -> Column:
+    """Two sums of keyed hashes of a column's values and their rows: equal for equal sets of rows in any order.
+
+    A missing, doubled or changed row changes the sums; by chance they agree once in 2^128.
+    """
+    value = F.struct(F.col(row_id), F.col(column).isNull(), F.col(column))
+    sums = [F.sum(F.xxhash64(F.lit(seed), value).cast("decimal(20,0)")) for seed in (11, 29)]
+    return F.struct(F.count(F.lit(1)).alias("rows"), *[s.alias(f"s{i}") for i, s in enumerate(sums)])
+
+
+def batch_digests(df: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
+    """One row with a digest for each column, and one for the row ids alone."""
+    return df.agg(_keyed_sums(row_id, row_id).alias("__ids"), *[_keyed_sums(row_id, c).alias(c) for c in columns])
+
+
+def differing_columns(left: DataFrame, right: DataFrame, row_id: str) -> DataFrame:
+    """``column, equal`` for the row ids and each shared column: whether both batches have the same rows, without a join of rows.
+
+    Each side is one aggregate. Null equals null.
+    """
+    shared = [c for c in left.columns if c in right.columns and c != row_id]
+    sides = [batch_digests(df, row_id, shared) for df in (left, right)]
+    names = [f"_{i}" for i in range(len(shared) + 1)]
+    packed = [F.struct(*[F.col(c).alias(n) for c, n in zip(["__ids", *shared], names)]).alias(side) for side in ("l", "r")]
+    both = sides[0].select(packed[0]).withColumn("r", sides[1].select(packed[1]).scalar())
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")).alias("equal"))
+            for c, n in zip([row_id, *shared], names)]
+    return both.select(F.explode(F.array(*rows)).alias("x")).select("x.column", "x.equal")
+
+
 def concat_batches(parts: Sequence[DataFrame]) -> DataFrame:
     """Rows of all parts."""
     out = parts[0]

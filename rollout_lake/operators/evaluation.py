@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .groups import attach_group_stats
-from .ordering import running_total, seeded_index
+from .ordering import first_rows, running_total, shuffle_key
 
 
 def pass_at_k(n: Column, correct: Column, k: int) -> Column:
@@ -76,14 +76,16 @@ def best_and_worst(
 
 
 def first_per_source(df: DataFrame, source: str, order: Sequence[str], n: int) -> DataFrame:
-    """First ``n`` rows of every source; the rank limit is applied before the shuffle too."""
-    w = Window.partitionBy(source).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    """First ``n`` rows of every source, with their rank from 1."""
+    return first_rows(df, [source], [F.col(c) for c in order], n, "rank")
 
 
 def shuffled_first(df: DataFrame, keys: Sequence[str], seed: int, n: int) -> DataFrame:
-    """First ``n`` rows of a seeded shuffle."""
-    return seeded_index(df, keys, seed, out="position").where(F.col("position") < n)
+    """First ``n`` rows of a seeded shuffle, with their place from 0; only candidates are ranked, not the table."""
+    digest = shuffle_key(seed, *keys)
+    some = df.withColumn("__digest", digest).orderBy("__digest", *keys).limit(n)
+    place = F.row_number().over(Window.orderBy("__digest", *keys))
+    return some.withColumn("position", place.cast("bigint") - 1).select(*df.columns, "position")
 
 
 def wide_samples(samples: DataFrame, step: str, slot: str, n: int, fields: Sequence[str]) -> DataFrame:

@@ -222,13 +222,16 @@ def masked_fractions(
 
 WEIGHT_PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
 
+SKETCH_ACCURACY = 10_000
+"""The sketch's rank error is 1/SKETCH_ACCURACY of the rows."""
+
 
 def weight_percentiles(weighted: DataFrame, mask: str, value: str = "raw_w", approximate: bool = False) -> DataFrame:
     """Percentiles of the valid weights, exact or from the built-in sketch."""
     valid = weighted.where(F.col(mask) > 0)
     names = [f"p{int(p * 100)}" for p in WEIGHT_PERCENTILES]
     if approximate:
-        sketch = valid.agg(F.percentile_approx(value, list(WEIGHT_PERCENTILES), 10000).alias("q"))
+        sketch = valid.agg(F.percentile_approx(value, list(WEIGHT_PERCENTILES), SKETCH_ACCURACY).alias("q"))
         return sketch.select(*[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)])
     return exact_quantiles(valid, value, WEIGHT_PERCENTILES, names)
 

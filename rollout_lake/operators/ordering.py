@@ -8,6 +8,7 @@ chunks. There are a few chunk totals per group for each shuffle partition.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import let
+
 LEAST_CUTS = 64
 CHUNKS_PER_PARTITION = 4
 
@@ -109,3 +112,49 @@ def seeded_index(
     keyed = df.withColumn("__digest", shuffle_key(seed, *keys))
     placed = row_index(keyed, ["__digest", *keys], digest_chunk(F.col("__digest"), chunk_count(df)), group_by, out)
     return placed.select(*cols, out)
+
+
+SALTS = 64
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str, salts: int = SALTS) -> DataFrame:
+    """The first ``n`` rows of every group by ``order``, which has no ties, with their rank from 1.
+
+    Each group is first cut into parts by a hash of its rows, of which the first ``n`` are candidates; only those, at most
+    ``salts * n`` of a group, are ranked against each other. So a group may hold a third of all rows, and ``n`` may be large.
+    """
+    cut = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    local = Window.partitionBy(*keys, "__part").orderBy(*order)
+    some = cut.withColumn("__r", F.row_number().over(local)).where(F.col("__r") <= n).drop("__r", "__part")
+    return some.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= n)
+
+
+PERMUTE_ROUNDS = 6
+PERMUTE_WALKS = 40
+
+
+def permuted(index: Column, n: int, seed: int | Column) -> Column:
+    """The place of ``index`` in a seeded permutation of 0..n-1, computed from the number alone: no sort, no shuffle.
+
+    A Feistel network over pairs of numbers, whose product of ranges is just above ``n``; a result beyond ``n`` goes
+    through it again until it is inside, which keeps the whole a permutation.
+    """
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    key = F.lit(seed) if isinstance(seed, int) else seed
+
+    def mixed(half: Column, turn: int, size: int) -> Column:
+        return F.pmod(F.xxhash64(half, key, F.lit(turn)), F.lit(size).cast("bigint"))
+
+    def once(x: Column) -> Column:
+        pair = F.struct(F.pmod(x, F.lit(a)).alias("l"), F.floor(x / F.lit(a)).cast("bigint").alias("r"))
+        for turn in range(PERMUTE_ROUNDS):
+            if turn % 2:
+                pair = let(pair, lambda p, t=turn: F.struct(p["l"].alias("l"), F.pmod(p["r"] + mixed(p["l"], t, b), F.lit(b)).alias("r")))
+            else:
+                pair = let(pair, lambda p, t=turn: F.struct(F.pmod(p["l"] + mixed(p["r"], t, a), F.lit(a)).alias("l"), p["r"].alias("r")))
+        return let(pair, lambda p: p["r"] * F.lit(a) + p["l"])
+
+    walks = F.array_repeat(F.lit(0), PERMUTE_WALKS)
+    found = F.aggregate(walks, once(index.cast("bigint")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return let(found, lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("no place was found within the walks"))))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .ordering import index_by_id
+from .ordering import index_by_id, row_index, with_ordered_chunks
 
 
 def largest_differencing(lengths: Sequence[int], k: int, equal_size: bool) -> list[list[int]]:
@@ -155,3 +155,115 @@ def pack_samples(df: DataFrame, id_col: str, length: str, capacity: int, shard:
 
     rows = df.select(id_col, shard.cast("bigint").alias("shard"), F.col(length).cast("bigint").alias("length"))
     return rows.groupBy("shard").applyInPandas(run, _with_partition(rows))
+
+
+class Rooms:
+    """The free room of packs, in order, as runs of packs with equal room; a tree of maxima finds the first run that fits.
+
+    A run is told by its first pack. Runs split as packs fill up, so their places in the tree are given out in
+    blocks with gaps and dealt anew when a gap is used up.
+    """
+
+    def __init__(self) -> None:
+        self.runs: list[tuple[int, int, int]] = []  # first pack, packs, free room
+        self.size, self.tree = 1, [0, 0]
+
+    def _build(self) -> None:
+        while self.size < len(self.runs):
+            self.size *= 2
+        self.tree = [0] * self.size + [r[2] for r in self.runs] + [0] * (self.size - len(self.runs))
+        for i in range(self.size - 1, 0, -1):
+            self.tree[i] = max(self.tree[2 * i], self.tree[2 * i + 1])
+
+    def first(self, room: int, since: int) -> int:
+        """The first run from number ``since`` on with at least this room, or -1."""
+        i = since + self.size
+        if since >= len(self.runs):
+            return -1
+        while self.tree[i] < room:
+            while i & 1:  # the last of its siblings: go up
+                i >>= 1
+                if i <= 1:
+                    return -1
+            i += 1
+            if i & (i - 1) == 0:  # wrapped around to the next level: nothing is left to the right
+                return -1
+        while i < self.size:
+            i = 2 * i if self.tree[2 * i] >= room else 2 * i + 1
+        return i - self.size
+
+    def fill(self, length: int, count: int, capacity: int) -> list[tuple[int, int, int]]:
+        """Place ``count`` samples of one length, each in the first pack with room: ``(first pack, packs, samples in each)``."""
+        placed, changed, at = [], {}, 0
+        while count and (at := self.first(length, at)) >= 0:
+            pack, packs, free = self.runs[at]
+            each = free // length
+            whole = min(packs, count // each)
+            left = min(count - whole * each, each - 1) if whole < packs else 0
+            parts = [(pack, whole, free - each * length)] if whole else []
+            if whole:
+                placed.append((pack, whole, each))
+            if left:
+                placed.append((pack + whole, 1, left))
+                parts.append((pack + whole, 1, free - left * length))
+            rest = packs - whole - (left > 0)
+            if rest:
+                parts.append((pack + whole + (left > 0), rest, free))
+            changed[at] = parts
+            count -= whole * each + left
+            at += 1
+        if count:  # new packs behind the last one
+            each = capacity // length
+            pack = sum(self.runs[-1][:2]) if self.runs else 0
+            whole, left = divmod(count, each)
+            fresh = [(pack, whole, capacity - each * length, each), (pack + whole, 1, capacity - left * length, left)]
+            for first, packs, free, samples in fresh:
+                if packs and samples:
+                    placed.append((first, packs, samples))
+                    self.runs.append((first, packs, free))
+        self.runs = [r for i, run in enumerate(self.runs) for r in changed.get(i, [run])]
+        self._build()
+        return placed
+
+
+def first_fit(lengths: Sequence[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """``(length, first rank, first pack, packs, samples in each)`` for classes ``(length, count)``, longest first.
+
+    The samples of a class are ranked from 0, in pack order. A length of zero takes no room; one above the capacity is an error.
+    """
+    rooms, out = Rooms(), []
+    for length, count in sorted(lengths, reverse=True):
+        if length > capacity:
+            raise ValueError(f"a sample of {length} tokens exceeds the capacity {capacity}")
+        rank = 0
+        placed = rooms.fill(length, count, capacity) if length else [(0, 1, count)]
+        for pack, packs, each in placed:
+            out.append((length, rank, pack, packs, each))
+            rank += packs * each
+    return out
+
+
+def pack_first_fit(df: DataFrame, id_col: str, length: str, capacity: int, shard: Column) -> DataFrame:
+    """Id, shard, length and pack number of every sample, each in the first pack of its shard with room, longest samples first.
+
+    A shard's work is one row for each distinct length, at most ``capacity`` of them, however many samples it has. Samples
+    of one length are dealt out in order of their ids, which are unique. A sample longer than the capacity fails the query.
+    """
+    rows = df.select(id_col, shard.cast("bigint").alias("shard"), F.col(length).cast("bigint").alias("length"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = first_fit([(int(n), int(c)) for n, c in zip(pdf["length"], pdf["count"])], capacity)
+        out = pd.DataFrame(made, columns=["length", "first", "pack", "packs", "each"])
+        out["shard"] = pdf["shard"].iloc[0]
+        return out
+
+    classes = rows.groupBy("shard", "length").count()
+    placed = classes.groupBy("shard").applyInPandas(run, "length bigint, first bigint, pack bigint, packs bigint, each bigint, shard bigint")
+    listed = placed.groupBy("shard", "length").agg(F.sort_array(F.collect_list(F.struct("first", "pack", "each"))).alias("at"))
+    chunked = with_ordered_chunks(rows, id_col)
+    ranked = row_index(chunked, [id_col], F.col("__bucket"), ["shard", "length"], "__rank").drop("__bucket")
+    met = ranked.join(listed, ["shard", "length"])
+    own = F.element_at(F.filter("at", lambda x: x["first"] <= F.col("__rank")), -1)
+    return met.withColumn("__own", own).select(
+        id_col, "shard", "length",
+        (F.col("__own.pack") + F.floor((F.col("__rank") - F.col("__own.first")) / F.col("__own.each"))).cast("bigint").alias("partition"))

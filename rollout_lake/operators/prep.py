@@ -12,7 +12,7 @@ from ..functions import answers as X
 from ..functions import arrays as A
 from ..functions import templates as P
 from ..functions.text import has, replace, strip
-from .ordering import index_by_id, seeded_index
+from .ordering import first_rows, index_by_id, permuted, seeded_index, shuffle_key
 
 CHAT = "array<struct<role:string,content:string>>"
 
@@ -96,8 +96,9 @@ def drop_long_prompts(df: DataFrame, max_length: int, prompt: str = "prompt", to
 
 def sample_per_source(df: DataFrame, source: str, keys: Sequence[str], size: int, seed: int = 42) -> DataFrame:
     """At most ``size`` rows per source, without replacement, in seeded order."""
-    ranked = seeded_index(df, keys, seed, group_by=[source], out="__r")
-    return ranked.where(F.col("__r") < size).drop("__r")
+    cols = df.columns
+    keyed = df.withColumn("__digest", shuffle_key(seed, *keys))
+    return first_rows(keyed, [source], [F.col("__digest"), *[F.col(k) for k in keys]], size, "__r").select(*cols)
 
 
 def pull_index(df: DataFrame) -> DataFrame:
@@ -126,6 +127,12 @@ def epoch_batches(df: DataFrame, keys: Sequence[str], batch_size: int, epochs: i
     return batched.where(F.col("batch_id") < F.floor(total / batch_size)) if drop_last else batched
 
 
+def permuted_epochs(df: DataFrame, index: str, n: int, epochs: int, seed: int) -> DataFrame:
+    """Rows of every epoch with their ``position`` in a seeded order of it, from a dense index 0..n-1; nothing is sorted."""
+    runs = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    return runs.withColumn("position", permuted(F.col(index), n, F.xxhash64(F.col("epoch"), F.lit(seed))))
+
+
 def preference_pairs(df: DataFrame, prompt: str, chosen: str, rejected: str, max_length: int, eos_id: int, pad_id: int = 0) -> DataFrame:
     """Two padded rows per pair: prompt + chosen and prompt + rejected, each with its own mask."""
     limit = F.lit(max_length)

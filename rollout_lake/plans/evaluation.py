@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as J
-from ..operators.ordering import seeded_index
+from ..operators.ordering import first_rows, shuffle_key
 from ..operators.tokens import explode_tokens
 from .registry import Tables, query, r6
 
@@ -70,8 +70,10 @@ _WIDE = "SELECT step, part, score, row_number() OVER (PARTITION BY step ORDER BY
 @query("j08_wide_samples", "SELECT step, " + ", ".join(f"max(CASE WHEN r = {i} THEN part END) AS \"{i}_part\", max(CASE WHEN r = {i} THEN score END) AS \"{i}_score\"" for i in (1, 2, 3)) + f" FROM ({_WIDE}) WHERE r <= 3 GROUP BY 1")
 def _(t: Tables):
     rows = t.view("rollouts").select("step", "uid", "line", "part", "supp", "score")
-    ranked = seeded_index(rows, ["uid", "line", "part", "supp"], 3, group_by=["step"]).where("row_index < 3")
-    return J.wide_samples(ranked.withColumn("slot", F.col("row_index") + 1), "step", "slot", 3, ["part", "score"])
+    keys = ["uid", "line", "part", "supp"]
+    keyed = rows.withColumn("digest", shuffle_key(3, *keys))
+    ranked = first_rows(keyed, ["step"], [F.col(c) for c in ("digest", *keys)], 3, "slot")
+    return J.wide_samples(ranked, "step", "slot", 3, ["part", "score"])
 
 
 def _ragged(t: Tables):

@@ -187,9 +187,18 @@ def _(t: Tables):
     return q.select(*[F.round(c, 6).alias(c) for c in q.columns])
 
 
-@query("h11_weight_percentiles_approximate")
+@query("h11_weight_percentiles_approximate", "SELECT " + ", ".join(f"true AS p{int(p * 100)}" for p in H.WEIGHT_PERCENTILES))
 def _(t: Tables):
-    return H.weight_percentiles(_weights(t, "cum-token", True, "mask"), "loss_mask", approximate=True)
+    """Whether each percentile of the sketch has a rank within the error it promises."""
+    weights = _weights(t, "cum-token", True, "mask").where("loss_mask > 0").select("raw_w")
+    sketch = H.weight_percentiles(_weights(t, "cum-token", True, "mask"), "loss_mask", approximate=True).first()
+    ranks = weights.agg(F.count(F.lit(1)).alias("n"), *[
+        F.struct(F.count_if(F.col("raw_w") < v).alias("below"), F.count_if(F.col("raw_w") <= v).alias("upto")).alias(name)
+        for name, v in sketch.asDict().items()])
+    slack = F.col("n") / H.SKETCH_ACCURACY + 1
+    return ranks.select(*[
+        ((F.col(f"p{int(p * 100)}.below") <= p * F.col("n") + slack) & (F.col(f"p{int(p * 100)}.upto") >= p * F.col("n") - slack)).alias(f"p{int(p * 100)}")
+        for p in H.WEIGHT_PERCENTILES])
 
 
 MISMATCH = ["training_ppl", "training_log_ppl", "kl", "k3_kl", "rollout_ppl", "rollout_log_ppl", "log_ppl_diff", "log_ppl_abs_diff", "log_ppl_diff_max", "log_ppl_diff_min", "ppl_ratio"]

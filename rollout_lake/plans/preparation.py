@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -110,6 +111,39 @@ def _(t: Tables):
     return B.epoch_batches(_docs(t).select("doc_id"), ["doc_id"], 96, shuffle=False)
 
 
+@query("b11_permuted_epochs", """SELECT CAST(e AS INTEGER) AS epoch, count(*) AS n, count(*) AS places, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, true AS mixed
+FROM documents, (SELECT unnest([0, 1, 2]) AS e) GROUP BY 1""")
+def _(t: Tables):
+    rows = index_by_id(_docs(t).select("doc_id"), "doc_id")
+    placed = B.permuted_epochs(rows, "row_index", rows.count(), 3, 1)
+    return placed.groupBy("epoch").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("position").alias("places"), F.min("position").alias("first"),
+        F.max("position").alias("last"), (F.abs(F.corr("row_index", "position")) < 0.5).alias("mixed"))
+
+
+@query("b08_large_sample_per_source", "SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5(concat(CAST(doc_id AS STRING), '-42')), doc_id) <= 5000")
+def _(t: Tables):
+    return B.sample_per_source(_docs(t).select("source", "doc_id"), "source", ["doc_id"], 5000)
+
+
+@query("c04_equal_columns", """SELECT 'same' AS pair, c AS "column", true AS equal FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalprice']) AS c)
+UNION ALL SELECT 'changed', c, c <> 'o_totalprice' FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalprice']) AS c)
+UNION ALL SELECT 'doubled', c, false FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalprice']) AS c)
+UNION ALL SELECT 'missing', c, false FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalprice']) AS c)""")
+def _(t: Tables):
+    rows = _orders(t).select("o_orderkey", "o_custkey", "o_totalprice")
+    first = F.col("o_orderkey") == rows.agg(F.min("o_orderkey").alias("k")).scalar()
+    others = {
+        "same": rows.repartition(7, "o_custkey"), "missing": rows.where(~first), "doubled": rows.unionByName(rows.where(first)),
+        "changed": rows.withColumn("o_totalprice", F.when(first, F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice"))),
+    }
+    out = None
+    for name, other in others.items():
+        found = C.differing_columns(rows, other, "o_orderkey").select(F.lit(name).alias("pair"), "column", "equal")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("b12_oversampled_batches", "SELECT batch_id, count(*) AS n FROM (SELECT CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 80) AS BIGINT) AS batch_id FROM documents) WHERE batch_id < floor((SELECT count(*) FROM documents) / 80) GROUP BY 1")
 def _(t: Tables):
     size = B.oversampled_batch_size(32, 2.6, 8)
@@ -386,9 +420,22 @@ def _lengths(t: Tables):
 _LEN = "SELECT doc_id, len(string_split(text, ' ')) AS len, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents"
 
 
-@query("k01_balanced_partitions")
+def _spread(parts, sums: str = "length"):
+    """Per batch: rows, tokens, partitions, and the difference of its heaviest and lightest partition."""
+    each = parts.groupBy("batch_id", "partition").agg(F.count(F.lit(1)).alias("c"), F.sum(sums).alias("s"))
+    return each.groupBy("batch_id").agg(F.sum("c").alias("n"), F.sum("s").alias("tokens"), F.count(F.lit(1)).alias("partitions"),
+                                        (F.max("s") - F.min("s")).alias("spread"))
+
+
+@query("k01_balanced_partitions", f"""SELECT CAST(floor(i / 64) AS BIGINT) AS batch_id, count(*) AS n, count(DISTINCT doc_id) AS ids, CAST(sum(len) AS BIGINT) AS tokens,
+CAST(least(4, count(*)) AS BIGINT) AS partitions, true AS no_wider FROM ({_LEN}) GROUP BY 1""")
 def _(t: Tables):
-    return K.balance(_lengths(t), "doc_id", "len", 64, 4)
+    rows = _lengths(t)
+    parts = K.balance(rows, "doc_id", "len", 64, 4)
+    greedy = _spread(K.balance(rows, "doc_id", "len", 64, 4, method=K.greedy_bins)).select("batch_id", F.col("spread").alias("greedy"))
+    ids = parts.groupBy("batch_id").agg(F.count_distinct("doc_id").alias("ids"))
+    return _spread(parts).join(greedy, "batch_id").join(ids, "batch_id").select(
+        "batch_id", "n", "ids", "tokens", "partitions", (F.col("spread") <= F.col("greedy")).alias("no_wider"))
 
 
 @query("k01_balanced_partition_sizes", f"SELECT CAST(floor(i / 40) AS BIGINT) AS batch_id, p AS partition, CAST(10 AS BIGINT) AS n FROM ({_LEN}), (SELECT unnest([0::BIGINT, 1, 2, 3]) AS p) GROUP BY 1, 2")
@@ -431,14 +478,40 @@ def _(t: Tables):
     return K.imbalance(parts, 40, 4).select("batch_id", "min", "max", "minmax_diff", F.round("mean", 6).alias("mean"))
 
 
-@query("k05_imbalance_after")
+@query("k05_imbalance_after", f"""SELECT batch_id, {r6('sum(s) / 4')} AS mean, true AS around_mean, true AS no_wider_than_slices FROM (
+SELECT CAST(floor(i / 40) AS BIGINT) AS batch_id, floor((i % 40) / 10) AS sl, sum(len) AS s FROM ({_LEN}) GROUP BY 1, 2) GROUP BY 1""")
+def _(t: Tables):
+    report = K.imbalance(K.balance(_lengths(t), "doc_id", "len", 40, 4, equal_size=True), 40, 4)
+    low, high = F.col("balanced_min"), F.col("balanced_max")
+    return report.select("batch_id", F.round("mean", 6).alias("mean"), ((low <= F.col("mean")) & (F.col("mean") <= high)).alias("around_mean"),
+                         (high - low <= F.col("minmax_diff")).alias("no_wider_than_slices"))
+
+
+@query("k06_balanced_order", f"""SELECT CAST(floor(i / 40) AS BIGINT) AS batch_id, CAST(p AS BIGINT) AS rank, CAST(10 AS BIGINT) AS n, CAST(floor(i / 40) * 40 + p * 10 AS BIGINT) AS first_pos,
+CAST(floor(i / 40) * 40 + p * 10 + 9 AS BIGINT) AS last_pos, true AS in_order FROM ({_LEN}), (SELECT unnest([0, 1, 2, 3]) AS p) GROUP BY 1, 2, 4, 5""")
 def _(t: Tables):
-    return K.imbalance(K.balance(_lengths(t), "doc_id", "len", 40, 4, equal_size=True), 40, 4)
+    order = K.balanced_order(K.balance(_lengths(t), "doc_id", "len", 40, 4, equal_size=True), 40, 4)
+    ahead = F.lag("row_index").over(Window.partitionBy("batch_id", "partition").orderBy("new_pos"))
+    checked = order.withColumn("ok", F.coalesce(ahead < F.col("row_index"), F.lit(True)))
+    return checked.groupBy("batch_id", F.col("partition").alias("rank")).agg(
+        F.count_distinct("new_pos").alias("n"), F.min("new_pos").alias("first_pos"), F.max("new_pos").alias("last_pos"),
+        F.bool_and("ok").alias("in_order"))
 
 
-@query("k06_balanced_order")
+@query("k07_first_fit", """WITH RECURSIVE rows AS (
+  SELECT doc_id, CAST(floor(doc_id / 64) AS BIGINT) AS shard, CAST(len(string_split(text, ' ')) AS BIGINT) AS length,
+         row_number() OVER (PARTITION BY floor(doc_id / 64) ORDER BY len(string_split(text, ' ')) DESC, doc_id) AS n FROM documents
+), packed AS (
+  SELECT shard, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS partition, []::BIGINT[] AS rooms FROM rows GROUP BY 1
+  UNION ALL
+  SELECT r.shard, r.n, coalesce(p.slot, len(p.rooms)), CASE WHEN p.slot IS NULL THEN list_append(p.rooms, 32768 - r.length)
+         ELSE list_transform(p.rooms, lambda x, j: CASE WHEN j = p.slot + 1 THEN x - r.length ELSE x END) END
+  FROM (SELECT q.shard, q.n, q.rooms, list_position(list_transform(q.rooms, lambda x: x >= s.length), true) - 1 AS slot
+        FROM packed q JOIN rows s ON s.shard = q.shard AND s.n = q.n + 1) p JOIN rows r ON r.shard = p.shard AND r.n = p.n + 1
+)
+SELECT r.doc_id, r.shard, r.length, p.partition FROM rows r JOIN packed p ON r.shard = p.shard AND r.n = p.n""")
 def _(t: Tables):
-    return K.balanced_order(K.balance(_lengths(t), "doc_id", "len", 40, 4, equal_size=True), 40, 4)
+    return K.pack_first_fit(_lengths(t), "doc_id", "len", 32768, F.floor(F.col("doc_id") / 64))
 
 
 @query("k07_pack_samples", """WITH RECURSIVE rows AS (

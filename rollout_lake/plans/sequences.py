@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.scalars import clip
+from ..operators import intervals as I
 from ..operators import tokens as T
 from .registry import Tables, query, r6
 
@@ -199,6 +200,26 @@ def _(t: Tables):
     return T.turn_end_position(tok, "turn_end").select("seq_id", "pos", "end_pos")
 
 
+@query("d21_next_event_across_tables", """SELECT t.seq_id, t.pos, e.pos AS end_pos FROM (SELECT seq_id, pos FROM @tok) t
+ASOF LEFT JOIN (SELECT seq_id, pos FROM @tok WHERE turn_end = 1) e ON t.seq_id = e.seq_id AND t.pos <= e.pos""")
+def _(t: Tables):
+    tok = T.explode_tokens(t.sequences(), ["turn_end"], cluster="seq_id")
+    ends = tok.where("turn_end = 1").select("seq_id", F.col("pos").alias("event_pos"))
+    return I.next_at_or_after(tok.select("seq_id", "pos"), ends, ["seq_id"], "pos", "event_pos", "end_pos", 16)
+
+
+@query("e12_spans_over_tokens", f"""WITH s AS (SELECT doc_id, doc_id % 7 * 11 AS start, doc_id % 7 * 11 + 1 + doc_id % 97 AS stop, 'a' AS kind FROM documents
+UNION ALL SELECT doc_id, 30 + doc_id % 13, 30 + doc_id % 13 + doc_id % 5 * 40, 'b' FROM documents),
+w AS (SELECT doc_id, unnest(range(0, len(ids))) AS pos FROM ({_DOC_SQL}))
+SELECT w.doc_id, w.pos, s.kind FROM w JOIN s ON s.doc_id = w.doc_id AND s.start <= w.pos AND w.pos < s.stop""")
+def _(t: Tables):
+    d = _docs(t)
+    one = d.select("doc_id", (F.col("doc_id") % 7 * 11).alias("start"), (F.col("doc_id") % 7 * 11 + 1 + F.col("doc_id") % 97).alias("stop"), F.lit("a").alias("kind"))
+    two = d.select("doc_id", (30 + F.col("doc_id") % 13).alias("start"), (30 + F.col("doc_id") % 13 + F.col("doc_id") % 5 * 40).alias("stop"), F.lit("b").alias("kind"))
+    places = d.select("doc_id", F.posexplode("ids").alias("pos", "id")).select("doc_id", F.col("pos").cast("bigint").alias("pos"))
+    return I.covering_spans(places, one.unionByName(two), ["doc_id"], "pos", "start", "stop", 32).select("doc_id", "pos", "kind")
+
+
 @query("d22_masked_cumulative", f"SELECT seq_id, pos, {r6('sum(e * loss_mask) OVER w')} AS cum_sum, CAST(sum(loss_mask) OVER w AS BIGINT) AS cum_count FROM @tok WINDOW w AS (PARTITION BY seq_id ORDER BY pos ROWS UNBOUNDED PRECEDING)")
 def _(t: Tables):
     tok = T.explode_tokens(t.sequences(), ["e", "loss_mask"], cluster="seq_id")
