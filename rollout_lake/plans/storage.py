@@ -12,6 +12,7 @@ from ..functions import registry as M
 from ..operators import managers  # noqa: F401  fills the registries
 from ..session import scratch_path
 from ..sources import files as A
+from ..sources import steps as Z
 from ..streaming import processors as P
 from ..streaming import steps as L
 from .answers import _JUDGED_SQL, _LADDER_TAIL, TRANSCRIPT_SQL, _ladder_sql, _runs, chain, math_equal_sql, normalise_sql
@@ -79,6 +80,35 @@ def _(t: Tables):
     return t.spark.read.schema("id bigint, score double, split string, step int").json(path).groupBy("split", "step").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("a08_step_manifests", """SELECT 'train' AS split, CAST(s AS BIGINT) AS step, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS ids, CAST(4 AS BIGINT) AS next_step
+FROM orders, (SELECT unnest([1, 2, 3]) AS s) WHERE s <> 2 OR o_orderkey % 2 = 0 GROUP BY 2""")
+def _(t: Tables):
+    path = scratch_path(t.spark, "step-records")
+    orders = t.table("orders").select("o_orderkey", "o_totalprice")
+    Z.register(t.spark)
+
+    def save(rows, step: int) -> None:
+        rows.write.format("step_records").option("path", path).option("split", "train").option("step", step).mode("append").save()
+
+    save(orders, Z.next_step(path, "train"))
+    save(orders, Z.next_step(path, "train"))
+    save(orders.where("o_orderkey % 2 = 0"), 2)  # the step is written again and replaces itself
+    save(orders, Z.next_step(path, "train"))
+    back = t.spark.read.format("step_records").option("path", path).schema("o_orderkey bigint, split string, step bigint").load()
+    return back.groupBy("split", "step").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("ids"), F.lit(Z.next_step(path, "train")).cast("bigint").alias("next_step"))
+
+
+@query("a09_step_from_file_name", "SELECT CAST(s AS INTEGER) AS step, count(*) AS n FROM orders, (SELECT unnest([0, 7, 20]) AS s) GROUP BY 1")
+def _(t: Tables):
+    path = scratch_path(t.spark, "step-files")
+    rows = t.table("orders").select("o_orderkey")
+    for step in ("step-7.", "step-20.", "records"):
+        rows.write.parquet(f"{path}/{step}")
+    files = t.spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return files.select(A.step_from_file_name(F.col("_metadata.file_path")).alias("step")).groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a09_next_step", "SELECT 'train' AS split, CAST(max(year(o_orderdate)) + 1 AS BIGINT) AS next_step FROM orders UNION ALL SELECT 'val', 1")
 def _(t: Tables):
     path = scratch_path(t.spark, "records")

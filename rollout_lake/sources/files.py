@@ -73,9 +73,9 @@ def next_step(spark: SparkSession, path: str, split: str) -> int:
     return 1 if last is None else last + 1
 
 
-def step_from_file_name(df: DataFrame, prefix: str = "step-") -> Column:
-    """Step number in the name of the row's file, zero when it has none."""
-    found = F.regexp_extract(F.col("_metadata.file_name"), rf"{prefix}(\d+)\.", 1)
+def step_from_file_name(name: Column, prefix: str = "step-") -> Column:
+    """Step number in a file's name or path, as in ``_metadata.file_name``; zero when it has none."""
+    found = F.regexp_extract(name, rf"{prefix}(\d+)\.", 1)
     return F.coalesce(found.try_cast("int"), F.lit(0))
 
 
