@@ -1,8 +1,7 @@
 """Near-duplicate removal for a pipeline: SimHash candidates first, then all others, verified on shingles of five words.
 
-Several fingerprints are taken of each text, each of the distinct words with signs of its own. Pairs that the
-pigeonring links in any of them are candidates; they count if the Jaccard similarity of their
-word shingles is high enough. That joins most groups at little cost, but misses pairs.
+A fingerprint is taken of each text's distinct words. Pairs that the pigeonring links are candidates; they count if the
+Jaccard similarity of their word shingles is high enough. That joins most groups at little cost, but misses pairs.
 
 The exact part finds the rest. With the shingles of every text in one order, rare ones first, two texts that
 agree to 0.8 share one of the first shingles, at places that leave enough to share. Texts that
@@ -12,19 +11,20 @@ share such a key and are not joined yet are compared. Of each group reachable ov
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sketches
-from .common import ascii_lower, rows_each, whole, written
+from .common import ascii_lower, discard, join_hot, rows_each, whole, written
 from .components import component_roots
 from .simhash import links, majority
 
-VIEWS = 4
 WIDTH = 5
 SIMILARITY = 0.8
 
@@ -36,157 +36,197 @@ FREQUENT = 100_000
 """Shingles in more than ``OFTEN`` texts of the sample, ``FREQUENT`` of them at most, come last in the order."""
 
 STARS = 2
-"""Rounds in which each key's texts are compared with one of them, before all that are still apart are compared."""
+"""Texts of a key that all others of it are compared with, before those still apart are compared with each other."""
 
+BAND = 1.05
+"""Sizes whose ratio is below this may share a band."""
 
-def word_prints(text: str | None, views: int = VIEWS) -> list[int]:
-    """Two hashes of the sequence of lower-cased words, then a fingerprint of the distinct words for each view."""
+BROADCAST_IDS = 1_000_000
+"""Ids of texts to be compared, up to so many (8 MB), are broadcast to pick the texts; more are joined by shuffle."""
+
+SLICE = 1 << 18
+"""Shingles that are sorted at a time."""
+
+
+def word_prints(text: str | None) -> list[int]:
+    """Two hashes of the sequence of lower-cased words, then the fingerprint of the distinct words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     sequence = xxhash.xxh3_128(b" ".join(words)).digest()
     found = set(words)
     h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-    out = [int.from_bytes(sequence[i:i + 8], "big", signed=True) for i in (0, 8)]
-    for view in range(views):
-        x = h + np.uint64((0x9E3779B97F4A7C15 * (view + 1)) % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return out
+    return [*(int.from_bytes(sequence[i:i + 8], "big", signed=True) for i in (0, 8)), majority(h)]
 
 
-def _documents(docs: DataFrame, views: int) -> DataFrame:
-    """``(node, k1, k2, fps)`` per id, narrow; of rows that repeat an id the least stands for all."""
+def _text_hashes(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("x1"), F.xxhash64(text, F.lit(1)).alias("x2")]
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """``(node, x1, x2, k1, k2, fp)`` per id, narrow; of rows that repeat an id the least stands for all."""
 
     @F.pandas_udf("array<long>")
     def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([word_prints(t, views) for t in texts])
+        return pd.Series([word_prints(t) for t in texts])
 
+    text = whole(F.col("text"))
     rows = docs.where("doc_id is not null").select(
-        F.col("doc_id").cast("bigint").alias("node"), prints(whole(F.col("text"))).alias("x")
+        F.col("doc_id").cast("bigint").alias("node"), *_text_hashes(text), prints(text).alias("x")
     )
-    rows = rows.select("node", F.get("x", F.lit(0)).alias("k1"), F.get("x", F.lit(1)).alias("k2"), F.slice("x", 3, views).alias("fps"))
-    return written(rows.groupBy("node").agg(F.min(F.struct("k1", "k2", "fps")).alias("x")).select("node", "x.*"), "prints")
+    rows = rows.select("node", F.struct("x1", "x2", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(("k1", "k2", "fp"))]).alias("x"))
+    return written(rows.groupBy("node").agg(F.min("x").alias("x")).select("node", "x.*"), "prints")
 
 
-def candidates(nodes: DataFrame, views: int = VIEWS) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of nodes ``(node, fps)`` that meet in some view, each once.
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of nodes ``(node, fp)`` with linked fingerprints, each once.
 
     Nodes of one fingerprint are compared with the smallest of them, and the smallest ones of linked
     fingerprints with each other, so no group is compared pair by pair. Near texts whose heads are not
     near do not meet here; ``all_links`` finds them.
     """
-    met = None
-    for view in range(views):
-        own = nodes.select("node", F.get("fps", F.lit(view)).alias("fp"))
-        heads = written(own.groupBy("fp").agg(F.min("node").alias("head")), "view-heads")
-        same = own.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-        linked = written(links(heads.select("fp")), "view-links")
-        linked = linked.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(
-            heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b"
-        ).select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
-        both = same.unionByName(linked)
-        met = both if met is None else met.unionByName(both)
-    return written(met.distinct(), "candidates")
-
-
-def shingle_sets(nodes: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``(node, s)``: the distinct shingle hashes of each node's text; of rows that repeat an id, of the least text."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("node"), whole(F.col("text")).alias("text"))
-    one = rows.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    return written(one.select(
-        "node", F.array_distinct(sketches.shingle_hashes(ascii_lower(F.col("text")), width)).alias("s")
-    ), "shingle-sets")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose sets of word shingles have a Jaccard similarity of at least ``similarity``."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = written(sets.join(needed, "node", "left_semi"), "pair-sets")
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b"
+    heads = written(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
+    same = join_hot(nodes.select("node", "fp"), heads, [("fp", "fp")], "n", "inner").where("node <> head").select(
+        F.col("head").alias("a"), F.col("node").alias("b"))
+    linked = links(heads.select("fp")).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a").join(
+        heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b"
+    ).select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    return written(same.unionByName(linked), "candidates")
+
+
+def shingle_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``(node, s)``: the distinct shingle hashes of each node's text."""
+    return texts.select("node", F.array_distinct(sketches.shingle_hashes(ascii_lower(F.col("text")), width)).alias("s"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
+
+    ``pairs`` is a written table. Only texts that occur in it are shuffled.
+    """
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+    few = rows_each(needed) <= BROADCAST_IDS
+    sets = written(shingle_sets(texts.join(F.broadcast(needed) if few else needed, "node", "left_semi"), width), "pair-sets")
+    met = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(
+        sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a"
     ).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("both"))
-    return written(met.where(
+    near = written(met.where(
         (F.col("n") >= similarity * (F.col("both") - F.col("n"))) & (F.col("both") > 0)
     ).select("a", "b"), "near-pairs")
+    discard(needed, sets)
+    return near
 
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, ascending, and for each its rank by frequency, from 1."""
-    share = max(1, rows_each(sets) // SAMPLE)
-    counts = sets.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select(F.explode("s").alias("h")).groupBy("h").count()
+    share = max(1, rows_each(texts) // SAMPLE)
+    some = shingle_sets(texts.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0), width)
+    counts = some.select(F.explode("s").alias("h")).groupBy("h").count()
     top = [r["h"] for r in counts.where(F.col("count") > OFTEN).orderBy(F.desc("count"), "h").limit(FREQUENT).collect()]
     hashes, ranks = np.array(top, np.int64), np.arange(len(top), 0, -1)
     order = np.argsort(hashes)
     return hashes[order], ranks[order]
 
 
-def prefixes(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def prefixes(texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """``(node, n, i, key)``: the first shingles of each set, of ``n`` in all, with their places from 0.
 
     Two sets with a Jaccard similarity of ``similarity`` have one of them in common, as the one with more
     shingles shares at least that part of its own.
     """
-    hashes, ranks = _frequent(sets)
-
-    @F.pandas_udf("array<long>")
-    def first(shingles: pd.Series) -> pd.Series:
-        out = []
-        for s in shingles:
-            rank = np.zeros(len(s), np.int64)
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-                rank = np.where(hashes[at] == s, ranks[at], 0)
-            out.append(s[np.lexsort((s, rank))[:len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]])
-        return pd.Series(out, dtype=object)
-
-    own = sets.where(F.size("s") > 0).select("node", F.size("s").alias("n"), first("s").alias("x"))
-    return own.select("node", "n", F.posexplode("x").alias("i", "key"))
-
-
-def _rooted(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """The entries with the ``root`` of their node over the links so far."""
-    roots = written(component_roots(links), "roots-so-far")
-    return written(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-keys")
+    hashes, ranks = _frequent(texts, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, lists = np.asarray(batch.column(0)), batch.column(1)
+            sizes = np.asarray(lists.value_lengths(), np.int64)
+            bounds, flat = np.r_[0, np.cumsum(sizes)], np.asarray(lists.flatten())
+            runs = np.flatnonzero(np.r_[True, np.diff(bounds[:-1] // SLICE) > 0, True])
+            for start, end in zip(runs, runs[1:]):
+                s, n = flat[bounds[start]:bounds[end]], sizes[start:end]
+                rank = np.zeros(len(s), np.int64)
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+                    rank = np.where(hashes[at] == s, ranks[at], 0)
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((s, rank, row))
+                place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
+                first = place < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[row]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(nodes[start:end][row[first]]), pa.array(n[row[first]].astype(np.int32)),
+                    pa.array(place[first].astype(np.int32)), pa.array(s[order][first]),
+                ], ["node", "n", "i", "key"])
+
+    return shingle_sets(texts, width).mapInArrow(run, "node bigint, n int, i int, key bigint")
+
+
+def _leaves_enough(n: Column, i: Column, m: Column, j: Column, similarity: float) -> Column:
+    """Whether sets of ``n`` and ``m`` that share their shingles from places ``i`` and ``j`` on can be near."""
+    share = similarity / (1 + similarity)
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (F.least(n - i, m - j) >= share * (n + m) - 1e-6)
 
 
-def _apart(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes of different roots that share a key and whose sizes and places there allow the similarity."""
-    one = left.select("key", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "i", "root")])
-    two = right.select("key", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "i", "root")])
-    ln, rn = F.col("l_n"), F.col("r_n")
-    share = similarity / (1 + similarity)
-    return written(one.join(two, "key").where(
-        (F.col("l_root") != F.col("r_root"))
-        & (F.least(ln, rn) >= similarity * F.greatest(ln, rn) - 1e-6)
-        & (F.least(ln - F.col("l_i"), rn - F.col("r_i")) >= share * (ln + rn) - 1e-6)
-    ).select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct(), "apart")
+def _apart(pairs: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The pairs ``(a, b)``, each once, that the links do not join yet."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    roots = written(component_roots(links), "roots-so-far")
+    known = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
+        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    apart = written(known.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), name)
+    discard(pairs, roots)
+    return apart
 
 
-def all_links(links: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The verified links and as many more as join every two sets of at least ``similarity``, directly or by a path.
+def _crossed(entries: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of one key that are still apart and can be near, by sizes and places, without meeting all others of the key.
 
-    Texts of one key are first compared with one of them, so that large groups are joined without
-    comparing them pair by pair. Then each text outside the key's most frequent group is compared with all of
-    the key that are not of its own group; the first shared shingle of two near sets passes the test of places.
+    The larger set looks for smaller ones: its place there bounds their sizes, and theirs must lie in the
+    first part of their own prefix. Sizes go into the key as bands.
     """
-    entries = written(prefixes(sets, similarity), "prefixes")
-    shared = entries.groupBy("key").count().where("count > 1").select("key")
-    entries = written(entries.join(shared, "key", "left_semi"), "shared-keys")
-    for step in range(STARS):
-        rooted = _rooted(entries, links)
-        order = F.struct(F.xxhash64(F.col("node"), F.lit(step)).alias("p"), "node", "n", "i", "root")
-        heads = rooted.groupBy("key").agg(F.min(order).alias("x")).select("key", "x.*")
-        links = links.unionByName(verified(_apart(rooted, heads, similarity), sets, similarity))
-    rooted = _rooted(entries, links)
+    roots = written(component_roots(links), "roots-so-far")
+    rooted = written(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-keys")
     groups = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(
-        F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("groups")
+        F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("size").alias("size"))
+    mixed = written(groups.where("groups > 1").select("key", "main", "size"), "mixed-keys")
+    rows = written(join_hot(rooted, mixed, [("key", "key")], "size", "inner"), "mixed-rows")
+    share = similarity / (1 + similarity)
+    band = lambda size: F.floor(F.log(F.greatest(size, F.lit(1.0))) / math.log(BAND))
+    n, i = F.col("n"), F.col("i")
+    least, most = similarity * n - 1e-6, F.least(n.cast("double"), (n - i) / share - n + 1e-6)
+    probes = rows.where(most >= least).withColumn("band", F.explode(F.sequence(band(least), band(most))))
+    stock = rows.where(n - i >= 2 * share * n - 1e-6).withColumn("band", band(n.cast("double")))
+    left = probes.select("key", "band", "main", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "i", "root")])
+    right = stock.select("key", "band", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "i", "root")])
+    met = left.join(right, ["key", "band"]).where(
+        (F.col("l_root") != F.col("r_root")) & ((F.col("l_root") != F.col("main")) | (F.col("r_root") != F.col("main")))
+        & _leaves_enough(F.col("l_n"), F.col("l_i"), F.col("r_n"), F.col("r_i"), similarity)
     )
-    mixed = written(groups.where("groups > 1").select("key", "main"), "mixed-keys")
-    others = rooted.join(mixed, "key").where("root <> main")
-    return links.unionByName(verified(_apart(others, rooted.join(mixed, "key", "left_semi"), similarity), sets, similarity))
+    pairs = written(met.select(
+        F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct(), "crossed-pairs")
+    discard(roots, rooted, mixed, rows)
+    return pairs
 
 
-def keep_one(docs: DataFrame, views: int = VIEWS, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def all_links(near: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The verified links and as many more as join every two texts of at least ``similarity``, directly or by a path.
+
+    Texts of one key are first compared with ``STARS`` of them, so that large groups are joined without
+    comparing them pair by pair. Then those of different groups are compared with each other, apart from pairs within
+    the key's most frequent group; the first shared shingle of two near sets passes the test of places.
+    """
+    entries = written(prefixes(texts, width, similarity), "prefixes")
+    heads = [F.min(F.struct(F.xxhash64(F.col("node"), F.lit(step)).alias("p"), "node", "n", "i")).alias(f"head{step}") for step in range(STARS)]
+    keys = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("count"), *heads).where("count > 1"), "shared-keys")
+    shared = written(join_hot(entries, keys, [("key", "key")], "count", "inner"), "shared-entries")
+    discard(entries, keys)
+    star = shared.withColumn("h", F.explode(F.array(*[f"head{step}" for step in range(STARS)]))).where(
+        (F.col("node") != F.col("h.node")) & _leaves_enough(F.col("n"), F.col("i"), F.col("h.n"), F.col("h.i"), similarity))
+    apart = _apart(star.select(F.col("node").alias("a"), F.col("h.node").alias("b")), near, "star-pairs")
+    joined = written(near.unionByName(verified(apart, texts, width, similarity)), "star-links")
+    more = verified(_crossed(shared.select("key", "node", "n", "i"), joined, similarity), texts, width, similarity)
+    discard(apart, shared)
+    return joined.unionByName(more)
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, own columns, of the smallest id in each group of copies and near-duplicates.
 
     Every pair of texts whose shingles agree to ``similarity`` is in one group; fingerprints only save comparisons.
@@ -195,15 +235,22 @@ def keep_one(docs: DataFrame, views: int = VIEWS, width: int = WIDTH, similarity
     words are copies of each other. Rows that repeat an id are one document, compared by one of their
     texts, and stay or go together. Rows without an id stay. Empty table: empty result.
     """
-    each = _documents(docs, views)
+    each = _documents(docs)
     firsts = written(
-        each.groupBy("k1", "k2").agg(F.min(F.struct("node", "fps")).alias("x")).select("x.*"), "first-copies"
+        each.groupBy("k1", "k2").agg(F.min(F.struct("node", "x1", "x2", "fp")).alias("x")).select("x.*"), "first-copies"
     )
-    sets = shingle_sets(firsts, docs, width)
-    links = all_links(verified(candidates(firsts, views), sets, similarity), sets, similarity)
-    roots = written(component_roots(links), "near-roots")
+    text = whole(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("node"), *_text_hashes(text), text.alias("text"))
+    own = rows.join(firsts.select("node", "x1", "x2"), ["node", "x1", "x2"], "left_semi").groupBy("node", "x1", "x2")
+    texts = written(own.agg(F.first("text").alias("text")).select("node", "text"), "first-texts")
+    met = candidates(firsts)
+    near = verified(met, texts, width, similarity)
+    discard(met)
+    roots = written(component_roots(all_links(near, texts, width, similarity)), "near-roots")
+    discard(texts)
     lows = roots.groupBy("root").agg(F.min("node").alias("low"))
-    near = roots.join(lows, "root").where("node <> low").select("node")
-    stay = firsts.select("node").join(near, "node", "left_anti")
+    others = roots.join(lows, "root").where("node <> low").select("node")
+    stay = firsts.select("node").join(others, "node", "left_anti")
     gone = written(each.select("node").join(stay, "node", "left_anti").select(F.col("node").alias("__goes")), "near-gone")
+    discard(each, firsts, roots)
     return docs.join(gone, docs["doc_id"].cast("bigint") == gone["__goes"], "left_anti")

@@ -163,6 +163,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     Only the text is read for the score. Null and empty texts get the score of a text without words.
     The model, of a fixed size, goes to every task. Columns named like the added ones are replaced. No shuffle.
     """
+    return _scored(docs, model, "score").withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def _scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -171,12 +175,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         for texts in batches:
             yield pd.Series([own.score(features.places(t)) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", scored(whole(F.col("text")))).withColumn(
-        "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)
-    )
+    return docs.withColumn(name, scored(whole(F.col("text"))))
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that ``score`` predicts as good, with their own columns."""
-    own = score(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), model, threshold)
-    return own.where("predicted = 1").select("row.*")
+    names = set(docs.columns)
+    own = next(n for n in (f"__quality_{i}" for i in range(len(names) + 1)) if n not in names)
+    return _scored(docs, model, own).where(F.col(own) >= threshold).drop(own)
