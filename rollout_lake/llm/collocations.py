@@ -29,10 +29,10 @@ SHARE = 80
 """A phrase is dropped if a longer one with its words has this percentage of its count, or more."""
 
 TOP = 2000
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 """Texts of about so many bytes are split into words together."""
 
-HELD_WORDS = 1 << 20
+HELD_WORDS = 1 << 19
 """Suffixes that a task gathers before it deals them out."""
 
 HOT = 1024
@@ -75,7 +75,7 @@ class Words:
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         sizes = self.end - self.start
         first = np.cumsum(sizes) - sizes
-        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
         letters = self.raw[kind == 1]
         self.text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.start, "right")
 
