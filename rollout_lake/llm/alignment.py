@@ -29,6 +29,9 @@ from .common import join_hot, rows_each, whole, written
 CHUNK = 1 << 16
 """Bytes of a text that one fragment covers; longer texts are cut."""
 
+SLICE_BYTES = 1 << 18
+"""Stretches of about so many bytes are encoded together, which bounds what a task holds at a time."""
+
 FAN = 8
 """Fragments that are composed at a time."""
 
@@ -132,7 +135,7 @@ def _short(docs: DataFrame, vocabulary: str, pieces: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(vocabulary, pieces)
-        for part in (part for batch in batches for part in _slices(batch, 1)):
+        for part in (part for batch in batches for part in _slices(batch, 1, SLICE_BYTES)):
             texts = part.column(1).to_pylist()
             encoded = [x or ([], []) for x in pair.encode([" " + t for t in texts])]
             a, n_a = _flat([x[0] for x in encoded])
@@ -246,7 +249,7 @@ def _long(docs: DataFrame, vocabulary: str, pieces: str, chunk: int) -> DataFram
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(vocabulary, pieces)
-        for part in (part for batch in batches for part in _slices(batch, 7)):
+        for part in (part for batch in batches for part in _slices(batch, 7, SLICE_BYTES)):
             offset, start, end, stretch = (part.column(i).to_pylist() for i in range(4, 8))
             made = [fragment(pair, x, o, s, e) for x, o, s, e in zip(pair.encode(stretch), offset, start, end)]
             yield _rows(part.columns[:4], made)
