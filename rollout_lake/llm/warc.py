@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,8 +43,13 @@ def _digest(hexed: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(hexed)).decode()
 
 
-def _sha1_hex(header: str) -> str:
-    return base64.b32decode(header.removeprefix("sha1:")).hex()
+def _sha1_hex(header: str | None) -> str | None:
+    """The SHA-1 that a header states in base32 or hexadecimal, as hexadecimal; None without one."""
+    kind, _, value = (header or "").partition(":")
+    value = value.strip()
+    if kind.strip().lower() != "sha1" or not re.fullmatch(r"[A-Za-z2-7]{32}|[0-9A-Fa-f]{40}", value):
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
 
 
 def record(page: str, url: str | None, size: int, sha1: str, payload: bytes | None, refers_to: str | None) -> bytes:
@@ -64,18 +70,58 @@ def record(page: str, url: str | None, size: int, sha1: str, payload: bytes | No
     return packer.compress(whole) + packer.flush()
 
 
+class Headers(dict[str, str]):
+    """Header fields by name, in any case of letters; of a name that is given twice the last one counts."""
+
+    @classmethod
+    def of(cls, lines: list[str], strict: bool = True) -> Headers:
+        """Lines that begin with a blank go on the line before; others without a colon are damage, if strict."""
+        made, name = cls(), ""
+        for line in lines:
+            if line[:1] in (" ", "\t") and name:
+                made[name] += " " + line.strip()
+            elif ":" in line:
+                name, value = line.split(":", 1)
+                name = name.strip().lower()
+                made[name] = value.strip()
+            elif line and strict:
+                raise ValueError(f"not a header field: {line[:40]}")
+        return made
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(str(name).lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+
+def _agrees(stated: str | None, found: str) -> bool | None:
+    """Whether a stated digest is the SHA-1 found; None without one, or of another kind."""
+    value = _sha1_hex(stated)
+    return None if value is None else value == found
+
+
 @dataclass
 class Record:
-    headers: dict[str, str]
-    http_size: int = 0
+    """``http_size`` is the length that the HTTP header states, if any; ``verified`` is None where nothing can be held against the bytes."""
+
+    headers: Headers
+    http_size: int | None = None
     payload_bytes: int = 0
     payload_sha1: str = ""
-    verified: bool = False
+    verified: bool | None = None
     payload: bytes | None = field(default=None, repr=False)
 
 
 class Reader:
-    """Records of a stream of gzip members. Malformed or cut-off archives raise ``ValueError``."""
+    """Records of any type from a stream of gzip members, one each, whoever wrote them.
+
+    Only damage raises ``ValueError``: cut-off or malformed records. A ``warcinfo``, ``request``, ``metadata`` or other record
+    is returned like a response, with the headers it has.
+    """
 
     def __init__(self, stream, keep_payload: bool = False):
         self.stream, self.keep_payload = stream, keep_payload
@@ -126,22 +172,24 @@ class Reader:
     def _record(self) -> Record:
         try:
             version, *lines = self._until(b"\r\n\r\n").decode("utf-8").split("\r\n")
-            if not version.startswith("WARC/1."):
+            if not version.startswith("WARC/"):
                 raise ValueError(f"not a record: {version[:20]}")
-            made = Record(dict(line.split(": ", 1) for line in lines))
+            made = Record(Headers.of(lines))
             size = int(made.headers["Content-Length"])
             block, payload, head, kept = hashlib.sha1(), hashlib.sha1(), b"", []
-            in_payload = False
+            http = made.headers.get("Content-Type", "").replace(" ", "").lower().startswith("application/http")
+            in_payload = not http  # of other records the whole block is the payload
             for piece in self._pieces(size):
                 block.update(piece)
                 if not in_payload:
                     head += piece
                     if b"\r\n\r\n" not in head:
                         continue
-                    http, piece = head.split(b"\r\n\r\n", 1)
+                    head, piece = head.split(b"\r\n\r\n", 1)
                     in_payload = True
-                    fields = dict(line.split(b": ", 1) for line in http.split(b"\r\n")[1:])
-                    made.http_size = int(fields[b"Content-Length"])
+                    fields = Headers.of(head.decode("latin-1").split("\r\n")[1:], False)
+                    if fields.get("Content-Length", "").isdigit():
+                        made.http_size = int(fields["Content-Length"])
                 payload.update(piece)
                 made.payload_bytes += len(piece)
                 if self.keep_payload:
@@ -154,10 +202,13 @@ class Reader:
             raise ValueError(f"malformed record: {error!r}") from error
         made.payload_sha1 = payload.hexdigest()
         made.payload = b"".join(kept) if self.keep_payload else None
-        made.verified = made.headers["WARC-Block-Digest"] == _digest(block.hexdigest()) and (
-            made.headers["WARC-Type"] == "revisit"
-            or (made.headers["WARC-Payload-Digest"] == _digest(made.payload_sha1) and made.http_size == made.payload_bytes)
-        )
+        revisit = made.headers.get("WARC-Type") == "revisit"
+        agree = [_agrees(made.headers.get("WARC-Block-Digest"), block.hexdigest())]
+        if not revisit:  # a revisit's digest and length are those of the payload it leaves out
+            agree += [_agrees(made.headers.get("WARC-Payload-Digest"), made.payload_sha1),
+                      None if made.http_size is None else made.http_size == made.payload_bytes]
+        known = [a for a in agree if a is not None]
+        made.verified = all(known) if known else None
         return made
 
 
@@ -233,16 +284,18 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, verified boolean"
 
 
-def _page(uri: str) -> int | None:
-    number = int(uri.removeprefix("<urn:page:").removesuffix(">"))
-    return None if number == NO_ID else number
+def _page(uri: str | None) -> int | None:
+    """The page that a record's name stands for; None for names of other writers."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", uri or "")
+    return None if found is None or int(found[1]) == NO_ID else int(found[1])
 
 
 def read_archives(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
     """The records of all archives of a manifest, one task for a run of archives.
 
     Columns as in ``RECORDS`` and, if asked, ``payload``. Size and digest are those of the full payload, for
-    a revisit as its headers state them. ``verified`` is false where the bytes disagree with a digest.
+    a revisit as its headers state them. ``verified`` is false where the bytes disagree with a digest, and null where
+    a record states none. Records of other types and writers come through; their page ids are null.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,12 +314,13 @@ def read_archives(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
                 files, inner = _file_system(path)
                 with files.open_input_stream(inner, compression=None) as stream:
                     for r in Reader(stream, keep_payload):
-                        revisit = r.headers["WARC-Type"] == "revisit"
+                        revisit = r.headers.get("WARC-Type") == "revisit"
+                        stated = _sha1_hex(r.headers.get("WARC-Payload-Digest")) if revisit else None
                         rows.append((
-                            _page(r.headers["WARC-Record-ID"]), r.headers["WARC-Target-URI"], r.headers["WARC-Type"],
-                            r.http_size if revisit else r.payload_bytes,
-                            _sha1_hex(r.headers["WARC-Payload-Digest"]) if revisit else r.payload_sha1,
-                            _page(r.headers["WARC-Refers-To"]) if revisit else None, r.verified, r.payload,
+                            _page(r.headers.get("WARC-Record-ID")), r.headers.get("WARC-Target-URI"), r.headers.get("WARC-Type"),
+                            r.http_size if revisit and r.http_size is not None else r.payload_bytes,
+                            stated or r.payload_sha1,
+                            _page(r.headers.get("WARC-Refers-To")) if revisit else None, r.verified, r.payload,
                         ))
                         held += len(r.payload or b"")
                         if len(rows) >= 5000 or held > (8 << 20):
