@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import NO_ID, written
 
 PART = 1024
-"""Turns rendered together; a longer conversation has several parts. Turns are ordered within cuts of so many numbers."""
+"""Turns that are rendered together at first, and turn numbers in a cut; a conversation's pieces are then joined."""
 
 
 def _rows(turns: DataFrame) -> DataFrame:
@@ -74,14 +74,15 @@ def maximal(turns: DataFrame) -> DataFrame:
     )
 
 
-def render(turns: DataFrame) -> DataFrame:
-    """``conv_id, part, n_turns, n_copies, text`` for maximal conversations, a row for each ``PART`` turns.
+def render(turns: DataFrame, parted: bool = False) -> DataFrame:
+    """``conv_id, n_turns, n_copies, text`` for maximal conversations, a row each.
 
-    A turn is rendered as ``<|role|>``, a line break, its text, a line break; the texts of the parts in
-    order are the conversation's. ``n_copies`` counts the logged conversations equal to it.
+    A turn is rendered as ``<|role|>``, a line break, its text, a line break. ``n_copies`` counts the logged
+    conversations equal to it. ``parted`` gives a row for each ``PART`` turns instead, numbered by a column ``part``; the
+    texts of the parts in order are the conversation's. It is for conversations too long for one row.
 
-    Texts are shuffled once, by conversation and cut; only parts that lie in several cuts, as where
-    turn numbers have gaps, are put together from their pieces.
+    Texts are shuffled once, by conversation and cut; only what lies in several cuts or parts is put together
+    from its pieces.
 
     Null role or text: empty. Null conv_id: all such turns are one conversation, below all ids. Null
     turn: before the others. Turns with one number are ordered by role and text, repeats are turns of
@@ -107,6 +108,12 @@ def render(turns: DataFrame) -> DataFrame:
     split = pieces.where(~is_whole).withColumn("piece", F.struct("start", F.col("text").alias("t"))).groupBy(*keys).agg(
         joined("piece").alias("text")
     )
-    return whole.unionByName(split).select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("conv_id"), "part", "n_turns", "n_copies", "text"
+    parts = whole.unionByName(split)
+    if not parted:
+        one = parts.where(F.col("n_turns") <= PART).select("id", "n_turns", "n_copies", "text")
+        piece = F.struct(F.col("part").alias("start"), F.col("text").alias("t"))
+        more = parts.where(F.col("n_turns") > PART).withColumn("piece", piece).groupBy("id", "n_turns", "n_copies").agg(joined("piece").alias("text"))
+        parts = one.unionByName(more)
+    return parts.select(
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("conv_id"), *(["part"] if parted else []), "n_turns", "n_copies", "text"
     )

@@ -102,10 +102,10 @@ WITH turns AS (
 ), kept AS (
   SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM prefixes x WHERE x.p = w.p AND x.pos < x.last)
 )
-SELECT t.conv_id, t.pos // 1024 AS part, k.n_turns, k.n_copies,
+SELECT t.conv_id, k.n_turns, k.n_copies,
        string_agg('<|' || t.role || '|>' || chr(10) || t.text || chr(10), '' ORDER BY t.pos) AS text
 FROM turns t JOIN kept k ON t.conv_id = k.conv_id
-GROUP BY t.conv_id, t.pos // 1024, k.n_turns, k.n_copies
+GROUP BY t.conv_id, k.n_turns, k.n_copies
 """
 
 
