@@ -1,8 +1,8 @@
 """Shards of nearly equal size in which groups stay together: longest processing time first, over a heap.
 
-Groups larger than a small share of a shard are scheduled one by one; there are few of them,
-whatever the table's size. All other groups are dealt by a hash into a fixed number of bundles, which
-are scheduled whole. The units, largest first, go to the shard with the least load.
+Groups, largest first, go to the shard with the least load. Groups of one size are interchangeable, so the schedule
+works on the sizes and how many groups have each: as many as lift the lower shards to one level are placed at
+once, which is where the heap would put them one by one, and the heap places the rest. The driver sees distinct sizes only.
 """
 
 from __future__ import annotations
@@ -10,57 +10,84 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_each, whole, written
+from rollout_lake.operators.ordering import row_index
 
-UNITS_PER_SHARD = 1024
-"""A group of more than 1/UNITS_PER_SHARD of a mean shard is a unit; so many bundles a shard hold the others."""
+from .common import join_hot, rows_each, whole, written
+
+BROADCAST_SIZES = 200_000
+"""Places of up to so many distinct sizes are broadcast to the groups; more are joined by shuffle."""
 
 MOST_CHUNKS = 4096
 
 
-def schedule(units: Iterable[tuple[str, int]], shards: int) -> dict[str, int]:
-    """The shard of each unit: by size, largest first (ties by name), to the least-loaded shard (ties by number)."""
-    loads = [(0, s) for s in range(shards)]
-    placed = {}
-    for name, size in sorted(units, key=lambda u: (-u[1], u[0])):
-        load, shard = heapq.heappop(loads)
-        placed[name] = shard
-        heapq.heappush(loads, (load + size, shard))
-    return placed
+def _level(loads: list[int], size: int, count: int) -> int:
+    """The highest level to which ``count`` items can lift all lower loads, each until it is not below it."""
+    low, high = min(loads), max(loads) + size * (count + 1)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if sum(-(-max(0, middle - load) // size) for load in loads) <= count:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def schedule(classes: Iterable[tuple[int, int]], shards: int) -> list[tuple[int, list[int]]]:
+    """For each ``(size, count)``, largest size first, how many of its groups each shard gets.
+
+    The loads are those of placing all groups one by one, largest first, on the least-loaded shard (ties by number).
+    """
+    loads, out = [0] * shards, []
+    for size, count in sorted(classes, reverse=True):
+        if size <= 0:
+            out.append((size, [count // shards + (s < count % shards) for s in range(shards)]))
+            continue
+        level = _level(loads, size, count)
+        given = [-(-max(0, level - load) // size) for load in loads]
+        heap = [(load + size * n, s) for s, (load, n) in enumerate(zip(loads, given))]
+        heapq.heapify(heap)
+        for _ in range(count - sum(given)):
+            load, s = heap[0]
+            given[s] += 1
+            heapq.heapreplace(heap, (load + size, s))
+        loads = [load + size * n for load, n in zip(loads, given)]
+        out.append((size, given))
+    return out
 
 
 def assign_shards(rows: DataFrame, group: list[str], size: str, shards: int) -> DataFrame:
     """All rows and columns and an int ``shard``; rows equal in the columns ``group`` share one.
 
-    What reaches the driver is at most ``2 * UNITS_PER_SHARD * shards`` unit sizes. Null
-    groups are equal to each other, a null size counts as zero. Empty table: empty result.
+    What reaches the driver is the distinct sizes of groups, no more than the bytes of the largest group. Null
+    groups are equal to each other, a null size counts as zero. Empty table: empty result. ``rows`` is a written table.
     """
     spark = rows.sparkSession
-    bundles = UNITS_PER_SHARD * shards
     key = F.concat_ws(":", *[F.coalesce(F.col(g).cast("string"), F.lit("?")) for g in group])
-    bundle = F.concat(F.lit("b"), F.pmod(F.xxhash64(key, F.lit(shards)), F.lit(bundles)).cast("string"))
-    sizes = written(
-        rows.groupBy(*group).agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("bytes")).select(key.alias("g"), "bytes"),
-        "group-sizes",
-    )
-    total = rows_each(sizes, "bytes")
-    large = F.col("bytes") * bundles > total
-    units = sizes.select(F.when(large, F.concat(F.lit("g"), F.col("g"))).otherwise(
-        F.concat(F.lit("b"), F.pmod(F.xxhash64("g", F.lit(shards)), F.lit(bundles)).cast("string"))
-    ).alias("unit"), "bytes").groupBy("unit").agg(F.sum("bytes").alias("bytes"))
-    placed = schedule([(u["unit"], int(u["bytes"])) for u in units.collect()], shards)
-    places = spark.createDataFrame(list(placed.items()), "unit string, shard int")
-    own = F.broadcast(places.where("unit like 'g%'").select(F.col("unit").alias("__own"), F.col("shard").alias("__s1")))
-    shared = F.broadcast(places.where("unit like 'b%'").select(F.col("unit").alias("__with"), F.col("shard").alias("__s2")))
-    return (
-        rows.withColumns({"__unit": F.concat(F.lit("g"), key), "__bundle": bundle})
-        .join(own, F.col("__unit") == F.col("__own"), "left").join(shared, F.col("__bundle") == F.col("__with"), "left")
-        .withColumn("shard", F.coalesce("__s1", "__s2"))
-        .drop("__unit", "__bundle", "__own", "__s1", "__with", "__s2")
-    )
+    groups = written(rows.groupBy(key.alias("__g")).agg(
+        F.sum(F.coalesce(F.col(size), F.lit(0))).alias("__bytes"), F.count(F.lit(1)).alias("__n")
+    ).withColumn("__h", F.xxhash64("__g")), "group-sizes")
+    classes = groups.groupBy("__bytes").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    placed = []
+    for each, given in schedule([(int(b), int(n)) for b, n in zip(classes["__bytes"], classes["n"])], shards):
+        upto, total = [], 0
+        for n in given:
+            total += n
+            upto.append(total)
+        placed.append((each, upto, total))
+    table = pd.DataFrame(placed, columns=["__size", "__upto", "__count"])
+    places = spark.createDataFrame(table, "__size bigint, __upto array<bigint>, __count bigint")
+    ranked = row_index(groups, ["__h", "__g"], F.shiftright("__h", 52), ["__bytes"], "__rank")
+    if len(placed) <= BROADCAST_SIZES:
+        met = ranked.join(F.broadcast(places), F.col("__bytes") == F.col("__size"))
+    else:
+        met = join_hot(ranked, written(places, "size-places"), [("__bytes", "__size")], "__count", "inner")
+    shard = F.size(F.filter("__upto", lambda n: n <= F.col("__rank"))).cast("int")
+    own = written(met.select(F.col("__g").alias("__own"), shard.alias("__shard"), "__n"), "group-shards")
+    return join_hot(rows.withColumn("__g", key), own, [("__g", "__own")], "__n", "inner").drop("__g", "__n").withColumnRenamed("__shard", "shard")
 
 
 def add_slots(rows: DataFrame, order: list[Column], chunks: int) -> DataFrame:
@@ -96,7 +123,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + 8).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"),
     )
-    placed = written(assign_shards(rows, ["t1", "t2"], "size", shards), "placed")
+    placed = written(assign_shards(written(rows, "sized"), ["t1", "t2"], "size", shards), "placed")
     chunks = min(MOST_CHUNKS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return add_slots(placed, [F.col("doc_id"), F.col("t1"), F.col("t2")], chunks).select(
         "doc_id", "size", "text_crc32", "shard", "slot"
