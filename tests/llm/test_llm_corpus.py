@@ -28,10 +28,10 @@ def brute_overlap(doc, items):
     t, at = tokens(doc), set()
     for item in items:
         b = tokens(item)
-        if len(b) < 8:
+        if not b:
             continue
         n = min(13, len(b))
-        least = math.ceil(0.8 * 13) if n == 13 else n
+        least = -(-4 * n // 5) if n >= 8 else n
         for w in {tuple(b[i:i + n]) for i in range(len(b) - n + 1)}:
             at |= {s for s in range(len(t) - n + 1) if sum(x == y for x, y in zip(t[s:s + n], w)) >= least}
     return len(at)
@@ -44,6 +44,41 @@ def test_masks_survive_two_substitutions():
             assert any(not {o + x for x in m} & set(hit) for m, o in places)
 
 
+@pytest.mark.parametrize("n", range(1, 13))
+def test_short_masks_survive_substitutions(n):
+    most = n - decontaminate.equal_tokens(n)
+    places = [(m, o) for m, at in decontaminate.short_masks(n) for o in at]
+    assert all(o + m[-1] < n for m, o in places) and (n >= 8 or places == [(tuple(range(n)), 0)])
+    for hit in combinations(range(n), most):
+        assert any(not {o + x for x in m} & set(hit) for m, o in places)
+
+
+def test_short_items_with_substitutions(spark):
+    rng = random.Random(21)
+    items, texts = [], []
+    for n in range(1, 14):
+        for k in range(3):
+            words = [f"i{n}x{k}y{j}" for j in range(n)]
+            items.append((100 * n + k, " ".join(words)))
+            for changes in range(4):
+                w = list(words)
+                for j in rng.sample(range(n), min(n, changes)):
+                    w[j] = "changed"
+                texts.append((len(texts), " ".join(["before"] * rng.randrange(3) + w + ["after"] * rng.randrange(3))))
+    nameless = [(None, items[-1][1]), (None, "a clean text without a name"), (None, None), (None, "another clean one")]
+    docs = spark.createDataFrame([(*t, 7) for t in texts + nameless], "doc_id long, text string, tag int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = [brute_overlap(t, [i[1] for i in items]) for _, t in texts + nameless]
+    for most in (10**6, 0):
+        found = decontaminate.overlaps(docs, bench, most).where("tag = 0").groupBy("doc_id").count().collect()
+        assert {r["doc_id"]: r["count"] for r in found} == {i: n for i, n in zip(range(len(texts)), want) if n}
+    got = Counter((r["doc_id"], r["n_windows"]) for r in decontaminate.report(docs, bench).collect())
+    assert got == Counter((i, n) for (i, _), n in zip(texts + nameless, want))
+    kept = decontaminate.keep_clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(t for t, n in zip(texts + nameless, want) if not n)
+
+
 def test_decontamination(spark, sf, docs):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     tests = [r["text"] for r in items.collect()]
@@ -75,19 +110,22 @@ def test_decontamination(spark, sf, docs):
     assert decontaminate.report(more, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_schedule_is_longest_first():
-    rng = random.Random(9)
-    units = [(f"u{i}", rng.randrange(1, 1000)) for i in range(500)]
-    heap, want = [(0, s) for s in range(7)], {}
-    for name, size in sorted(units, key=lambda u: (-u[1], u[0])):
-        load, s = heapq.heappop(heap)
-        want[name] = s
-        heapq.heappush(heap, (load + size, s))
-    assert sharding.schedule(units, 7) == want
-    loads = Counter()
-    for name, size in units:
-        loads[want[name]] += size
-    assert max(loads.values()) - min(loads.values()) <= 1000
+def heap_loads(sizes, shards):
+    heap = [(0, i) for i in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, i = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size, i))
+    return [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_schedule_is_that_of_a_heap(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randrange(0 if seed == 3 else 1, rng.choice([4, 50, 3000])) for _ in range(rng.choice([5, 400, 3000]))]
+    sizes += [10**6] * (seed % 3) + [17] * 5000 * (seed % 2)
+    made = sharding.schedule(Counter(sizes).items(), 7)
+    assert [sum(size * given[i] for size, given in made) for i in range(7)] == heap_loads(sizes, 7)
+    assert all(sum(given) == Counter(sizes)[size] for size, given in made)
 
 
 @pytest.mark.parametrize("which", ["docs", "tricky", "nothing"])
@@ -104,8 +142,10 @@ def test_sharding(request, which):
         loads[r["shard"]] += r["size"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(len(s) == 1 for s in groups.values())
-    if which == "docs":
-        assert len(loads) == 24 and max(loads.values()) < 1.2 * sum(loads.values()) / 24
+    groups_of = Counter()
+    for r in rows:
+        groups_of[r["text"] or ""] += len((r["text"] or "").encode()) + 8
+    assert sorted(loads[i] for i in range(24)) == sorted(heap_loads(groups_of.values(), 24))
 
 
 @pytest.mark.parametrize("which", ["docs", "tricky", "nothing"])
@@ -182,11 +222,13 @@ def test_chat(spark, sf):
     rng.shuffle(rows)
     df = spark.createDataFrame([(*r, 1, "p") for r in rows], "conv_id long, turn long, role string, text string, pos int, p1 string").repartition(5)
     got = defaultdict(dict)
-    for r in chat.render(df).collect():
+    for r in chat.render(df, parted=True).collect():
         got[r["conv_id"]][r["part"]] = r
     flat = {c: (p[0]["n_turns"], p[0]["n_copies"], "".join(p[i]["text"] for i in sorted(p))) for c, p in got.items()}
     assert flat == brute_chat(rows)
     assert sorted(got[4]) == [0, 1, 2]
+    assert [(r["conv_id"], r["n_turns"], r["n_copies"], r["text"]) for r in chat.render(df).orderBy("conv_id").collect()] == [
+        (c, *flat[c]) for c in sorted(flat, key=lambda c: (c is not None, c))]
     real = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
     assert {r["conv_id"]: (r["n_turns"], r["n_copies"], r["text"]) for r in chat.render(real).collect()} == brute_chat(map(tuple, real.collect()))
     assert chat.render(df.limit(0)).count() == 0
@@ -209,6 +251,43 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def member(lines, block):
+    whole = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(whole) + packer.flush()
+
+
+def test_warc_reader_takes_records_of_other_writers():
+    http = b"HTTP/1.0 200 OK\r\nSERVER: x\r\nodd line\r\ncontent-length: 5\r\n\r\nhello"
+    sha = hashlib.sha1(http).hexdigest()
+    records = [
+        (["WARC/1.0", "WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields", "Content-Length: 13"], b"software: x\r\n"),
+        (["WARC/1.0", "warc-type: response", "WARC-Record-ID: <urn:uuid:2>", "content-type: application/http;msgtype=response", f"WARC-Block-Digest: sha1:{sha}",
+          f"content-length:{len(http)}"], http),
+        (["WARC/1.1", "WARC-Type: request", "Content-Type: application/http; msgtype=request", "Content-Length: 18"], b"GET / HTTP/1.1\r\n\r\n"),
+        (["WARC/1.1", "WARC-Type: metadata", "X-Long: one", " two", "WARC-Block-Digest: sha256:00", "Content-Length: 0"], b""),
+        (["WARC/1.1", "WARC-Type: resource", "WARC-Payload-Digest: sha1:" + "A" * 32, "Content-Length: 3"], b"abc"),
+    ]
+    got = list(warc.Reader(io.BytesIO(b"".join(member(*r) for r in records)), keep_payload=True))
+    assert [r.headers["WARC-Type"] for r in got] == ["warcinfo", "response", "request", "metadata", "resource"]
+    assert [r.payload for r in got] == [b"software: x\r\n", b"hello", b"", b"", b"abc"]
+    assert [r.verified for r in got] == [None, True, None, None, False] and got[3].headers["x-long"] == "one two"
+    assert got[1].http_size == 5 and got[1].headers["Content-Length"] == str(len(http))
+    for bad in (["WARC/1.1", "WARC-Type: resource", "Content-Length: 9"], ["WARC/1.1", "Content-Length: x"], ["WARC/1.1", "WARC-Type: resource"],
+                ["HTTP/1.1 200", "Content-Length: 3"], ["WARC/1.1", "no colon", "Content-Length: 3"]):
+        with pytest.raises(ValueError):
+            list(warc.Reader(io.BytesIO(member(bad, b"abc"))))
+
+
+def test_archives_of_other_writers_become_rows(spark, tmp_path):
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(member(["WARC/1.0", "WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "Content-Length: 2"], b"ab")
+                     + member(["WARC/1.0", "WARC-Type: revisit", "WARC-Refers-To: <urn:uuid:9>", "Content-Length: 0"], b""))
+    rows = warc.read_archives(spark.createDataFrame([(str(path), 2, 0)], warc.MANIFEST), keep_payload=True).collect()
+    assert [(r["page_id"], r["record_type"], r["payload_bytes"], r["refers_to"], r["verified"]) for r in rows] == [
+        (None, "warcinfo", 2, None, None), (None, "revisit", 0, None, None)]
+
+
 def test_warc_reader_finds_damage():
     whole = b"".join(warc.record(str(i), "u", 5, hashlib.sha1(b"hello").hexdigest(), b"hello", None) for i in range(3))
     assert [r.headers["WARC-Record-ID"] for r in warc.Reader(io.BytesIO(whole))] == [f"<urn:page:{i}>" for i in range(3)]
