@@ -6,6 +6,7 @@ in its length however often a step mentions its input.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -253,20 +254,29 @@ def drop_short_left_side(s: Column) -> Column:
     return F.when((F.size(parts) == 2) & (F.length(F.get(parts, F.lit(0))) <= 2), F.get(parts, F.lit(1))).otherwise(s)
 
 
+_PLAIN_UNIT = re.compile(r"\w+")
+_ODD_UNITS = [u + s for s in ("", "s") for u in UNITS if not _PLAIN_UNIT.fullmatch(u)]
+"""Units with other characters than those of words; a dot in them is a wildcard."""
+
+
 def drop_units(s: Column) -> Column:
     """Remove unit words that stand alone, in list order, twice; never to an empty text."""
     units = F.array(*[F.lit(u) for u in (*UNITS, *[u + "s" for u in UNITS])])
 
     def one(acc, u):
-        # a dot in a unit is a wildcard, so only dotless units can be skipped by a plain search
         def cut(t):
             out = F.regexp_replace(t, F.concat(F.lit(r"(?U)(^|\W)"), u, F.lit(r"($|\W)")), F.lit("$1$2"))
             return F.when(out != "", out).otherwise(t)
 
+        # a dot in a unit is a wildcard, so only dotless units can be skipped by a plain search
         return F.when(F.contains(acc, u) | has(u, "."), let(acc, cut)).otherwise(acc)
 
     def twice(t):
-        return let(F.aggregate(units, t, one), lambda x: F.aggregate(units, x, one))
+        # a unit of letters only is one of the text's words, and dropping words makes no new ones
+        words = F.concat(F.split(t, r"(?U)\W"), F.array(*[F.lit(u) for u in _ODD_UNITS]))
+        there = F.filter(units, lambda u: F.array_contains(words, u))
+        return let(F.struct(t.alias("t"), there.alias("u")), lambda p: let(
+            F.aggregate(p["u"], p["t"], one), lambda x: F.aggregate(p["u"], x, one)))
 
     # one scan for any unit spares the loop for most answers
     return F.when(s.rlike("(?U)" + ANY_UNIT), let(s, twice)).otherwise(s)
