@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -245,19 +245,53 @@ def _c(df_columns, *names) -> Column:
     return present[0] if present else F.lit("")
 
 
+def _plain_number(answer: Column) -> Column:
+    """A quotient, a number with thousands commas, a percentage or a number, as text."""
+    parts = F.split(answer, "/")
+    ratio = X.as_number(F.get(parts, F.lit(0))) / X.as_number(F.get(parts, F.lit(1)))
+    value = F.when(has(answer, "/"), ratio).when(has(answer, ","), X.as_number(replace(answer, ","))).when(
+        has(answer, "%"), X.as_number(X.before_first(answer, "%")) / 100
+    ).otherwise(X.as_number(answer))
+    return value.cast("string")
+
+
+def _numeric_answer() -> Column:
+    is_number = F.col("ans_type").isin("integer_number", "decimal_number")
+    return F.when(is_number, _plain_number(F.col("answer"))).otherwise(F.col("answer"))
+
+
+def _of(column: str) -> Callable[[], Column]:
+    return lambda: F.col(column)
+
+
+def _hash_part(i: int) -> Callable[[], Column]:
+    return lambda: F.get(F.split("answer", "####"), F.lit(i))
+
+
+# name: where the reference solution is (None: there is none), and where the reference answer
+_TRUTHS: dict[str, tuple[Callable[[], Column] | None, Callable[[], Column]]] = {
+    **{name: (None, _of("answer")) for name in ("aime24", "amc23", "cmath", "gaokao2024_I", "gaokao2024_II", "imo2024")},
+    **{name: (None, lambda: strip(replace(F.col("answer"), "$"))) for name in ("college_math", "gaokao2023en", "gaokao_math_cloze")},
+    **{name: (None, lambda: F.when(F.length("choice_answer") > 0, F.col("choice_answer")).otherwise(F.col("answer")))
+       for name in ("cn_middle_school", "gaokao2024_mix")},
+    **{name: (_of("solution"), lambda n=name: X.extract_answer(F.col("solution"), n)) for name in ("math", "minerva_math")},
+    "aqua": (None, _of("correct")),
+    "asdiv": (_of("formula"), lambda: F.regexp_replace("answer", r"\(.*?\)", "")),
+    "carp_en": (_of("steps"), _of("answer")),
+    "gaokao_math_qa": (None, _of("label")),
+    "gsm8k": (_hash_part(0), _hash_part(1)),
+    "mawps": (None, _of("target")),
+    "mmlu_stem": (None, lambda: F.substring(F.lit("ABCD"), F.col("answer").cast("int") + 1, F.lit(1))),
+    "olympiadbench": (None, lambda: F.btrim(F.get("final_answer", F.lit(0)), F.lit("$"))),
+    "sat_math": (None, _of("Answer")),
+    "svamp": (_of("Equation"), _of("Answer")),
+    "tabmwp": (_of("solution"), _numeric_answer),
+}
+
+
 def ground_truth(df: DataFrame, data_name: str) -> dict[str, Column]:
     """Reference solution and reference answer of a benchmark row, as gt_cot and gt."""
     cols = df.columns
-    none = F.lit("None")
-
-    def numeric(answer):
-        parts = F.split(answer, "/")
-        ratio = X.as_number(F.get(parts, F.lit(0))) / X.as_number(F.get(parts, F.lit(1)))
-        value = F.when(has(answer, "/"), ratio).when(has(answer, ","), X.as_number(replace(answer, ","))).when(
-            has(answer, "%"), X.as_number(X.before_first(answer, "%")) / 100
-        ).otherwise(X.as_number(answer))
-        return value.cast("string")
-
     if "gt_cot" in cols and "gt" in cols:
         if data_name == "math":
             truth = X.extract_answer(F.col("gt_cot"), data_name)
@@ -266,40 +300,10 @@ def ground_truth(df: DataFrame, data_name: str) -> dict[str, Column]:
         else:
             truth = X.normalise(F.col("gt"))
         return {"gt_cot": F.col("gt_cot"), "gt": truth}
-    if data_name in ("math", "minerva_math"):
-        cot, truth = F.col("solution"), X.extract_answer(F.col("solution"), data_name)
-    elif data_name == "gsm8k":
-        parts = F.split("answer", "####")
-        cot, truth = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    elif data_name == "svamp":
-        cot, truth = F.col("Equation"), F.col("Answer")
-    elif data_name == "asdiv":
-        cot, truth = F.col("formula"), F.regexp_replace("answer", r"\(.*?\)", "")
-    elif data_name == "mawps":
-        cot, truth = none, F.col("target")
-    elif data_name == "tabmwp":
-        is_number = F.col("ans_type").isin("integer_number", "decimal_number")
-        cot, truth = F.col("solution"), F.when(is_number, numeric(F.col("answer"))).otherwise(F.col("answer"))
-    elif data_name == "carp_en":
-        cot, truth = F.col("steps"), F.col("answer")
-    elif data_name == "mmlu_stem":
-        cot, truth = none, F.substring(F.lit("ABCD"), F.col("answer").cast("int") + 1, F.lit(1))
-    elif data_name == "sat_math":
-        cot, truth = none, F.col("Answer")
-    elif data_name == "aqua":
-        cot, truth = none, F.col("correct")
-    elif data_name in ("gaokao2023en", "college_math", "gaokao_math_cloze"):
-        cot, truth = none, strip(replace(F.col("answer"), "$"))
-    elif data_name == "gaokao_math_qa":
-        cot, truth = none, F.col("label")
-    elif data_name in ("gaokao2024_mix", "cn_middle_school"):
-        cot, truth = none, F.when(F.length("choice_answer") > 0, F.col("choice_answer")).otherwise(F.col("answer"))
-    elif data_name == "olympiadbench":
-        cot, truth = none, F.btrim(F.get("final_answer", F.lit(0)), F.lit("$"))
-    elif data_name in ("aime24", "amc23", "cmath", "gaokao2024_I", "gaokao2024_II", "imo2024"):
-        cot, truth = none, F.col("answer")
-    else:
+    if data_name not in _TRUTHS:
         raise NotImplementedError(f"unknown benchmark {data_name!r}")
+    solution, answer = _TRUTHS[data_name]
+    cot, truth = F.lit("None") if solution is None else solution(), answer()
     if data_name in X.UNIT_EXCEPTIONS:
         final = X.swap(("\\neq", "\\ne"), ("\\leq", "\\le"), ("\\geq", "\\ge"))(truth)
     else:

@@ -383,6 +383,13 @@ def _(t: Tables):
 _ROUTE = "CASE WHEN c_custkey % 2 = 0 THEN concat('x/deepscaler_', c_mktsegment) ELSE concat('y/livecode_', c_mktsegment) END"
 
 
+@query("f21_route_exact", "SELECT sol_id, CASE WHEN sol_id % 2 = 0 THEN balance ELSE -balance END AS score FROM @code_tasks")
+def _(t: Tables):
+    src = F.when(F.col("sol_id") % 2 == 0, "openai/gsm8k").otherwise("lighteval/MATH")
+    scorers = {"openai/gsm8k": F.col("balance"), "lighteval/MATH": -F.col("balance")}
+    return t.view("code_tasks").select("sol_id", S.route_exact(src, scorers).alias("score"))
+
+
 @query("f21_route_by_source", f"SELECT sol_id, CASE WHEN sol_id % 2 = 0 THEN balance ELSE -1e0 END AS score FROM @code_tasks")
 def _(t: Tables):
     src = F.when(F.col("sol_id") % 2 == 0, F.concat(F.lit("x/deepscaler_"), "segment")).otherwise(F.concat(F.lit("y/livecode_"), "segment"))

@@ -339,6 +339,17 @@ def _(t: Tables):
     return wide.unpivot([], list(O.LOSS_MODES), "mode", "loss").select("mode", F.round("loss", 6).alias("loss"))
 
 
+@query("h19_aggregate_loss", " UNION ALL ".join(
+    f"SELECT '{m}' AS mode, {r6(_loss_mode_sql(m))} AS loss FROM (SELECT seq_id, sum(e * loss_mask) AS ls, sum(loss_mask) AS n FROM @tok GROUP BY 1)" for m in O.LOSS_MODES))
+def _(t: Tables):
+    tok = _tokens(t, ["e", "loss_mask"], cluster=False)
+    out = None
+    for mode in O.LOSS_MODES:
+        one = O.aggregate_loss(tok, "e", "loss_mask", mode, 64).select(F.lit(mode).alias("mode"), F.round("loss", 6).alias("loss"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 TIGHT_LOW, TIGHT_HIGH = 0.008, 0.01
 
 
@@ -427,9 +438,7 @@ def _(t: Tables):
 
 @query("h27_void_turn_masking", "SELECT seq_id, sum(loss_mask * void_ok)::BIGINT AS kept, sum(loss_mask)::BIGINT AS before FROM @tok GROUP BY 1")
 def _(t: Tables):
-    flags = t.table("embeddings").select(F.col("vec_id").alias("seq_id"), F.when(F.col("vec_id") % 6 == 0, 0).otherwise(1).alias("flag"))
-    joined = t.sequences().select("seq_id", "loss_mask").join(flags, "seq_id")
-    masked = joined.withColumn("after", A.scale_mask(F.col("loss_mask"), F.col("flag")))
+    masked = t.sequences().withColumn("after", A.scale_mask(F.col("loss_mask"), F.col("void_ok")))
     return masked.select("seq_id", A.count_ones("after").alias("kept"), A.count_ones("loss_mask").alias("before"))
 
 

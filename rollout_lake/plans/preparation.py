@@ -240,29 +240,18 @@ concat(question, chr(10), 'Answer Choices: (A) 1 (B) ', st) AS aqua, concat(ques
 FROM (SELECT q.*, o_custkey AS k, o_orderstatus AS st FROM ({_QA}) q JOIN orders ON o_orderkey = id)""")
 def _(t: Tables):
     e = _example(t)
-
-    def q(name, **renamed):
-        view = e.withColumnsRenamed({v: k for k, v in renamed.items()})
-        return view.select("id", B.question_text(view, name).alias(name))
-
     status = F.get("choices", F.lit(2))
     truth = F.when(status == "O", "True").when(status == "F", "no").otherwise(status)
-    # every benchmark reads the columns it knows; the texts meet on the row id
-    parts = [
-        e.select("id", B.question_text(e, "asdiv").alias("asdiv"), B.question_text(e, "tabmwp").alias("tabmwp"),
-                 B.question_text(e, "mmlu_stem").alias("mmlu_stem"), B.question_text(e, "dataset", truth).alias("other")),
-        _svamp(e),
-        q("sat_math", options="options_text"), q("aqua", options="options_list"), q("gaokao_math_qa", options="options_map"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "id")
-    return out
-
-
-def _svamp(e):
-    view = e.select("id", F.col("body").alias("Body"), F.col("question").alias("Question"))
-    return view.select("id", B.question_text(view, "svamp").alias("svamp"))
+    out = e.withColumns({
+        "asdiv": B.question_text(e, "asdiv"), "tabmwp": B.question_text(e, "tabmwp"), "mmlu_stem": B.question_text(e, "mmlu_stem"),
+        "other": B.question_text(e, "dataset", truth),
+    })
+    out = out.withColumn("svamp", B.question_text(out, "svamp"))
+    # the benchmarks that keep their choices in a column of one name read it one after the other
+    for name, options in (("sat_math", "options_text"), ("aqua", "options_list"), ("gaokao_math_qa", "options_map")):
+        out = out.withColumn("options", F.col(options))
+        out = out.withColumn(name, B.question_text(out, name))
+    return out.select("id", "asdiv", "svamp", "tabmwp", "mmlu_stem", "sat_math", "aqua", "gaokao_math_qa", "other")
 
 
 _GT_NORMAL = normalise_sql("SELECT case_id, string_split(a, '####')[2] AS s FROM (SELECT case_id, concat('work #### ', gold) AS a FROM @answers)")
@@ -272,18 +261,16 @@ _GT_NORMAL = normalise_sql("SELECT case_id, string_split(a, '####')[2] AS s FROM
 CASE problem_id % 4 WHEN 0 THEN '0.75' WHEN 1 THEN '1234' WHEN 2 THEN '0.25' ELSE '17' END AS tabmwp FROM ({_GT_NORMAL}) g JOIN @answers a ON g.case_id = a.case_id""")
 def _(t: Tables):
     k = F.col("problem_id") % 4
-    a = t.view("answers").select("case_id", "problem_id", "gold")
-    gsm = a.withColumn("answer", F.concat(F.lit("work #### "), "gold"))
-    g = B.ground_truth(gsm, "gsm8k")
-    mm = B.ground_truth(a.withColumn("answer", k), "mmlu_stem")["gt"]
-    carp = B.ground_truth(a.withColumns({"answer": F.col("gold"), "steps": F.lit("s")}), "carp_en")["gt"]
     num = F.when(k == 0, "3/4").when(k == 1, "1,234").when(k == 2, "25%").otherwise("17")
-    tab = B.ground_truth(a.withColumns({"answer": num, "solution": F.lit("s"), "ans_type": F.lit("integer_number")}), "tabmwp")["gt"]
-    one = gsm.select("case_id", g["gt_cot"].alias("gsm8k_cot"), g["gt"].alias("gsm8k"))
-    two = a.withColumn("answer", k).select("case_id", mm.alias("mmlu_stem"))
-    three = a.withColumns({"answer": F.col("gold"), "steps": F.lit("s")}).select("case_id", carp.alias("carp_en"))
-    four = a.withColumns({"answer": num, "solution": F.lit("s"), "ans_type": F.lit("integer_number")}).select("case_id", tab.alias("tabmwp"))
-    return one.join(two, "case_id").join(three, "case_id").join(four, "case_id")
+    out = t.view("answers").select("case_id", "problem_id", "gold").withColumns({
+        "steps": F.lit("s"), "solution": F.lit("s"), "ans_type": F.lit("integer_number")})
+    # each benchmark's own form of the answer, one after the other
+    answers = {"gsm8k": F.concat(F.lit("work #### "), "gold"), "mmlu_stem": k.cast("string"), "carp_en": F.col("gold"), "tabmwp": num}
+    for name, answer in answers.items():
+        out = out.withColumn("answer", answer)
+        both = B.ground_truth(out, name)
+        out = out.withColumns({name: both["gt"], f"{name}_cot": both["gt_cot"]})
+    return out.select("case_id", "gsm8k_cot", *answers)
 
 
 def _demos(t: Tables):
@@ -306,6 +293,37 @@ def _(t: Tables):
     return d.select("doc_id", F.md5("a").alias("cot"), F.md5("b").alias("single_turn"), F.md5("c").alias("no_demos"))
 
 
+def _template_sql(name: str) -> str:
+    """A prompt with the demos of ``_demos`` in the template, as SQL."""
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    ask, reply, between = P.PROMPT_TEMPLATES[name]
+    between = P.DEFAULT_SPLITTER if between is None else between
+    one = f"concat(replace({quoted(ask)}, '{{input}}', text), replace({quoted(reply)}, '{{output}}', concat('A', CAST(item_id AS STRING))))"
+    if name == P.SINGLE_TURN_TEMPLATE:
+        one = "concat(text, chr(10), 'A', CAST(item_id AS STRING))"
+    demos = f"(SELECT string_agg({one}, {quoted(between)} ORDER BY item_id) FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 2))"
+    filled = f"concat({demos}, {quoted(between)}, replace({quoted(ask)}, '{{input}}', text))"
+    if name == P.SINGLE_TURN_TEMPLATE:
+        filled = f"replace({quoted(ask)}, '{{input}}', concat({demos}, {quoted(between)}, text))"
+    if name == "platypus_fs":
+        filled = f"replace({quoted(P.INSTRUCTION_WRAP)}, '{{instruction}}', {filled})"
+    if name in ("tora", "tool-integrated"):
+        filled = f"concat({quoted(P.TOOL_INTRO)}, {filled})"
+    return f"SELECT doc_id, '{name}' AS template, md5(trim({filled}, ' ')) AS digest FROM documents"
+
+
+@query("b23_all_templates", " UNION ALL ".join(_template_sql(name) for name in P.PROMPT_TEMPLATES))
+def _(t: Tables):
+    d, demos = _docs(t).select("doc_id", F.col("text").alias("question")), _demos(t)
+    names = list(P.PROMPT_TEMPLATES)
+    for i, name in enumerate(names):
+        d = B.few_shot_prompt(d, demos, "svamp", name, 2, out=f"p{i}")
+    rows = [F.struct(F.lit(name).alias("template"), F.md5(f"p{i}").alias("digest")) for i, name in enumerate(names)]
+    return d.select("doc_id", F.explode(F.array(*rows)).alias("x")).select("doc_id", "x.template", "x.digest")
+
+
 @query("b24_repeat_samples", "SELECT doc_id, unnest(range(0, 4))::INTEGER AS sample_idx FROM documents")
 def _(t: Tables):
     return B.repeat_samples(_docs(t).select("doc_id"), 4)
