@@ -22,6 +22,26 @@ SAFETY_BOUND = 20.0
 """Log ratios are held within this before exp (fixed value)."""
 
 
+FOLDED = ("fold_log_w", "fold_vetoed")
+"""Columns of ``fold_sequences`` that the token functions take instead of a window over the sequence."""
+
+
+def fold_sequences(
+    df: DataFrame, numerator: str, denominator: str, mask: str, geometric: bool = False, floor_count: bool = False, veto: float | None = None,
+) -> DataFrame:
+    """Array rows with the sequence's log ratio and whether a valid token's ratio is below the veto: no shuffle.
+
+    Carry the added columns along when the arrays are exploded.
+    """
+    diffs = F.zip_with(numerator, denominator, lambda a, b: a - b)
+    pairs = F.arrays_zip(diffs.alias("d"), F.col(mask).alias("m"))
+    total = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x["d"] * x["m"])
+    count = F.aggregate(mask, F.lit(0).cast("bigint"), lambda s, m: s + m)
+    mean = total / (F.greatest(count, F.lit(1)) if floor_count else count + F.lit(EPS))
+    bad = F.exists(pairs, lambda x: (x["d"] < math.log(veto)) & (x["m"] > 0)) if veto else F.lit(False)
+    return df.withColumns({FOLDED[0]: mean if geometric else total, FOLDED[1]: bad.cast("int")})
+
+
 def log_ratio_at(
     tokens: DataFrame,
     numerator: str,
@@ -51,6 +71,8 @@ def log_ratio_at(
     def mean(total: Column, count: Column) -> Column:
         return total / (F.greatest(count, F.lit(1)) if floor_count else count + F.lit(EPS))
 
+    if level == "sequence" and FOLDED[0] in tokens.columns:
+        return tokens.withColumn(out, F.col(FOLDED[0]))
     if level == "sequence":
         w = whole(seq)
         total = F.sum(diff * F.col(mask)).over(w)
@@ -110,7 +132,8 @@ def rollout_weights(
     if veto:
         bad = ((F.col(old) - F.col(rollout) < math.log(veto)) & (F.col(mask) > 0)).cast("int")
         rated = rated.withColumn("catastrophic", bad)
-        rated = rated.withColumn("vetoed", F.max("catastrophic").over(whole(seq)))
+        veto_of = F.col(FOLDED[1]) if FOLDED[1] in rated.columns else F.max("catastrophic").over(whole(seq))
+        rated = rated.withColumn("vetoed", veto_of)
     else:
         rated = rated.withColumns({"catastrophic": F.lit(0), "vetoed": F.lit(0)})
     rated = rated.withColumn("in_band", F.col("raw_w").between(low, up).cast("int"))

@@ -59,9 +59,17 @@ def _pair(num: str, den: str, mask: str, level: str = "token") -> list[str]:
 def _weights(t: Tables, level: str, geometric: bool, mode: str, veto: float | None = VETO, mask: str = "loss_mask", more=()):
     """Weights from the streams they need; without veto a token's weight needs no other token."""
     streams = list(dict.fromkeys([*_pair("old_lp", "rollout_lp", mask, level), *more]))
-    return H.rollout_weights(
-        _tokens(t, streams, cluster=level != "token" or veto is not None), "old_lp", "rollout_lp", mask, level, mode, UPPER, LOWER, veto, geometric, "turn_end"
-    )
+    if level in ("token", "sequence"):
+        tokens = _folded(t, "old_lp", "rollout_lp", mask, streams, geometric, veto=veto)
+    else:
+        tokens = _tokens(t, streams)
+    return H.rollout_weights(tokens, "old_lp", "rollout_lp", mask, level, mode, UPPER, LOWER, veto, geometric, "turn_end")
+
+
+def _folded(t: Tables, num: str, den: str, mask: str, streams: list[str], geometric: bool, floor: bool = False, veto: float | None = None):
+    """Tokens with what their sequence's arrays say as a whole, so that no window has to."""
+    rows = H.fold_sequences(t.sequences(), num, den, mask, geometric, floor, veto)
+    return explode_tokens(rows, streams, keep=(*SCALARS, *H.FOLDED))
 
 
 def _register_level(name: str, level: str, geometric: bool):
@@ -69,7 +77,9 @@ def _register_level(name: str, level: str, geometric: bool):
 
     @query(name, sql)
     def _(t: Tables):
-        rated = H.log_ratio_at(_tokens(t, _pair("old_lp", "rollout_lp", "loss_mask", level), level != "token"), "old_lp", "rollout_lp", "loss_mask", level, geometric, "turn_end")
+        streams = _pair("old_lp", "rollout_lp", "loss_mask", level)
+        tokens = _folded(t, "old_lp", "rollout_lp", "loss_mask", streams, geometric) if level == "sequence" else _tokens(t, streams, level != "token")
+        rated = H.log_ratio_at(tokens, "old_lp", "rollout_lp", "loss_mask", level, geometric, "turn_end")
         return rated.where("loss_mask > 0").select("seq_id", "pos", F.round(H.safe_exp(F.col("log_w")), 6).alias("ratio"))
 
 
@@ -401,7 +411,8 @@ def _(t: Tables):
 
 @query("h23_sequence_mean_objective", objective_sql(log_w_sql("new_lp", "old_lp", "loss_mask", "sequence", True, floor=True), "loss_mask", "seq-mean-token-mean", "old_lp - new_lp", 0.01, 0.015, None, masked=False))
 def _(t: Tables):
-    rep = O.sequence_mean_objective(_tokens(t, _pair("new_lp", "old_lp", "loss_mask")), "new_lp", "old_lp", "loss_mask", "adv", 0.01, 0.015)
+    tokens = _folded(t, "new_lp", "old_lp", "loss_mask", _pair("new_lp", "old_lp", "loss_mask"), True, True)
+    rep = O.sequence_mean_objective(tokens, "new_lp", "old_lp", "loss_mask", "adv", 0.01, 0.015)
     return _rounded(rep, BASE_COLS, 6)
 
 
