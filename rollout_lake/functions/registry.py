@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
 import runpy
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
-from .text import EMPTY_OBSERVATIONS, ERROR_WORDS, RESULT_LABEL
+from .text import find_observations
 
 RESULT = StructType([
     StructField("score", DoubleType()),
@@ -114,22 +113,26 @@ def map_shards(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
     return df.mapInPandas(run, schema)
 
 
-@F.udtf(returnType="start int, end int, has_error boolean")
-class ObservationSpans:
-    """Spans of a transcript's observations, one row each, for lateral joins in SQL."""
-
-    def eval(self, text: str):
-        if text is None:
-            return
-        label = re.compile(re.escape(RESULT_LABEL), re.IGNORECASE)
-        at = 0
-        while True:
-            found = label.search(text, at)
-            if found is None:
-                return
-            fence = text.find("```", found.end())
-            end = fence if fence >= 0 else len(text) - (1 if text.endswith("\n") and len(text) > found.end() else 0)
-            body = text[found.end():end].strip().lower()
-            bad = body in EMPTY_OBSERVATIONS or any(w in body for w in ERROR_WORDS)
-            yield found.start(), max(end, found.end()), bad
-            at = max(end, found.end())
+def coerce_column(result: Column) -> Column:
+    """The common record from a recorded result, JSON text: a number, {score, extra_info} or a list whose first item is the score.
+
+    A text that is none of these scores zero and is marked for filtering.
+    """
+    value = F.try_parse_json(result)
+
+    def at(path: str, kind: str) -> Column:
+        return F.try_variant_get(value, path, kind)
+
+    extra = F.coalesce(at("$.extra_info", "map<string,double>"), F.create_map().cast("map<string,double>"))
+    score = F.coalesce(at("$.score", "double"), at("$[0]", "double"), at("$", "double"))
+    marked = F.coalesce(F.try_element_at(extra, F.lit("is_filter")).cast("int"), F.lit(0))
+    return F.struct(
+        F.coalesce(score, F.lit(0.0)).alias("score"), F.when(score.isNull(), 1).otherwise(marked).alias("is_filter"),
+        F.map_filter(extra, lambda k, _: k != "is_filter").alias("extra_info"),
+    )
+
+
+def observation_rows(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    """A row for each observation of a transcript: ``start, end, has_error`` beside the columns kept."""
+    spans = df.select(*keep, F.explode(find_observations(F.col(text))).alias("s"))
+    return spans.select(*keep, "s.*")

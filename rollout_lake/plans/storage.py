@@ -350,6 +350,15 @@ def _(t: Tables):
 
 
 @query("m03_coerce_results", "SELECT c_custkey, c_acctbal AS score, CASE c_custkey % 3 WHEN 1 THEN 1 ELSE 0 END AS extras FROM customer")
+def _(t: Tables):
+    kind, score = F.col("c_custkey") % 3, F.col("c_acctbal").cast("string")
+    result = F.when(kind == 0, score).when(
+        kind == 1, F.concat(F.lit('{"score": '), score, F.lit(', "extra_info": {"a": 1}}'))).otherwise(F.concat(F.lit("["), score, F.lit(', "note"]')))
+    got = t.table("customer").withColumn("r", M.coerce_column(result))
+    return got.select("c_custkey", "r.score", F.size("r.extra_info").alias("extras"))
+
+
+@query("m03_coerce_python_results", "SELECT c_custkey, c_acctbal AS score, CASE c_custkey % 3 WHEN 1 THEN 1 ELSE 0 END AS extras FROM customer")
 def _(t: Tables):
     coerce = M.coerce_result
 
@@ -369,9 +378,7 @@ def _(t: Tables):
 
 @query("m07_observation_span_rows", "SELECT doc_id, CAST(2 AS BIGINT) AS spans, CAST(CASE WHEN doc_id % 4 <> 3 THEN 1 ELSE 0 END AS BIGINT) AS errors FROM documents")
 def _(t: Tables):
-    t.spark.udtf.register("observation_spans", M.ObservationSpans)
-    _wrapped(t).createOrReplaceTempView("rollout_lake_transcripts")
-    rows = t.spark.sql("SELECT doc_id, s.* FROM rollout_lake_transcripts, LATERAL observation_spans(w) s")
+    rows = M.observation_rows(_wrapped(t), "w", ["doc_id"])
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"), F.count_if("has_error").alias("errors"))
 
 
