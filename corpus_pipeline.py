@@ -14,7 +14,11 @@ from rollout_lake.llm.common import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier predicts as good; it learns from the rows of ``labels`` not held out."""
+    """The documents that the classifier predicts as good; it learns from the rows of ``labels`` not held out.
+
+    Each row is judged by its text alone, so repeated rows and ties go the same way; null and empty texts have the score of
+    a text without words. Rows without an id, a text or a label are not learned from. Empty table: empty result.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
@@ -22,26 +26,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without lines that three of them hold (kept in the one of largest id).
 
-    ``n_chars``, where there is one, follows the text.
+    ``n_chars``, where there is one, follows the text. Null text: becomes empty. Rows without an id are one document, below all
+    ids; rows that repeat an id are one document, each of which loses its lines. Empty table: empty result.
     """
-    kept = line_dedup.drop_lines(docs, line_dedup.new_state(docs)).select(*docs.columns)
+    own = {c: f"__own_{c}" for c in ("n_lines", "n_dropped") if c in docs.columns}
+    kept = line_dedup.drop_lines(docs.withColumnsRenamed(own), line_dedup.new_state(docs))
+    kept = kept.drop("n_lines", "n_dropped").withColumnsRenamed({hidden: c for c, hidden in own.items()}).select(*docs.columns)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates."""
+    """The document of smallest id of each group of near-duplicates.
+
+    Texts without words are copies of each other. Rows that repeat an id stay or go together; rows without an id
+    stay. Empty table: empty result.
+    """
     return near_stage.keep_one(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that share no passage with ``benchmark``."""
+    """The documents that share no passage with ``benchmark``.
+
+    Rows that repeat an id stay or go together; rows without an id are judged each by its text. Null text: stays. Empty
+    tables: all rows stay.
+    """
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with token ids and the digests of ids and decoded text."""
+    """All documents with token ids and the digests of ids and decoded text; null and empty texts have no tokens."""
     return bpe.encode(docs)
 
 
