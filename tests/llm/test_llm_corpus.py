@@ -199,6 +199,48 @@ def test_quality(spark, tricky, nothing):
     assert kept.columns == tricky.columns
 
 
+def plain_leader(z, n, alpha=3.0, beta=1.0, l1=1e-5, l2=0.001):
+    return 0.0 if abs(z) <= l1 else -(z - math.copysign(l1, z)) / ((beta + math.sqrt(n)) / alpha + l2)
+
+
+def plain_ftrl(rows, labels, epochs, alpha=3.0):
+    """Follow-the-regularised-leader over dictionaries, one feature at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+    for _ in range(epochs):
+        for x, y in zip(rows, labels):
+            w = {f: plain_leader(z[f], n[f]) for f in x}
+            p = 1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items())))
+            for f, v in x.items():
+                g = (p - y) * v
+                sigma = (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha
+                z[f] += g - sigma * w[f]
+                n[f] += g * g
+    return {f: plain_leader(z[f], n[f]) for f in z}
+
+
+def test_classifier_equals_a_plain_one(docs):
+    rng = random.Random(3)
+    texts = [r["text"] for r in docs.collect()][:198] + ["", "one"]
+    labels = [rng.randrange(2) for _ in texts]
+    features = quality.Features()
+    rows = []
+    for t in texts:
+        x = defaultdict(float, {"bias": 1.0})
+        for kind in features.places(t):
+            for at in kind.tolist():
+                x[at] += quality.SCALE / len(kind)
+        rows.append(x)
+    want = plain_ftrl(rows, labels, quality.EPOCHS)
+    got = quality.train_part(texts, labels)
+    assert got[-1] == pytest.approx(want.pop("bias"), rel=1e-4)
+    assert np.count_nonzero(got[:-1]) <= len(want)
+    assert [got[f] for f in want] == pytest.approx(list(want.values()), rel=1e-3, abs=1e-5)
+    model = quality.Model(got[:-1].astype(np.float32), float(got[-1]))
+    for x, t in list(zip(rows, texts))[::20]:
+        total = model.bias + sum(float(model.weights[f]) * v for f, v in x.items() if f != "bias")
+        assert model.score(features.places(t)) == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-5)
+
+
 def brute_chat(turns):
     grouped = defaultdict(list)
     for c, t, r, x in turns:
@@ -399,6 +441,25 @@ def test_pipeline(spark, sf, docs):
     assert {(r["doc_id"], r["ids_sha256"]) for r in result.collect()} == {(r["doc_id"], r["ids_sha256"]) for r in now.collect()}
 
 
+def test_pipeline_on_odd_rows(spark, sf, tricky, nothing):
+    """Null ids and texts, repeated rows and columns named like the stages' own come through the whole chain."""
+    rows = tricky.selectExpr("*", "99L as n_lines", "'mine' as n_dropped", "1 as tag", "2 as node")
+    now = rows
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "quality classifier":  # it may reject any of these rows
+            assert stage(spark, now, sf).columns == now.columns
+            continue
+        now = corpus_pipeline.written(stage(spark, now, sf), "odd-stage")
+        assert now.columns[:len(rows.columns)] == rows.columns
+        assert {(r["n_lines"], r["n_dropped"], r["tag"], r["node"]) for r in now.collect()} == {(99, "mine", 1, 2)}
+    ids = [r["doc_id"] for r in now.collect()]
+    assert None in ids and {-3, 6, 12, 13}.issubset(ids) and 4 in ids and 5 not in ids  # 5 has the text of 4
+    empty = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        empty = corpus_pipeline.written(stage(spark, empty, sf), "empty-stage")
+        assert empty.count() == 0
+
+
 @pytest.mark.parametrize("name", ["op1_line_dedup", "op9_chat", "op10_warc"])
 def test_registered_queries_exist(name):
     import __spark_entry__ as entry
