@@ -13,8 +13,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 from parity import TABLES, compare  # noqa: E402
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+from rollout_lake.plans import catalog  # noqa: E402
+
+QUERIES = catalog.queries()
+ORACLES = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -26,8 +28,8 @@ def con(sf):
 
 
 def test_every_counterpart_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
-    assert len(QUERIES) > 200
+    assert set(ORACLES) == set(QUERIES) and len(QUERIES) > 200
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
