@@ -7,10 +7,12 @@ with a processing-time trigger.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ordering import seeded_index
 from .processors import ROCKSDB
@@ -72,6 +74,41 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return picked.select(*keys, *[F.col("r")[c].alias(c) for c in rest])
 
 
+GROUP_OUTPUT = "uid bigint, group_no bigint, n bigint, score_sum double"
+GROUP_STATE = "seen bigint, groups bigint, score_sum double"
+
+
+def complete_groups(stream: DataFrame, uid: str, score: str, samples: int, timeout_ms: int = 0) -> DataFrame:
+    """One row whenever ``samples`` responses of a prompt are in.
+
+    The state of a key is three numbers, whatever the number of its rows. With a timeout,
+    a group that stays incomplete is emitted with the rows it has.
+    """
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, groups, total = state.get if state.exists else (0, 0, 0.0)
+        out = []
+        if state.hasTimedOut:
+            if seen:
+                out.append((key[0], groups, seen, total))
+            state.remove()
+        else:
+            for pdf in batches:
+                for value in pdf["score"]:
+                    seen, total = seen + 1, total + float(value)
+                    if seen == samples:
+                        out.append((key[0], groups, seen, total))
+                        seen, groups, total = 0, groups + 1, 0.0
+            state.update((seen, groups, total))
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
+        yield pd.DataFrame(out, columns=["uid", "group_no", "n", "score_sum"])
+
+    wait = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return stream.select(F.col(uid).cast("bigint").alias("uid"), F.col(score).cast("double").alias("score")).groupBy(
+        "uid"
+    ).applyInPandasWithState(step, GROUP_OUTPUT, GROUP_STATE, "append", wait)
+
+
 def session_trajectories(stream: DataFrame, time: str, key: str, gap: str, delay: str = "10 minutes") -> DataFrame:
     """Turns of a key that follow each other within ``gap`` make one trajectory.
 
