@@ -255,31 +255,40 @@ def drop_short_left_side(s: Column) -> Column:
 
 
 _PLAIN_UNIT = re.compile(r"\w+")
-_ODD_UNITS = [u + s for s in ("", "s") for u in UNITS if not _PLAIN_UNIT.fullmatch(u)]
-"""Units with other characters than those of words; a dot in them is a wildcard."""
+
+
+def _unit_signs() -> list[Column]:
+    """For each unit in order: the unit, whether it has letters only, and what a text must hold for it to match.
+
+    A dot in a unit is a wildcard, so such a unit is told by what stands before the dot.
+    """
+    signs = []
+    for unit in (*UNITS, *[u + "s" for u in UNITS]):
+        plain = _PLAIN_UNIT.fullmatch(unit) is not None
+        sign = f" {unit} " if plain else unit.split(".")[0]
+        signs.append(F.struct(F.lit(unit).alias("unit"), F.lit(plain).alias("plain"), F.lit(sign).alias("sign")))
+    return signs
 
 
 def drop_units(s: Column) -> Column:
-    """Remove unit words that stand alone, in list order, twice; never to an empty text."""
-    units = F.array(*[F.lit(u) for u in (*UNITS, *[u + "s" for u in UNITS])])
+    """Remove unit words that stand alone, in list order, twice; never to an empty text.
 
-    def one(acc, u):
-        def cut(t):
-            out = F.regexp_replace(t, F.concat(F.lit(r"(?U)(^|\W)"), u, F.lit(r"($|\W)")), F.lit("$1$2"))
-            return F.when(out != "", out).otherwise(t)
+    Dropping words makes no new ones, so only units that the text has at first are looked at.
+    """
+    signs = F.array(*_unit_signs())
 
-        # a dot in a unit is a wildcard, so only dotless units can be skipped by a plain search
-        return F.when(F.contains(acc, u) | has(u, "."), let(acc, cut)).otherwise(acc)
+    def one(acc, x):
+        out = F.regexp_replace(acc, F.concat(F.lit(r"(?U)(^|\W)"), x["unit"], F.lit(r"($|\W)")), F.lit("$1$2"))
+        return let(out, lambda t: F.when(t != "", t).otherwise(acc))
 
-    def twice(t):
-        # a unit of letters only is one of the text's words, and dropping words makes no new ones
-        words = F.concat(F.split(t, r"(?U)\W"), F.array(*[F.lit(u) for u in _ODD_UNITS]))
-        there = F.filter(units, lambda u: F.array_contains(words, u))
-        return let(F.struct(t.alias("t"), there.alias("u")), lambda p: let(
-            F.aggregate(p["u"], p["t"], one), lambda x: F.aggregate(p["u"], x, one)))
+    def twice(p):
+        there = F.filter(signs, lambda x: F.when(x["plain"], F.contains(p["words"], x["sign"])).otherwise(F.contains(p["t"], x["sign"])))
+        return let(F.struct(p["t"].alias("t"), there.alias("u")), lambda q: let(
+            F.aggregate(q["u"], q["t"], one), lambda t: F.aggregate(q["u"], t, one)))
 
+    words = F.concat(F.lit(" "), F.regexp_replace(s, r"(?U)\W", " "), F.lit(" "))
     # one scan for any unit spares the loop for most answers
-    return F.when(s.rlike("(?U)" + ANY_UNIT), let(s, twice)).otherwise(s)
+    return F.when(s.rlike("(?U)" + ANY_UNIT), let(F.struct(s.alias("t"), words.alias("words")), twice)).otherwise(s)
 
 
 def normalise(s: Column, skip_unit: bool = False) -> Column:
