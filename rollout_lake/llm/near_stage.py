@@ -97,21 +97,51 @@ def shingle_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     return texts.select("node", F.array_distinct(sketches.shingle_hashes(ascii_lower(F.col("text")), width)).alias("s"))
 
 
+def _chosen(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts that occur in a written table of pairs, and the written table of their ids."""
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+    few = rows_each(needed) <= BROADCAST_IDS
+    return texts.join(F.broadcast(needed) if few else needed, "node", "left_semi"), needed
+
+
+def _ends(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with the other columns of both their ends, as structs ``x`` and ``y``."""
+    own = F.struct(*[c for c in sets.columns if c != "node"])
+    return pairs.join(sets.select(F.col("node").alias("b"), own.alias("y")), "b").join(
+        sets.select(F.col("node").alias("a"), own.alias("x")), "a")
+
+
+def plausible(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose sets may be similar enough by 16 bits of each shingle, which take a quarter of the room.
+
+    The marks that two sets share, and the shingles beyond one a mark, are no fewer than the shingles they share.
+    """
+    some, needed = _chosen(pairs, texts)
+    marks = F.array_distinct(F.transform("s", lambda h: F.shiftright(h, 48).cast("smallint")))
+    small = written(shingle_sets(some, width).select("node", F.size("s").alias("n"), marks.alias("t")), "pair-marks")
+    n, m = F.col("x.n"), F.col("y.n")
+    most = F.size(F.array_intersect("x.t", "y.t")) + F.least(n - F.size("x.t"), m - F.size("y.t"))
+    share = similarity / (1 + similarity)
+    left = written(_ends(pairs, small).where(most >= share * (n + m) - 1e-6).select("a", "b"), "plausible-pairs")
+    discard(needed, small)
+    return left
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
     ``pairs`` is a written table. Only texts that occur in it are shuffled.
     """
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-    few = rows_each(needed) <= BROADCAST_IDS
-    sets = written(shingle_sets(texts.join(F.broadcast(needed) if few else needed, "node", "left_semi"), width), "pair-sets")
-    met = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(
-        sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a"
-    ).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("both"))
+    left = plausible(pairs, texts, width, similarity)
+    some, needed = _chosen(left, texts)
+    sets = written(shingle_sets(some, width), "pair-sets")
+    n = F.size(F.array_intersect("x.s", "y.s"))
+    both = F.size("x.s") + F.size("y.s")
+    met = _ends(left, sets).select("a", "b", n.alias("n"), both.alias("both"))
     near = written(met.where(
         (F.col("n") >= similarity * (F.col("both") - F.col("n"))) & (F.col("both") > 0)
     ).select("a", "b"), "near-pairs")
-    discard(needed, sets)
+    discard(left, needed, sets)
     return near
 
 
