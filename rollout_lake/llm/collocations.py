@@ -201,20 +201,21 @@ def frequent_prefixes(columns: list[np.ndarray], weight: np.ndarray, least: int)
 
 
 def _packed(columns: list[np.ndarray], weight: np.ndarray) -> bytes:
-    """Suffixes as bytes: their distinct words, then places among them, in the smallest type that holds all."""
+    """Suffixes as bytes: their distinct words, then places among them, in the smallest type that holds all, compressed."""
     known, places = np.unique(np.concatenate(columns), return_inverse=True)
     kind = np.uint16 if len(known) <= 1 << 16 else np.uint32
     plain = bool((weight == 1).all())
-    head = np.array([len(weight), len(known), kind().itemsize, plain], np.int64)
-    return b"".join([head.tobytes(), known.tobytes(), places.astype(kind).tobytes(), b"" if plain else weight.tobytes()])
+    rest = places.astype(kind).tobytes() + (b"" if plain else weight.tobytes())
+    head = np.array([len(weight), len(known), kind().itemsize, plain, len(rest)], np.int64)
+    return b"".join([head.tobytes(), known.tobytes(), pa.compress(rest, "zstd", asbytes=True)])
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, known, size, plain = np.frombuffer(data, np.int64, 4).tolist()
-    values = np.frombuffer(data, np.uint64, known, 32)
-    at = 32 + 8 * known
-    places = np.frombuffer(data, np.uint16 if size == 2 else np.uint32, LONGEST * n, at)
-    weight = np.ones(n, np.int64) if plain else np.frombuffer(data, np.int64, n, at + size * LONGEST * n)
+    n, known, size, plain, length = np.frombuffer(data, np.int64, 5).tolist()
+    values = np.frombuffer(data, np.uint64, known, 40)
+    rest = pa.decompress(data[40 + 8 * known:], length, "zstd", asbytes=True)
+    places = np.frombuffer(rest, np.uint16 if size == 2 else np.uint32, LONGEST * n)
+    weight = np.ones(n, np.int64) if plain else np.frombuffer(rest, np.int64, n, size * LONGEST * n)
     return values[places].reshape(LONGEST, n), weight
 
 
@@ -271,7 +272,7 @@ def _routed(held: list[list[np.ndarray]], routes: int, hot: np.ndarray, pairs: n
     crowd = lead & np.isin(both, pairs)
     key = np.where(crowd, _mixed(both) + columns[2], np.where(lead, both, key))
     route = (_mixed(key) % np.uint64(routes)).astype(np.int64)
-    order = np.argsort(route, kind="stable")
+    order = np.lexsort((columns[1], columns[0], route))  # sorted words take less room
     first = np.flatnonzero(np.r_[True, route[order][1:] != route[order][:-1]])
     parts = [order[s:e] for s, e in zip(first, np.r_[first[1:], len(order)])]
     packed = [_packed([c[p] for c in columns], weight[p]) for p in parts]
