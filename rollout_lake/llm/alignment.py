@@ -35,6 +35,9 @@ SLICE_BYTES = 1 << 18
 FAN = 8
 """Fragments that are composed at a time."""
 
+BLOCK_BYTES = 16 << 20
+"""Links that a task holds before it writes them."""
+
 BROADCAST_PAIRS = 3_000_000
 """Counts of up to this many pairs of ids (48 MB) go to every task; more are joined by shuffle."""
 
@@ -321,7 +324,7 @@ def aligned(docs: DataFrame, vocabulary: str | None = None, pieces: str | None =
                                                   F.lit("").alias("groups_sha256"), F.array().cast("array<bigint>").alias("codes"))
     each = _short(rows.where(~long & (F.col("text") != "")), vocabulary, pieces).unionByName(
         _long(rows.where(long), vocabulary, pieces, chunk)).unionByName(none)
-    return written(each.withColumn("row", F.monotonically_increasing_id()), "aligned")
+    return written(each.withColumn("row", F.monotonically_increasing_id()), "aligned", BLOCK_BYTES)
 
 
 def pair_counts(each: DataFrame) -> DataFrame:

@@ -24,11 +24,15 @@ NO_ID = -(2**63)
 """Stands for a missing document id, below every other."""
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, block_bytes: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: cuts the lineage, survives lost executors.
+
+    ``block_bytes`` bounds what a task that writes wide rows holds of them.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write if block_bytes is None else df.write.option("parquet.block.size", block_bytes)
+    writer.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table
