@@ -35,6 +35,9 @@ SLICE_BYTES = 1 << 20
 HELD_WORDS = 1 << 19
 """Suffixes that a task gathers before it deals them out."""
 
+ROUTE_WORDS = 1_000_000
+"""Words, about, whose suffixes are sorted together."""
+
 HOT = 1024
 """A leading word or pair is hot with more than 1/HOT of all words."""
 
@@ -340,7 +343,7 @@ def phrases(docs: DataFrame, least: int = LEAST, seed: int = 0, hot: int = HOT,
         at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
         known = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         np.bitwise_or.at(known, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    routes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 500_000, 1)
+    routes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // ROUTE_WORDS, 1)
     counted = _sorted(_dealt(docs, seed, routes, leading, crowded, known), least, leading, crowded)
     counted = counted.groupBy("h1", "h2", "h3", "h4").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     return written(counted, "phrases"), often, totals
