@@ -36,7 +36,7 @@ FREQUENT = 100_000
 """Shingles in more than ``OFTEN`` texts of the sample, ``FREQUENT`` of them at most, come last in the order."""
 
 STARS = 2
-"""Texts of a key that all others of it are compared with, before those still apart are compared with each other."""
+"""Texts of a key that stand for it, and of those that stand for a text's keys, how many it is compared with at first."""
 
 BAND = 1.05
 """Sizes whose ratio is below this may share a band."""
@@ -99,7 +99,8 @@ def shingle_sets(texts: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def _chosen(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The texts that occur in a written table of pairs, and the written table of their ids."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    needed = written(ids.distinct(), "needed")
     few = rows_each(needed) <= BROADCAST_IDS
     return texts.join(F.broadcast(needed) if few else needed, "node", "left_semi"), needed
 
@@ -238,8 +239,8 @@ def _crossed(entries: DataFrame, links: DataFrame, similarity: float) -> DataFra
 def all_links(near: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The verified links and as many more as join every two texts of at least ``similarity``, directly or by a path.
 
-    Texts of one key are first compared with ``STARS`` of them, so that large groups are joined without
-    comparing them pair by pair. Then those of different groups are compared with each other, apart from pairs within
+    For each key ``STARS`` of its texts stand, and a text is first compared with those that stand for most of its keys, so that
+    large groups are joined without comparing them pair by pair. Then those of different groups are compared with each other, apart from pairs within
     the key's most frequent group; the first shared shingle of two near sets passes the test of places.
     """
     entries = written(prefixes(texts, width, similarity), "prefixes")
@@ -249,7 +250,10 @@ def all_links(near: DataFrame, texts: DataFrame, width: int = WIDTH, similarity:
     discard(entries, keys)
     star = shared.withColumn("h", F.explode(F.array(*[f"head{step}" for step in range(STARS)]))).where(
         (F.col("node") != F.col("h.node")) & _leaves_enough(F.col("n"), F.col("i"), F.col("h.n"), F.col("h.i"), similarity))
-    apart = _apart(star.select(F.col("node").alias("a"), F.col("h.node").alias("b")), near, "star-pairs")
+    met = star.groupBy("node", F.col("h.node").alias("head")).agg(F.count(F.lit(1)).alias("keys"))
+    # a text has no more heads than keys in its prefix
+    best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("keys", "head")), asc=False), 1, STARS).alias("h"))
+    apart = _apart(best.select(F.col("node").alias("a"), F.explode("h.head").alias("b")), near, "star-pairs")
     joined = written(near.unionByName(verified(apart, texts, width, similarity)), "star-links")
     more = verified(_crossed(shared.select("key", "node", "n", "i"), joined, similarity), texts, width, similarity)
     discard(apart, shared)
