@@ -151,12 +151,15 @@ def take_rows(df: DataFrame, row_index: str, start: int, stop: int, step: int =
     return df.where((i >= start) & (i < stop) & ((i - start) % step == 0))
 
 
-def fold_rows(df: DataFrame, row_index: str, columns: Sequence[str], size: int) -> DataFrame:
-    """[b] to [g, size]: every folded row holds exactly ``size`` consecutive rows."""
+def fold_rows(df: DataFrame, row_index: str, columns: Sequence[str], size: int, short_last: bool = False) -> DataFrame:
+    """[b] to [g, size]: every folded row holds exactly ``size`` consecutive rows.
+
+    If ``size`` does not divide the row count, the query fails, or with ``short_last`` the last fold holds the rows that are left.
+    """
     group = F.floor(F.col(row_index) / size).alias("fold")
     items = F.sort_array(F.collect_list(F.struct(row_index, *columns)))
     folded = df.groupBy(group).agg(items.alias("items"))
-    whole = F.when(F.size("items") == size, F.col("items")).otherwise(
+    whole = F.col("items") if short_last else F.when(F.size("items") == size, F.col("items")).otherwise(
         F.raise_error(F.lit(f"the row count is not divisible by {size}"))
     )
     return folded.select("fold", F.transform(whole, lambda r: F.struct(*[r[c].alias(c) for c in columns])).alias("items"))
