@@ -170,13 +170,18 @@ def unfold_rows(folded: DataFrame, size: int, row_index: str = "row_index") -> D
     return out.select((F.col("fold") * size + F.col("slot")).alias(row_index), "r.*")
 
 
-def minibatches(df: DataFrame, keys: Sequence[str], size: int, epochs: int, seed: int) -> DataFrame:
-    """Seeded mini-batches over epochs; fails when the size does not divide the row count."""
+def minibatches(df: DataFrame, keys: Sequence[str], size: int, epochs: int, seed: int, full_only: bool = False) -> DataFrame:
+    """Seeded mini-batches over epochs.
+
+    If the size does not divide the row count, the query fails, or with ``full_only`` an epoch ends with its last full batch.
+    """
     runs = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     placed = seeded_index(runs, [*keys, "epoch"], seed, group_by=["epoch"], out="position").withColumn("__n", _count(df))
-    batch = F.when(F.col("__n") % size == 0, F.floor(F.col("position") / size)).otherwise(
-        F.raise_error(F.lit(f"the row count is not divisible by {size}"))
-    )
+    batch = F.floor(F.col("position") / size)
+    if full_only:
+        placed = placed.where(batch < F.floor(F.col("__n") / size))
+    else:
+        batch = F.when(F.col("__n") % size == 0, batch).otherwise(F.raise_error(F.lit(f"the row count is not divisible by {size}")))
     return placed.withColumn("batch_id", batch).drop("__n")
 
 

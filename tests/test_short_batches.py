@@ -1,5 +1,8 @@
 """Batches whose last one is short: folds, mini-batches and balanced partitions of any row count."""
 
+import hashlib
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,3 +16,14 @@ def test_last_fold_may_be_short(spark):
     assert {(r["row_index"], r["id"]) for r in C.unfold_rows(folded, 5).collect()} == {(i - 1, i) for i in range(1, 8)}
     with pytest.raises(Exception, match="not divisible"):
         C.fold_rows(df, "row_index", ["id"], 5).collect()
+
+
+def test_minibatches_of_any_row_count(spark):
+    df = spark.range(107).select("id")
+    got = C.minibatches(df, ["id"], 50, 2, 9, full_only=True).collect()
+    assert Counter((r["epoch"], r["batch_id"]) for r in got) == {(e, b): 50 for e in (0, 1) for b in (0, 1)}
+    for e in (0, 1):
+        order = sorted(range(107), key=lambda i: (hashlib.md5(f"{i}-{e}-9".encode()).hexdigest(), i))
+        assert {r["id"]: r["position"] for r in got if r["epoch"] == e} == {i: n for n, i in enumerate(order[:100])}
+    with pytest.raises(Exception, match="not divisible"):
+        C.minibatches(df, ["id"], 50, 2, 9).collect()
