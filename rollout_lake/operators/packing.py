@@ -56,6 +56,19 @@ def largest_differencing(lengths: Sequence[int], k: int, equal_size: bool) -> li
     return [sorted(i for i, _ in b[1]) for b in heap[0][3]]
 
 
+def narrower(lengths: Sequence[int], k: int, equal_size: bool) -> list[list[int]]:
+    """The bins of ``largest_differencing``, or runs of consecutive items of equal number where their sums are closer."""
+    bins = largest_differencing(lengths, k, equal_size)
+    size = len(lengths) // k
+    runs = [list(range(at, at + size)) for at in range(0, size * k, size)]
+
+    def spread(parts):
+        sums = [sum(lengths[i] for i in p) for p in parts]
+        return max(sums) - min(sums)
+
+    return runs if len(lengths) % k == 0 and spread(runs) < spread(bins) else bins
+
+
 def greedy_bins(lengths: Sequence[int], k: int, equal_size: bool) -> list[list[int]]:
     """Each item, in input order, to the lightest bin; a large bias keeps counts equal."""
     bias = sum(lengths) + 1 if equal_size else 0
@@ -70,10 +83,19 @@ def greedy_bins(lengths: Sequence[int], k: int, equal_size: bool) -> list[list[i
     return out
 
 
-def _assign(method, k: int | None, equal_size: bool, max_tokens: int | None):
+def _filled(pdf: pd.DataFrame, missing: int) -> pd.DataFrame:
+    """The rows of a batch and as many places behind them that hold no row: id and length are null."""
+    first = int(pdf["row_index"].iloc[-1]) + 1
+    places = pd.DataFrame({"batch_id": pdf["batch_id"].iloc[0], "row_index": range(first, first + missing)}, columns=pdf.columns, dtype=object)
+    return pd.concat([pdf.astype(object), places.where(places.notna(), None)], ignore_index=True)
+
+
+def _assign(method, k: int | None, equal_size: bool, max_tokens: int | None, fill_to: int = 0):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_index", kind="stable").reset_index(drop=True)
         lengths = [int(v) for v in pdf["length"]]
+        if missing := max(0, fill_to - len(lengths)):
+            pdf, lengths = _filled(pdf, missing), lengths + [0] * missing
         bins = k if k is not None else max(1, -(-sum(lengths) // max_tokens))
         part = [0] * len(lengths)
         for p, items in enumerate(method(lengths, min(bins, len(lengths)), equal_size)):
@@ -85,7 +107,7 @@ def _assign(method, k: int | None, equal_size: bool, max_tokens: int | None):
 
 
 def _with_partition(rows: DataFrame) -> StructType:
-    return StructType([*rows.schema.fields, StructField("partition", LongType())])
+    return StructType([*[StructField(f.name, f.dataType) for f in rows.schema.fields], StructField("partition", LongType())])
 
 
 def _batches(df: DataFrame, id_col: str, length: str, batch_size: int) -> DataFrame:
@@ -93,10 +115,15 @@ def _batches(df: DataFrame, id_col: str, length: str, batch_size: int) -> DataFr
     return placed.select(id_col, F.floor(F.col("row_index") / batch_size).alias("batch_id"), F.col("row_index").cast("bigint").alias("row_index"), "length")
 
 
-def balance(df: DataFrame, id_col: str, length: str, batch_size: int, k: int, equal_size: bool = False, method=largest_differencing) -> DataFrame:
-    """Id, batch, row index, length and partition number of every row of every batch of ``batch_size`` rows."""
+def balance(df: DataFrame, id_col: str, length: str, batch_size: int, k: int, equal_size: bool = False, method=largest_differencing,
+            fill: bool = False) -> DataFrame:
+    """Id, batch, row index, length and partition number of every row of every batch of ``batch_size`` rows.
+
+    A last batch with fewer rows may have no partitions of equal size, which fails the query. With ``fill`` it is filled up
+    to ``batch_size`` with places of no tokens, whose id and length are null, as the reference pads a batch to its ranks.
+    """
     rows = _batches(df, id_col, length, batch_size)
-    return rows.groupBy("batch_id").applyInPandas(_assign(method, k, equal_size, None), _with_partition(rows))
+    return rows.groupBy("batch_id").applyInPandas(_assign(method, k, equal_size, None, batch_size if fill else 0), _with_partition(rows))
 
 
 def micro_batches(df: DataFrame, id_col: str, length: str, batch_size: int, max_tokens: int) -> DataFrame:
@@ -121,14 +148,18 @@ def balanced_order(parts: DataFrame, batch_size: int, k: int) -> DataFrame:
 
 
 def imbalance(parts: DataFrame, batch_size: int, k: int) -> DataFrame:
-    """Token sums per batch before (consecutive slices) and after balancing."""
+    """Token sums per batch before (consecutive slices) and after balancing.
+
+    ``min``, ``max`` and ``minmax_diff`` are over the slices with rows; ``slice_spread`` takes a slice of places without
+    rows as one without tokens, as ``balanced_min`` and ``balanced_max`` do with partitions.
+    """
     inside = F.col("row_index") - F.col("batch_id") * batch_size
     sliced = parts.withColumn("slice", F.floor(inside / (batch_size // k)))
     before = sliced.groupBy("batch_id", "slice").agg(F.sum("length").alias("s")).groupBy("batch_id").agg(
         F.min("s").alias("min"), F.max("s").alias("max"), (F.max("s") - F.min("s")).alias("minmax_diff"),
-        (F.sum("s") / k).alias("mean"),
+        (F.sum("s") / k).alias("mean"), (F.max(F.coalesce("s", F.lit(0))) - F.min(F.coalesce("s", F.lit(0)))).alias("slice_spread"),
     )
-    after = parts.groupBy("batch_id", "partition").agg(F.sum("length").alias("s")).groupBy("batch_id").agg(
+    after = parts.groupBy("batch_id", "partition").agg(F.sum(F.coalesce("length", F.lit(0))).alias("s")).groupBy("batch_id").agg(
         F.min("s").alias("balanced_min"), F.max("s").alias("balanced_max")
     )
     return before.join(after, "batch_id")
