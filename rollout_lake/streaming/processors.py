@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +19,17 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 GROUP_ROWS = "kind string, uid bigint, n bigint, total double"
 
 
+BUCKETS = 256
+"""Parts by a hash of their keys that groups with a deadline are kept in; each start of a checkpoint must have the same."""
+
+
 class DeadlineGroups(StatefulProcessor):
     """``samples`` rows of a key make a group; what is in when the watermark passes the key's time is a group, too.
 
-    The watermark is taken from marks, rows without a value, because Spark drops late rows of an event-time
-    column before a processor sees them. A row that comes behind its deadline is emitted as ``late``.
+    A call of Python or of the state costs more than a group's few rows, so a call sees a bucket of many keys: its rows come in
+    batches of bounded size and are added up by key with NumPy. Its open groups are a list, whose earliest deadline has the only timer.
+
+    A row that comes behind its deadline is emitted as ``late``.
     """
 
     def __init__(self, samples: int):
@@ -30,36 +37,64 @@ class DeadlineGroups(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "n bigint, total double")
+        self.open = handle.getListState("open", "uid bigint, n bigint, total double, due bigint")
+
+    def _held(self) -> pd.DataFrame:
+        rows = list(self.open.get()) if self.open.exists() else []
+        kinds = {"uid": "int64", "n": "int64", "total": "float64", "due": "int64"}
+        return pd.DataFrame(rows, columns=[*kinds]).astype(kinds)
+
+    def _hold(self, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self.open.put([(int(u), int(n), float(t), int(d)) for u, n, t, d in rows.itertuples(index=False)])
+            self.handle.registerTimer(int(rows["due"].min()))
+        else:
+            self.open.clear()
+
+    def _added(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Groups of ``samples`` rows of a key and what is left of it, from open groups and the rows behind them."""
+        rows = rows.iloc[np.argsort(rows["uid"].to_numpy(), kind="stable")]
+        uid, n = rows["uid"].to_numpy(), rows["n"].to_numpy()
+        key = np.r_[True, uid[1:] != uid[:-1]]
+        seen = np.cumsum(n)
+        ahead = (seen - n)[key][np.cumsum(key) - 1]
+        group = (seen - ahead - 1) // self.samples
+        first = np.flatnonzero(key | np.r_[True, group[1:] != group[:-1]])
+        return pd.DataFrame({
+            "uid": uid[first], "n": np.add.reduceat(n, first), "total": np.add.reduceat(rows["total"].to_numpy(), first),
+            "due": np.minimum.reduceat(rows["due"].to_numpy(), first),
+        })
+
+    def _out(self, key, kind: str, rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows[["uid", "n", "total"]].assign(kind=kind)[["kind", "uid", "n", "total"]]
+        return out.assign(uid=pd.array([None] * len(out), "Int64") if key[0] == BUCKETS else out["uid"].astype("Int64"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        seen, total = self.open.get() if self.open.exists() else (0, 0.0)
-        due, out = None, []
+        held = self._held()
+        timer = int(held["due"].min()) if len(held) else None
         for batch in rows:
-            batch = batch[batch["tick"].isna()]  # marks only move the clock
-            for score, deadline in zip(batch["score"], batch["deadline"]):
-                if deadline < now:
-                    out.append(("late", key[0], 1, score))
-                    continue
-                due, seen, total = int(deadline), seen + 1, total + score
-                if seen == self.samples:
-                    out.append(("complete", key[0], seen, total))
-                    seen, total = 0, 0.0
-        if due is not None:
-            if seen:
-                self.open.update((int(seen), float(total)))
-                self.handle.registerTimer(due)
-            elif self.open.exists():
-                self.open.clear()
-                self.handle.deleteTimer(due)
-        yield pd.DataFrame(out, columns=["kind", "uid", "n", "total"])
+            if batch["deadline"].isna().any():
+                raise ValueError("a row has no time")
+            uid = 0 if key[0] == BUCKETS else batch["uid"].astype("int64")  # rows without a key are a bucket of their own
+            fresh = pd.DataFrame({"uid": uid, "n": 1, "total": batch["score"].astype("float64"), "due": batch["deadline"].astype("int64")})
+            late = fresh["due"] < now
+            if late.any():
+                yield self._out(key, "late", fresh[late])
+            if not late.all():
+                found = self._added(pd.concat([held, fresh[~late]]))
+                whole = found["n"] == self.samples
+                yield self._out(key, "complete", found[whole])
+                held = found[~whole]
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        self._hold(held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists():
-            seen, total = self.open.get()
-            self.open.clear()
-            yield pd.DataFrame([("timeout", key[0], seen, total)], columns=["kind", "uid", "n", "total"])
+        held = self._held()
+        due = held["due"] < timerValues.getCurrentWatermarkInMs()
+        self._hold(held[~due])
+        yield self._out(key, "timeout", held[due])
 
     def close(self) -> None:
         pass
@@ -69,15 +104,19 @@ def groups_with_deadline(stream: DataFrame, uid: str, score: str, issued: str, s
     """``kind, uid, n, total``: groups that are complete, those whose deadline passed first, and late rows.
 
     All rows of a group carry the time it was ``issued``. Its deadline is the moment when rows issued ``wait`` later are in.
-    Each row is in exactly one emitted group or late, unless its group is still open at the end. A row's key and
+    Each row is in exactly one emitted group or late, unless its group is still open at the end. A row's
     time must not be null.
+
+    The watermark is taken from marks, rows without a value, because Spark drops late rows of an event-time
+    column before a processor sees them. Marks go no further.
     """
     rows = stream.select(
         F.col(uid).cast("bigint").alias("uid"), F.col(score).cast("double").alias("score"),
         F.unix_millis(issued).alias("deadline"), F.col(issued).alias("at"),
     ).withColumn("tick", F.explode(F.array(F.lit(None).cast("timestamp"), F.col("at"))))
-    clocked = rows.select("uid", "score", "deadline", "tick").withWatermark("tick", wait)
-    return clocked.groupBy("uid").transformWithStateInPandas(
+    clocked = rows.select("uid", "score", "deadline", "tick").withWatermark("tick", wait).where("tick is null")
+    bucket = F.when(F.col("uid").isNull(), BUCKETS).otherwise(F.pmod(F.xxhash64("uid"), F.lit(BUCKETS)))
+    return clocked.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
         DeadlineGroups(samples), GROUP_ROWS, "Append", "EventTime")
 
 
