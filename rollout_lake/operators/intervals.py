@@ -15,27 +15,21 @@ from pyspark.sql import functions as F
 def next_at_or_after(rows: DataFrame, events: DataFrame, keys: Sequence[str], at: str, event_at: str, out: str, bin_size: int) -> DataFrame:
     """All rows with ``out``: the least ``event_at`` of the events with equal keys that is not below the row's ``at``; null if there is none.
 
-    Within a bin the events are sorted into the rows by one window; rows behind the last event of their bin take
-    the first event of the next bin that has one, which is known from one row for each bin. Rows with a null key or
-    place get null. Events are told by their places only.
+    A row looks at the events of its own bin, which are an array of ``bin_size`` distinct places at most; rows behind the last
+    event of their bin take the first event of the next bin that has one, which is known from one row for each bin. The rows
+    themselves are hashed to their bins and never sorted. Rows with a null key or place get null. Events are told by their places only.
     """
-    marks = events.where(F.col(event_at).isNotNull()).select(*keys, F.col(event_at).cast("bigint").alias("__p")).distinct()
+    marks = events.where(F.col(event_at).isNotNull()).select(*keys, F.col(event_at).cast("bigint").alias("__p"))
     binned = marks.withColumn("__bin", F.floor(F.col("__p") / bin_size))
-    firsts = binned.groupBy(*keys, "__bin").agg(F.min("__p").alias("__first"))
+    inside = binned.groupBy(*keys, "__bin").agg(F.sort_array(F.collect_set("__p")).alias("__own"))
     staged = rows.withColumn("__at", F.col(at).cast("bigint")).withColumn("__bin", F.floor(F.col("__at") / bin_size))
     # the first event of each later bin, for all bins that rows lie in: a window over bins, not over rows
-    used = staged.select(*keys, "__bin").distinct().join(firsts, [*keys, "__bin"], "full")
+    used = staged.select(*keys, "__bin").distinct().join(inside, [*keys, "__bin"], "full")
     later = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(1, Window.unboundedFollowing)
-    used = used.withColumn("__later", F.min("__first").over(later)).select(*keys, "__bin", "__later")
-
-    names = [*rows.columns]
-    packed = staged.select(*keys, "__bin", F.col("__at").alias("__p"), F.struct(*names).alias("__row")).unionByName(
-        binned.select(*keys, "__bin", "__p"), allowMissingColumns=True)
-    order = Window.partitionBy(*keys, "__bin").orderBy(F.col("__p").desc(), F.col("__row").isNull().desc())
-    ahead = order.rowsBetween(Window.unboundedPreceding, 0)
-    inside = packed.withColumn("__next", F.min(F.when(F.col("__row").isNull(), F.col("__p"))).over(ahead)).where("__row is not null")
-    met = inside.join(used, [*keys, "__bin"], "left")
-    return met.select(*[F.col("__row")[c].alias(c) for c in names], F.coalesce("__next", "__later").alias(out))
+    used = used.withColumn("__later", F.min(F.get("__own", F.lit(0))).over(later)).select(*keys, "__bin", "__own", "__later")
+    met = staged.join(used.hint("shuffle_hash"), [*keys, "__bin"], "left")
+    here = F.get(F.filter("__own", lambda p: p >= F.col("__at")), F.lit(0))
+    return met.select(*rows.columns, F.coalesce(here, "__later").alias(out))
 
 
 def covering_spans(rows: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str, bin_size: int) -> DataFrame:
