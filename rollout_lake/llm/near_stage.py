@@ -226,7 +226,7 @@ def _crossed(entries: DataFrame, links: DataFrame, similarity: float) -> DataFra
     stock = rows.where(n - i >= 2 * share * n - 1e-6).withColumn("band", band(n.cast("double")))
     left = probes.select("key", "band", "main", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "i", "root")])
     right = stock.select("key", "band", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "i", "root")])
-    met = left.join(right, ["key", "band"]).where(
+    met = left.hint("merge").join(right, ["key", "band"]).where(
         (F.col("l_root") != F.col("r_root")) & ((F.col("l_root") != F.col("main")) | (F.col("r_root") != F.col("main")))
         & _leaves_enough(F.col("l_n"), F.col("l_i"), F.col("r_n"), F.col("r_i"), similarity)
     )

@@ -113,12 +113,15 @@ def links(prints: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) -> Da
 
 
 def _meet(index: DataFrame, probes: DataFrame, radius: int) -> DataFrame:
-    """Candidates of one kind of key whose longer chains and whole ring stay within their budgets."""
+    """Candidates of one kind of key whose longer chains and whole ring stay within their budgets.
+
+    A fingerprint has many probes, which the planner's sizes do not show: neither side may be broadcast.
+    """
     left = probes.select(F.col("fp").alias("a"), F.col("t").alias("ta"), "key")
     right = index.select(F.col("fp").alias("b"), F.col("t").alias("tb"), "key")
     apart = F.col("ta").bitwiseXOR(F.col("tb"))
     budget = lambda n: F.lit(radius * n // SEGMENTS)
-    return left.join(right, "key").where(
+    return left.hint("merge").join(right, "key").where(
         (F.col("a") < F.col("b"))
         & (F.bit_count(F.shiftrightunsigned(apart, 32)) <= budget(2))
         & (F.bit_count(F.shiftrightunsigned(apart, 16)) <= budget(3))
