@@ -39,17 +39,19 @@ def written(df: DataFrame, name: str, block_bytes: int | None = None) -> DataFra
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more, and the shuffle files of finished queries.
-
-    Spark drops a shuffle's files once the driver's garbage collector has met it, so it is called here.
-    """
+    """Delete written tables that nothing reads any more, and the shuffle files of finished queries."""
     for table in tables:
         jvm = table.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(table._written_to)
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        drop_shuffles(tables[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Delete the shuffle files of finished queries: Spark does so once the driver's garbage collector has met them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

@@ -4,8 +4,9 @@ A fingerprint is taken of each text's distinct words. Pairs that the pigeonring
 Jaccard similarity of their word shingles is high enough. That joins most groups at little cost, but misses pairs.
 
 The exact part finds the rest. With the shingles of every text in one order, rare ones first, two texts that
-agree to 0.8 share one of the first shingles, at places that leave enough to share. Texts that
-share such a key and are not joined yet are compared. Of each group reachable over the pairs one document stays.
+agree to 0.8 share some of the first shingles, at places that leave enough to share. Texts that
+share as many such keys and are not joined yet are compared, first by bitmaps of a bit or two a shingle: pairs that
+share a passage or a chance key grow faster than texts. Of each group reachable over the pairs one document stays.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sketches
-from .common import ascii_lower, discard, join_hot, rows_each, whole, written
+from .common import ascii_lower, discard, drop_shuffles, join_hot, rows_each, whole, written
 from .components import component_roots
 from .simhash import links, majority
 
@@ -35,6 +36,9 @@ OFTEN = 8
 FREQUENT = 100_000
 """Shingles in more than ``OFTEN`` texts of the sample, ``FREQUENT`` of them at most, come last in the order."""
 
+SHARED, EVERY = 2, 50
+"""Two near sets have ``SHARED`` shingles of their prefixes in common and one more for each ``EVERY`` of the smaller set, or all they must share."""
+
 STARS = 2
 """Texts of a key that stand for it, and of those that stand for a text's keys, how many it is compared with at first."""
 
@@ -112,28 +116,27 @@ def _ends(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         sets.select(F.col("node").alias("a"), own.alias("x")), "a")
 
 
-def plausible(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose sets may be similar enough by 16 bits of each shingle, which take a quarter of the room.
+def plausible(pairs: DataFrame, bits: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose sets may be similar enough by their sizes and bitmaps ``(node, n, bits)``.
 
-    The marks that two sets share, and the shingles beyond one a mark, are no fewer than the shingles they share.
+    Two bitmaps differ in no more bits than there are shingles in one set only. The longer one is folded to the other's length.
     """
-    some, needed = _chosen(pairs, texts)
-    marks = F.array_distinct(F.transform("s", lambda h: F.shiftright(h, 48).cast("smallint")))
-    small = written(shingle_sets(some, width).select("node", F.size("s").alias("n"), marks.alias("t")), "pair-marks")
-    n, m = F.col("x.n"), F.col("y.n")
-    most = F.size(F.array_intersect("x.t", "y.t")) + F.least(n - F.size("x.t"), m - F.size("y.t"))
-    share = similarity / (1 + similarity)
-    left = written(_ends(pairs, small).where(most >= share * (n + m) - 1e-6).select("a", "b"), "plausible-pairs")
-    discard(needed, small)
-    return left
+    n, m, p, q = F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits")
+    size = F.least(F.size(p), F.size(q))
+    xor = lambda a, b: a.bitwiseXOR(b)
+    folded = lambda t: F.when(F.size(t) > size, F.zip_with(F.slice(t, F.lit(1), size), F.slice(t, size + 1, size), xor)).otherwise(t)
+    apart = F.aggregate(F.zip_with(folded(p), folded(q), xor), F.lit(0), lambda total, word: total + F.bit_count(word))
+    close = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
+    few = F.when(close, apart <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    return written(_ends(pairs, bits).where(few).select("a", "b"), "plausible-pairs")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, bits: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
-    ``pairs`` is a written table. Only texts that occur in it are shuffled.
+    Only texts of pairs that their bitmaps let pass are read again, and only their sets are shuffled.
     """
-    left = plausible(pairs, texts, width, similarity)
+    left = plausible(pairs, bits, similarity)
     some, needed = _chosen(left, texts)
     sets = written(shingle_sets(some, width), "pair-sets")
     n = F.size(F.array_intersect("x.s", "y.s"))
@@ -152,16 +155,33 @@ def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     some = shingle_sets(texts.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0), width)
     counts = some.select(F.explode("s").alias("h")).groupBy("h").count()
     top = [r["h"] for r in counts.where(F.col("count") > OFTEN).orderBy(F.desc("count"), "h").limit(FREQUENT).collect()]
+    drop_shuffles(texts.sparkSession)
     hashes, ranks = np.array(top, np.int64), np.arange(len(top), 0, -1)
     order = np.argsort(hashes)
     return hashes[order], ranks[order]
 
 
+def _shared(n: Column | np.ndarray) -> Column | np.ndarray:
+    """How many shingles of its prefix a set of ``n`` shares with a near one that is no smaller."""
+    return SHARED + (F.floor(n / EVERY).cast("int") if isinstance(n, Column) else n // EVERY)
+
+
+def _parities(hashes: np.ndarray, row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmaps of sets of ``n`` hashes, one after the other as words of 64 bits, and the number of words of each.
+
+    Each hash flips one bit. A bitmap has the least power of two of bits that is no less than ``n``, 64 at least.
+    """
+    words = np.where(n > 0, 1 << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) - 6), 0)
+    starts = np.cumsum(words) - words
+    at = 64 * starts[row] + (hashes & (64 * words[row] - 1))
+    return np.packbits(np.bincount(at, minlength=64 * words.sum()).astype(np.uint8) & 1, bitorder="little").view("<i8"), words
+
+
 def prefixes(texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """``(node, n, i, key)``: the first shingles of each set, of ``n`` in all, with their places from 0.
+    """``(node, n, i, key, bits)``: the first shingles of each set, of ``n`` in all, with their places from 0.
 
-    Two sets with a Jaccard similarity of ``similarity`` have one of them in common, as the one with more
-    shingles shares at least that part of its own.
+    Two sets with a Jaccard similarity of ``similarity`` have as many of them in common as ``_shared`` says of the smaller set, as the one
+    with more shingles shares at least that part of its own; fewer if that part is less. At place 0 ``bits`` is the set's bitmap, else it is empty.
     """
     hashes, ranks = _frequent(texts, width)
 
@@ -180,19 +200,22 @@ def prefixes(texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARIT
                 row = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((s, rank, row))
                 place = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)
-                first = place < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[row]
+                first = place < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + _shared(n))[row]
+                bits, words = _parities(s, row, n)
+                ends = np.cumsum(np.where(place == 0, words[row], 0)[first])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(nodes[start:end][row[first]]), pa.array(n[row[first]].astype(np.int32)),
                     pa.array(place[first].astype(np.int32)), pa.array(s[order][first]),
-                ], ["node", "n", "i", "key"])
+                    pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(bits)),
+                ], ["node", "n", "i", "key", "bits"])
 
-    return shingle_sets(texts, width).mapInArrow(run, "node bigint, n int, i int, key bigint")
+    return shingle_sets(texts, width).mapInArrow(run, "node bigint, n int, i int, key bigint, bits array<bigint>")
 
 
-def _leaves_enough(n: Column, i: Column, m: Column, j: Column, similarity: float) -> Column:
-    """Whether sets of ``n`` and ``m`` that share their shingles from places ``i`` and ``j`` on can be near."""
+def _leaves_enough(n: Column, i: Column, m: Column, j: Column, similarity: float, before: Column | int = 0) -> Column:
+    """Whether sets of ``n`` and ``m`` that share their shingles from places ``i`` and ``j`` on, and ``before`` at most ahead of them, can be near."""
     share = similarity / (1 + similarity)
-    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (F.least(n - i, m - j) >= share * (n + m) - 1e-6)
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (F.least(n - i, m - j) + before >= share * (n + m) - 1e-6)
 
 
 def _apart(pairs: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -207,56 +230,67 @@ def _apart(pairs: DataFrame, links: DataFrame, name: str) -> DataFrame:
 
 
 def _crossed(entries: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of one key that are still apart and can be near, by sizes and places, without meeting all others of the key.
+    """Pairs that are still apart and can be near by the keys they share, by sizes and places, without meeting all others of a key.
 
     The larger set looks for smaller ones: its place there bounds their sizes, and theirs must lie in the
-    first part of their own prefix. Sizes go into the key as bands.
+    first part of their own prefix. Sizes go into the key as bands. A pair meets once at a key, and counts if enough keys have it.
     """
     roots = written(component_roots(links), "roots-so-far")
     rooted = written(entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-keys")
-    groups = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(
-        F.max(F.struct("size", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("size").alias("size"))
-    mixed = written(groups.where("groups > 1").select("key", "main", "size"), "mixed-keys")
+    groups = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    mixed = written(groups.where("low <> high").select("key", "size"), "mixed-keys")
     rows = written(join_hot(rooted, mixed, [("key", "key")], "size", "inner"), "mixed-rows")
+    discard(roots, rooted, mixed)
     share = similarity / (1 + similarity)
     band = lambda size: F.floor(F.log(F.greatest(size, F.lit(1.0))) / math.log(BAND))
     n, i = F.col("n"), F.col("i")
-    least, most = similarity * n - 1e-6, F.least(n.cast("double"), (n - i) / share - n + 1e-6)
+    least, most = similarity * n - 1e-6, F.least(n.cast("double"), (n - i + _shared(n) - 1) / share - n + 1e-6)
     probes = rows.where(most >= least).withColumn("band", F.explode(F.sequence(band(least), band(most))))
-    stock = rows.where(n - i >= 2 * share * n - 1e-6).withColumn("band", band(n.cast("double")))
-    left = probes.select("key", "band", "main", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "i", "root")])
+    stock = rows.where(n - i + _shared(n) - 1 >= 2 * share * n - 1e-6).withColumn("band", band(n.cast("double")))
+    left = probes.select("key", "band", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "i", "root")])
     right = stock.select("key", "band", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "i", "root")])
     met = left.hint("merge").join(right, ["key", "band"]).where(
-        (F.col("l_root") != F.col("r_root")) & ((F.col("l_root") != F.col("main")) | (F.col("r_root") != F.col("main")))
-        & _leaves_enough(F.col("l_n"), F.col("l_i"), F.col("r_n"), F.col("r_i"), similarity)
+        (F.col("l_root") != F.col("r_root"))
+        & ((F.col("l_n") > F.col("r_n")) | (F.col("l_n") == F.col("r_n")) & (F.col("l_node") < F.col("r_node")))
+        & _leaves_enough(F.col("l_n"), F.col("l_i"), F.col("r_n"), F.col("r_i"), similarity, _shared(F.col("r_n")) - 1)
     )
-    pairs = written(met.select(
-        F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct(), "crossed-pairs")
-    discard(roots, rooted, mixed, rows)
+    ends = [F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")]
+    enough = F.least(_shared(F.col("r_n")), F.ceil(similarity * F.col("l_n") - 1e-9).cast("int"))
+    counted = met.select(*ends, enough.alias("enough")).groupBy("a", "b", "enough").agg(F.count(F.lit(1)).alias("keys"))
+    pairs = written(counted.where("keys >= enough").select("a", "b"), "crossed-pairs")
+    discard(rows)
     return pairs
 
 
-def all_links(near: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def all_links(near: DataFrame, entries: DataFrame, bits: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The verified links and as many more as join every two texts of at least ``similarity``, directly or by a path.
 
     For each key ``STARS`` of its texts stand, and a text is first compared with those that stand for most of its keys, so that
-    large groups are joined without comparing them pair by pair. Then those of different groups are compared with each other, apart from pairs within
-    the key's most frequent group; the first shared shingle of two near sets passes the test of places.
+    large groups are joined without comparing them pair by pair. Then those of different groups are compared with each other;
+    the first shared shingles of two near sets, as many as ``_shared`` says, pass the test of places.
+
+    Most keys have one text, so keys are counted first and heads are sought for the others only. ``entries`` is a written table
+    ``(node, n, i, key)``, deleted once it is read.
     """
-    entries = written(prefixes(texts, width, similarity), "prefixes")
+    counts = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1"), "shared-keys")
+    kept = join_hot(entries, counts, [("key", "key")], "count", "inner").select("key", "node", "n", "i")
+    drop_shuffles(texts.sparkSession)
+    shared = written(kept, "shared-entries")
+    discard(entries, counts)
     heads = [F.min(F.struct(F.xxhash64(F.col("node"), F.lit(step)).alias("p"), "node", "n", "i")).alias(f"head{step}") for step in range(STARS)]
-    keys = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("count"), *heads).where("count > 1"), "shared-keys")
-    shared = written(join_hot(entries, keys, [("key", "key")], "count", "inner"), "shared-entries")
-    discard(entries, keys)
-    star = shared.withColumn("h", F.explode(F.array(*[f"head{step}" for step in range(STARS)]))).where(
+    keys = written(shared.groupBy("key").agg(F.count(F.lit(1)).alias("count"), *heads), "key-heads")
+    headed = join_hot(shared, keys, [("key", "key")], "count", "inner")
+    star = headed.withColumn("h", F.explode(F.array(*[f"head{step}" for step in range(STARS)]))).where(
         (F.col("node") != F.col("h.node")) & _leaves_enough(F.col("n"), F.col("i"), F.col("h.n"), F.col("h.i"), similarity))
     met = star.groupBy("node", F.col("h.node").alias("head")).agg(F.count(F.lit(1)).alias("keys"))
     # a text has no more heads than keys in its prefix
     best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("keys", "head")), asc=False), 1, STARS).alias("h"))
     apart = _apart(best.select(F.col("node").alias("a"), F.explode("h.head").alias("b")), near, "star-pairs")
-    joined = written(near.unionByName(verified(apart, texts, width, similarity)), "star-links")
-    more = verified(_crossed(shared.select("key", "node", "n", "i"), joined, similarity), texts, width, similarity)
-    discard(apart, shared)
+    discard(keys)
+    joined = written(near.unionByName(verified(apart, bits, texts, width, similarity)), "star-links")
+    crossed = _crossed(shared, joined, similarity)
+    more = verified(crossed, bits, texts, width, similarity)
+    discard(apart, crossed, shared)
     return joined.unionByName(more)
 
 
@@ -277,11 +311,17 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     rows = docs.select(F.col("doc_id").cast("bigint").alias("node"), *_text_hashes(text), text.alias("text"))
     own = rows.join(firsts.select("node", "x1", "x2"), ["node", "x1", "x2"], "left_semi").groupBy("node", "x1", "x2")
     texts = written(own.agg(F.first("text").alias("text")).select("node", "text"), "first-texts")
+    drop_shuffles(docs.sparkSession)
     met = candidates(firsts)
-    near = verified(met, texts, width, similarity)
+    drop_shuffles(docs.sparkSession)
+    sets = written(prefixes(texts, width, similarity), "prefixes")
+    bits = written(sets.where("i = 0").select("node", "n", "bits"), "bitmaps")
+    entries = sets.drop("bits")
+    entries._written_to = sets._written_to
+    near = verified(met, bits, texts, width, similarity)
     discard(met)
-    roots = written(component_roots(all_links(near, texts, width, similarity)), "near-roots")
-    discard(texts)
+    roots = written(component_roots(all_links(near, entries, bits, texts, width, similarity)), "near-roots")
+    discard(bits, texts)
     lows = roots.groupBy("root").agg(F.min("node").alias("low"))
     others = roots.join(lows, "root").where("node <> low").select("node")
     stay = firsts.select("node").join(others, "node", "left_anti")
